@@ -1,0 +1 @@
+"""Training-data preparation operators.  Nothing outside this folder imports it."""
