@@ -1,7 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import quality_rules
+from . import chat_format, quality_rules, toxicity
 
-_MODULES = {"op10_quality_rules": quality_rules}
+_MODULES = {
+    "op1_chat_format": chat_format,
+    "op3_toxicity": toxicity,
+    "op10_quality_rules": quality_rules,
+}
 QUERIES = {name: m.query for name, m in _MODULES.items()}
 SQL = {name: m.SQL for name, m in _MODULES.items() if getattr(m, "SQL", None)}
