@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, quality_rules, toxicity
+from . import chat_format, mixing, quality_rules, toxicity, warc
 
 _MODULES = {
     "op1_chat_format": chat_format,
     "op3_toxicity": toxicity,
+    "op4_source_mix": mixing,
+    "op5_warc": warc,
     "op10_quality_rules": quality_rules,
 }
 QUERIES = {name: m.query for name, m in _MODULES.items()}
