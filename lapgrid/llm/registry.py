@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, mixing, quality_rules, toxicity, warc
+from . import chat_format, mixing, near_dup, quality_rules, toxicity, warc
 
 _MODULES = {
     "op1_chat_format": chat_format,
+    "op2_minhash_near_dup": near_dup,
     "op3_toxicity": toxicity,
     "op4_source_mix": mixing,
     "op5_warc": warc,
