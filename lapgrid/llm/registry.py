@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, mixing, near_dup, quality_rules, toxicity, warc
+from . import chat_format, line_dedup, mixing, near_dup, quality_rules, toxicity, warc
 
 _MODULES = {
     "op1_chat_format": chat_format,
@@ -8,6 +8,7 @@ _MODULES = {
     "op3_toxicity": toxicity,
     "op4_source_mix": mixing,
     "op5_warc": warc,
+    "op6_line_dedup": line_dedup,
     "op10_quality_rules": quality_rules,
 }
 QUERIES = {name: m.query for name, m in _MODULES.items()}
