@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, line_dedup, mixing, near_dup, quality_rules, resample, toxicity, warc
+from . import chat_format, decontaminate, line_dedup, mixing, near_dup, pii, quality_rules, resample, toxicity, warc
 
 _MODULES = {
     "op1_chat_format": chat_format,
@@ -9,6 +9,7 @@ _MODULES = {
     "op4_source_mix": mixing,
     "op5_warc": warc,
     "op6_line_dedup": line_dedup,
+    "op7_pii": pii,
     "op8_decontaminate": decontaminate,
     "op9_importance_resampling": resample,
     "op10_quality_rules": quality_rules,
