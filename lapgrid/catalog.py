@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import function_queries
+
+_PARTS = [function_queries]
+QUERIES: dict = {name: q for part in _PARTS for name, q in part.R.queries.items()}
+SQL: dict[str, str] = {name: s for part in _PARTS for name, s in part.R.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"))
+    return QUERIES["c28_lap_time"](spark, sf_dir)
