@@ -77,8 +77,8 @@ R.columns("c13_ecef_to_enu", "telemetry", _enu, f"session_id, seq, round({_E}, 3
 R.columns("c14_mat4", "centers", lambda: (lambda m: [C("point_id"), F.round(geo.mat4_apply(geo.mat4_invert(m), geo.mat4_apply(m, D("x"), D("y"), F.lit(7.0))["x"], geo.mat4_apply(m, D("x"), D("y"), F.lit(7.0))["y"], geo.mat4_apply(m, D("x"), D("y"), F.lit(7.0))["z"])["x"], 3).alias("x2"),
           F.round(geo.mat4_apply(m, D("x"), D("y"), F.lit(7.0))["x"], 3).alias("mx")])(F.array(*[F.lit(float(v)) for v in (2, 1, 0, 0, -1, 3, 0.5, 0, 0.25, 0, 2, 0, 10, 20, 30, 1)])),
           "point_id, round(x::DOUBLE, 3) AS x2, round(2e0 * x - y + 0.25 * 7 + 10, 3)::DOUBLE AS mx")
-R.columns("c15_geo_to_local", "telemetry", lambda: (lambda p: [C("session_id"), C("seq"), (F.round(p["x"], 3) + 0.0).alias("lx"), F.round(p["y"], 3).alias("ly"), F.round(p["z"], 3).alias("lz")])(geo.geo_to_local_xyz(C("lat"), C("lon"), C("acc"), 22.71, 113.86, 0.0)),
-          f"session_id, seq, round({_E}, 3) + 0e0 AS lx, round({_U}, 3) AS ly, round({_N}, 3) AS lz")
+R.columns("c15_geo_to_local", "telemetry", lambda: (lambda p: [C("session_id"), C("seq"), (F.round(p["x"], 3) + 0.0).alias("lx"), (F.round(p["y"], 3) + 0.0).alias("ly"), (F.round(p["z"], 3) + 0.0).alias("lz")])(geo.geo_to_local_xyz(C("lat"), C("lon"), C("acc"), 22.71, 113.86, 0.0)),
+          f"session_id, seq, round({_E}, 3) + 0e0 AS lx, round({_U}, 3) + 0e0 AS ly, round({_N}, 3) + 0e0 AS lz")
 R.columns("c17_box_to_window", "rects", lambda: [C("rect_id"), *flat(geo.box_to_window(C("x0") / 256, C("y0") / 256, C("x1") / 256, C("y1") / 256, F.lit(1008), F.lit(998)), "x0", "y0", "x1", "y1")],
           "rect_id, trunc(x0 / 256 * 1008)::INT AS w_x0, trunc(y0 / 256 * 998)::INT AS w_y0, greatest(trunc(x1 / 256 * 1008)::INT, trunc(x0 / 256 * 1008)::INT + 1) AS w_x1, greatest(trunc(y1 / 256 * 998)::INT, trunc(y0 / 256 * 998)::INT + 1) AS w_y1")
 R.columns("c18_scaled_size", "centers", lambda: [C("point_id"), geo.scaled_size(C("x"), F.lit(0.165)).alias("scaled")], "point_id, trunc(x * 0.165e0)::INT AS scaled")

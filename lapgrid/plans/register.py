@@ -37,7 +37,7 @@ class Register:
                 derived = [v for v in views if v in fixtures.VIEWS]
                 head = fixtures.ctes(*derived) if derived else "WITH RECURSIVE"
                 body = sql.strip()
-                self.sql[name] = (head + (",\n " if derived else " ") + body[5:]) if body.startswith("WITH ") else (head + "\n" + body if derived else body)
+                self.sql[name] = (head + (",\n " if derived else " ") + body[4:].lstrip()) if body[:4] == "WITH" else (head + "\n" + body if derived else body)
             return f
 
         return wrap
