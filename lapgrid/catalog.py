@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import function_queries, track_queries
+from .plans import function_queries, grid_queries, track_queries
 
-_PARTS = [function_queries, track_queries]
+_PARTS = [function_queries, track_queries, grid_queries]
 QUERIES: dict = {name: q for part in _PARTS for name, q in part.R.queries.items()}
 SQL: dict[str, str] = {name: s for part in _PARTS for name, s in part.R.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a13_lap_stats"](spark, sf_dir)
+    return QUERIES["a5_coverage"](spark, sf_dir)
