@@ -10,10 +10,11 @@ therefore indexed four times, each time with another symbol left out, which
 enumerates the errors allowed in a part and finds every such pair.
 
 Pairs are confirmed on full sets, and never listed for a whole bucket at once:
-the members of a bucket first meet its smallest member; with the components
-so far, buckets that hold one component are closed; what is left of the others
-is compared block by block, only between components, and only pairs within the
-signature distance are emitted.  Components come from repeated
+the members of a bucket first meet its smallest member, the hub; with the
+components so far, hubs whose members are one component are closed; the members
+of the others are compared block by block inside tasks, only between components
+and within the signature distance, and only links that connect something new
+are emitted.  Components come from repeated
 propagation of the smallest id with pointer jumping, in written rounds.
 
 A null or empty text has no set and is linked with nothing.  Rows with the same
@@ -36,8 +37,7 @@ from .scratch import Scratch, documents
 SHINGLE = 5
 CHUNKS = 8
 LANES = 4
-BLOCK = 512
-SMALL = 32
+BLOCK = 1024
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _ADD = _RNG.integers(0, 2**64, (64 * LANES, 1), dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**64, (64 * LANES, 1), dtype=np.uint64) | np.uint64(1)
@@ -134,21 +134,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return label.select("doc_id", F.col("c").alias("component_id"))
 
 
-def open_buckets(index: DataFrame, comps: DataFrame) -> DataFrame:
-    """(slot, key, doc_id, c, n): buckets of three or more whose members lie in different components c."""
-    c = index.join(comps, "doc_id", "left").select("slot", "key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    spread = c.groupBy("slot", "key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    return c.join(spread.where("n > 2 AND lo < hi").drop("lo", "hi"), ["slot", "key"])
+def open_groups(index: DataFrame, comps: DataFrame) -> DataFrame:
+    """(hub, doc_id, c, n): for each hub with members of its buckets in different components c, all n members.
 
-
-def small_pairs(rows: DataFrame, sigs: DataFrame, chunks: int, limit: int) -> DataFrame:
-    """Pairs (a, b) within the distance, in different components, that share an open bucket of at most SMALL."""
-    r = rows.where(F.col("n") <= SMALL).join(sigs.select("doc_id", "sig"), "doc_id")
-    x = r.select("slot", "key", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sa"))
-    y = r.select(F.col("slot").alias("slot_b"), F.col("key").alias("key_b"), F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("sig").alias("sb"))
-    near = distance(F.col("sa"), F.col("sb"), chunks) <= limit
-    on = (F.col("slot") == F.col("slot_b")) & (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near
-    return x.join(y, on).select("a", "b").distinct()
+    Buckets with one hub are mostly those of one family of texts, so a member is sent once for all of them.
+    """
+    c = index.select("hub", "doc_id").distinct().join(comps, "doc_id", "left").select("hub", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    spread = c.groupBy("hub").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return c.join(spread.where("n > 2 AND lo < hi").drop("lo", "hi"), "hub")
 
 
 def _lanes(x: np.ndarray) -> np.ndarray:
@@ -178,21 +171,20 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def block_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, chunks: int, limit: int, share: int) -> DataFrame:
-    """Links (a, b) inside open buckets of over SMALL.
+    """Links (a, b) inside open groups, between components.
 
     Members are dealt by hash into blocks of about BLOCK rows and each pair of
-    blocks is compared in one group.  A pair of documents is compared only in
-    the first bucket that both are in.  Of the links in a group as many are
-    given as connect the same documents.
+    blocks is compared in one task's group, first by signature.  Of the links
+    found there as many are given as connect the same documents.
     """
-    big = rows.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    big = big.withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    big = big.join(sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
-    big = big.select("slot", "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "doc_id", "c", "sig", "s")
+    big = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    big = big.withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    big = big.join(sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    big = big.select("hub", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "doc_id", "c", "sig", "s")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("doc_id")
-        slot, p, q = int(g["slot"].iloc[0]), g["p"].iloc[0], g["q"].iloc[0]
+        hub, p, q = g["hub"].iloc[0], g["p"].iloc[0], g["q"].iloc[0]
         x, y = g[g["mine"] == p], g[g["mine"] == q]
         none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
         if not len(x) or not len(y):
@@ -205,10 +197,7 @@ def block_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, chunks: int,
         todo = (far <= limit) & (x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :]) & (ids[0][:, None] != ids[1][None, :])
         if p == q:
             todo &= ids[0][:, None] < ids[1][None, :]
-        for c in range(slot // LANES + 1):
-            d = sig[0][:, None, c] ^ sig[1][None, :, c]
-            for i in range(LANES if c < slot // LANES else slot % LANES):
-                todo &= (d & ~np.uint64(0xFFFF << (16 * i))) != 0
+        todo &= (ids[0][:, None] != hub) & (ids[1][None, :] != hub)
         at = np.argwhere(todo)
         if not len(at):
             return none
@@ -234,7 +223,7 @@ def block_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, chunks: int,
                 out.append((ids[0][i], ids[1][j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64") if out else none
 
-    return big.groupBy("slot", "key", "p", "q").applyInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return big.groupBy("hub", "p", "q").applyInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -277,19 +266,17 @@ def near_duplicates(docs: DataFrame, share: int = 80, chunks: int = CHUNKS + 2,
     stars = scratch.table(pairs.where(distance(F.col("sa"), F.col("sb"), chunks) <= limit).select("a", "b"), "stars")
     links = confirmed(stars, docs, share, scratch, width)
 
-    rows = scratch.table(open_buckets(index, components(links, scratch)), "open")
+    rows = scratch.table(open_groups(index, components(links, scratch)), "open")
     scratch.drop(index, stars)
-    pairs = scratch.table(small_pairs(rows, reps, chunks, limit), "pairs")
-    small = confirmed(pairs, docs, share, scratch, width)
-    sets = scratch.table(full_sets(docs, rows.where(F.col("n") > SMALL).select("doc_id").distinct(), width), "sets")
-    large = scratch.table(block_links(rows, reps, sets, chunks, limit, share), "large")
-    scratch.drop(rows, pairs, sets)
+    sets = scratch.table(full_sets(docs, rows.select("doc_id").distinct(), width), "sets")
+    more = scratch.table(block_links(rows, reps, sets, chunks, limit, share), "more")
+    scratch.drop(rows, sets)
 
     # Rows that share a doc_id join the classes of their texts.
     twice = live.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     key = ["f1", "f2", "n_shingles"]
     same = live.join(twice, "doc_id").join(classes.select(*key, "rep"), key).select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).where("a < b")
-    comps = components(links.union(small).union(large).union(same), scratch)
+    comps = components(links.union(more).union(same), scratch)
 
     of_class = classes.join(comps, classes["rep"] == comps["doc_id"], "left").select(*key, F.coalesce("component_id", "rep").alias("of_class")).where(
         (F.col("copies") > 1) | F.col("component_id").isNotNull())
