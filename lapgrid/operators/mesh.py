@@ -78,3 +78,24 @@ def median_split(items: DataFrame, limit: int, most: int = 10) -> DataFrame:
         side = F.when(F.col("_r") <= F.floor(F.col("_n") / 2), "0").otherwise("1")
         p = p.withColumn("piece", F.when(F.col("_n") > limit, F.concat("piece", side)).otherwise(F.col("piece"))).drop("_n", "_wide", "_r")
     return p.select("item_id", "piece")
+
+
+def fill_triangles(tris: DataFrame) -> DataFrame:
+    """Pixels (f, x, y) inside or on triangles (f, ax, ay, bx, by, cx, cy) with whole corners, by three edge functions over each box."""
+    lo, hi = (lambda c: F.least(*[F.col(p + c) for p in "abc"])), (lambda c: F.greatest(*[F.col(p + c) for p in "abc"]))
+    t = tris.withColumn("y", F.explode(F.sequence(lo("y"), hi("y")))).withColumn("x", F.explode(F.sequence(lo("x"), hi("x"))))
+    e = [F.expr(f"({q}x - {p}x) * (y - {p}y) - ({q}y - {p}y) * (x - {p}x)") for p, q in ("ab", "bc", "ca")]
+    return t.where(((e[0] >= 0) & (e[1] >= 0) & (e[2] >= 0)) | ((e[0] <= 0) & (e[1] <= 0) & (e[2] <= 0))).select("f", "x", "y")
+
+
+def wall_quads(edges: DataFrame, key: str, bottom: float, top: float) -> DataFrame:
+    """Two triangles for each edge (key, ax, ay, bx, by), from bottom to top: (key, ax, ay, part, x0, z0, h0 .. x2, z2, h2)."""
+    corners = [[("a", bottom), ("b", bottom), ("b", top)], [("a", bottom), ("b", top), ("a", top)]]
+    part = lambda k, c: F.struct(F.lit(k).alias("part"), *[x for i, (e, h) in enumerate(c) for x in (F.col(f"{e}x").alias(f"x{i}"), F.col(f"{e}y").alias(f"z{i}"), F.lit(h).alias(f"h{i}"))])
+    return edges.withColumn("t", F.explode(F.array(*[part(k, c) for k, c in enumerate(corners)]))).select(key, "ax", "ay", "t.*")
+
+
+def pick_box(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """(point_id, box_id): of the boxes of a point's group the first that holds it, else the first."""
+    holds = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    return points.join(boxes, key).groupBy("point_id").agg(F.min(F.struct((~holds).alias("out"), "box_id")).alias("m")).select("point_id", F.col("m.box_id").alias("box_id"))

@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import mesh
+from ..operators import mesh, spatial
 from ..sources import files
 from ..streaming import progress
+from . import track_queries
 from .register import Register
 
 R = Register()
@@ -108,3 +109,22 @@ R.query("x1_progress_stream", f"WITH {_EVENTS} SELECT run, ord, coalesce(stage,
 R.query("x2_progress_throttle", f"""WITH {_EVENTS}, q AS (SELECT *, row_number() OVER (PARTITION BY run, stage ORDER BY ord) AS i FROM ev),
  f(run, stage, i, ord, pct, last, kept) AS (SELECT run, stage, i, ord, pct, pct, true FROM q WHERE i = 1 UNION ALL SELECT q.run, q.stage, q.i, q.ord, q.pct, CASE WHEN abs(q.pct - f.last) >= 20 THEN q.pct ELSE f.last END, abs(q.pct - f.last) >= 20 FROM f JOIN q ON q.run = f.run AND q.stage = f.stage AND q.i = f.i + 1)
 SELECT run, ord, stage, pct FROM f WHERE kept""", "log_lines")(lambda lines: progress.throttled(_events(lines), 20))
+R.query("x3_run_close", f"""WITH {_EVENTS}, l AS (SELECT run, stage, arg_max(pct, ord) AS pct FROM ev GROUP BY run, stage)
+SELECT run, stage, CASE WHEN run % 3 = 0 OR pct = 100 THEN 'complete' ELSE 'error' END AS status FROM l""", "log_lines")(
+    lambda lines: progress.close_runs(_events(lines), lines.select("run", (F.col("run") % 3).alias("code")).distinct()))
+
+
+def _segments(points):
+    path = _folder(points, "segments")
+    points.write.parquet(f"{path}/in")
+    return progress.run_to_table(progress.segment_stream(points.sparkSession.readStream.schema(points.schema).parquet(f"{path}/in")), path)
+
+
+R.query("x4_segment_stream", None, "telemetry")(_segments)
+R.sql["x4_segment_stream"] = track_queries.R.sql["w1_segments"]
+R.query("r2_triangle_fill", "SELECT rect_id AS f, x, y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM rects)) WHERE (x - x0) * (y1 - y0) + (y - y0) * (x1 - x0) <= (x1 - x0) * (y1 - y0)", "rects")(
+    lambda r: mesh.fill_triangles(r.selectExpr("rect_id AS f", "x0 AS ax", "y0 AS ay", "x1 AS bx", "y0 AS by", "x0 AS cx", "y1 AS cy")))
+R.query("r8_wall_quads", "SELECT a.ring_id, a.x AS ax, a.y AS ay, p::INT AS part, b.x AS x1, CASE WHEN p = 0 THEN b.x ELSE a.x END AS x2 FROM rings a JOIN rings b ON a.ring_id = b.ring_id AND b.v = (a.v + 1) % 16, range(0, 2) r(p)", "rings")(
+    lambda r: mesh.wall_quads(spatial.ring_edges(r, "ring_id", "v"), "ring_id", 0.0, 3.0).select("ring_id", "ax", "ay", "part", "x1", "x2"))
+R.query("j8_tileset_pick", "SELECT point_id, coalesce(min(rect_id) FILTER (c.x % 240 BETWEEN x0 AND x1 AND c.y % 240 BETWEEN y0 AND y1), min(rect_id)) AS box_id FROM centers c JOIN rects r ON r.group_id = c.group_id GROUP BY point_id", "centers", "rects")(
+    lambda c, r: mesh.pick_box(c.select("point_id", "group_id", (F.col("x") % 240).alias("x"), (F.col("y") % 240).alias("y")), r.select("group_id", F.col("rect_id").alias("box_id"), "x0", "y0", "x1", "y1"), "group_id"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import geo
+
 STATES = "run long, ord long, stage string, pct int"
 
 
@@ -57,3 +61,39 @@ def run_to_table(stream: DataFrame, path: str) -> DataFrame:
     q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def close_runs(events: DataFrame, codes: DataFrame) -> DataFrame:
+    """(run, stage, status): a run that ended with code 0 completes all its stages; otherwise the stages under 100 failed."""
+    last = events.groupBy("run", "stage").agg(F.max_by("pct", "ord").alias("pct"))
+    j = last.join(codes, "run")
+    return j.select("run", "stage", F.when((F.col("code") == 0) | (F.col("pct") == 100), "complete").otherwise("error").alias("status"))
+
+
+def segment_stream(points: DataFrame, max_gap: float = 2.0, max_jump: float = 30.0) -> DataFrame:
+    """Telemetry segments on a stream, by the same cut rules as in batch: (session_id, lap, seq, segment).
+
+    The state of a lap is its last point, the open segment's number and size,
+    and that segment's first point until a second one confirms it.
+    """
+    state_schema = "segment int, size int, held long, t double, frag long, lat double, lon double"
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        segment, size, held, t, frag, lat, lon = state.get if state.exists else (0, 0, -1, 0.0, 0, 0.0, 0.0)
+        out = []
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+            if size:
+                s = math.sin(math.radians(r.lat - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(r.lat)) * math.sin(math.radians(r.lon - lon) / 2) ** 2
+                jump = 2 * geo.EARTH_RADIUS * math.atan2(math.sqrt(s), math.sqrt(1 - s))
+                if size > 1 and (r.frag != frag or abs(r.t - t) > max_gap or jump > max_jump):
+                    segment, size = segment + 1, 0
+            size, t, frag, lat, lon = size + 1, r.t, r.frag, r.lat, r.lon
+            if size == 1:
+                held = r.seq
+            else:
+                out += [(*key, held, segment)] if size == 2 else []
+                out.append((*key, r.seq, segment))
+        state.update((segment, size, int(held), float(t), int(frag), float(lat), float(lon)))
+        yield pd.DataFrame(out, columns=["session_id", "lap", "seq", "segment"])
+
+    return points.groupBy("session_id", "lap").applyInPandasWithState(update, "session_id long, lap int, seq long, segment long", state_schema, "append", GroupStateTimeout.NoTimeout)
