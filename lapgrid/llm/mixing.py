@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     places = places.withColumn("from", F.col("at") + F.col("pass") * F.col("len")).withColumn("to", F.col("from") + F.col("size"))
     key = ["sid", "shard", "at", "doc_id", "source", "size", "source_size", "target"]
     pieces = places.select(*key, "from", "to", F.explode(F.expr(f"sequence(from div {block}, (to - 1) div {block})")).alias("b"))
-    hit = pieces.join(chosen.withColumn("hit", F.lit(1)), ["sid", "shard", "b"], "left")
+    hit = pieces.join(chosen.withColumn("hit", F.lit(1)).hint("merge"), ["sid", "shard", "b"], "left")
     words = F.least(F.col("to"), (F.col("b") + 1) * block) - F.greatest(F.col("from"), F.col("b") * block)
     taken = hit.groupBy(*key).agg(F.sum(F.when(F.col("hit") == 1, words).otherwise(0)).alias("taken"))
     none = put.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
