@@ -13,7 +13,7 @@ from lapgrid.llm.scratch import Scratch, documents
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is not among the given ones.  A null id is never among them."""
-    return docs.join(ids.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(ids.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays; of rows with one id, one."""
-    found = Scratch(spark, "pipeline").table(near_dup.near_duplicates(docs), "components")
-    left = without(docs, found.where(~F.col("kept")))
+    scratch = Scratch(spark, "pipeline")
+    found = scratch.table(near_dup.near_duplicates(docs), "components")
+    # Written first, so that Spark knows their size when it chooses the join.
+    left = without(docs, scratch.table(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped"))
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not twice.limit(1).count():
         return left
@@ -37,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, decontaminate.contaminated(docs, documents(spark, sf_dir, "benchmark")))
+    return decontaminate.clean(docs, documents(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,18 +123,44 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> Dat
     return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, item_id long, coverage double, n_tiles long, longest long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, coverage, n_tiles, longest) for each document and item that it covers enough."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, in blocks of about half the given size at most."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = -(-2 * total // block_bytes) or 1
-    out = None
     for k in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        found = _pass(docs, [tuple(r) for r in mine.collect()], coverage)
+        yield [tuple(r) for r in mine.collect()]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, coverage, n_tiles, longest) for each document and item that it covers enough."""
+    out = None
+    for items in _blocks(benchmark, block_bytes):
+        found = _pass(docs, items, coverage)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _covers(spark: SparkSession, items: list[tuple[int, str]], coverage: float):
+    """A column function: whether a text covers one of the items enough."""
+    known, index = spark.sparkContext.broadcast(items), []
+
+    @F.pandas_udf("boolean")
+    def covers(texts: pd.Series) -> pd.Series:
+        if not index:
+            index.append(_Index(known.value))
+        return pd.Series([any(sum(t[2] for t in tiles) / n >= coverage for _, n, tiles in index[0].tiles(text)) for text in texts], dtype=bool)
+
+    return covers
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that cover no item enough, in one pass for each block and without a shuffle."""
+    for items in _blocks(benchmark, block_bytes):
+        docs = docs.where(~_covers(docs.sparkSession, items, coverage)(F.col("text")))
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))

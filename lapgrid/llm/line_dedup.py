@@ -180,7 +180,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.withColumn("th", F.xxhash64("text"))
     gone = repeated_stretches(keyed.select("doc_id", "text", "th"), min_words, scratch)
     gone = scratch.table(gone.groupBy(*DOC).agg(F.collect_list(F.struct("line", "last")).alias("cut")), "gone").withColumnsRenamed({"doc_id": "g_id", "th": "g_th"})
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
+    # Texts are shuffled at every size alike; the cuts have no bound that would let them be broadcast.
+    joined = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
