@@ -30,13 +30,16 @@ def ring_edges(ring: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def points_in_rings(points: DataFrame, edges: DataFrame, key: str, cell: int) -> DataFrame:
-    """(point_id, key) for points inside rings, by the parity of edges right of a point.  Points and edges meet by bands of y; one large ring spreads over its bands."""
+    """(point_id, key) for points inside rings, by the parity of edges right of a point.  Points and edges meet in cells: an edge goes to
+    its bands of y, and in each from its own cells leftwards to the first that its ring reaches in that band.  One large ring spreads over its cells."""
     band = lambda c: F.floor(c / cell)
     e = edges.where("ay <> by").withColumn("_b", F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by")))))
-    p = points.select("point_id", "x", "y", band(F.col("y")).alias("_p"))
+    e = e.withColumn("_left", F.min(F.least("ax", "bx")).over(Window.partitionBy(key, "_b")))
+    e = e.withColumn("_c", F.explode(F.sequence(band(F.col("_left")), band(F.greatest("ax", "bx")))))
+    p = points.select("point_id", "x", "y", band(F.col("y")).alias("_p"), band(F.col("x")).alias("_q"))
     over = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
     right = F.col("x") < F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
-    return p.join(e, (F.col("_p") == F.col("_b")) & over & right).groupBy("point_id", key).agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("point_id", key)
+    return p.join(e, (F.col("_p") == F.col("_b")) & (F.col("_q") == F.col("_c")) & over & right).groupBy("point_id", key).agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("point_id", key)
 
 
 def fill_rings(edges: DataFrame, key: str) -> DataFrame:

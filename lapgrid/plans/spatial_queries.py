@@ -29,6 +29,17 @@ R.query("j3_points_in_polygons", f"""WITH {_EDGES} SELECT point_id, ring_id FROM
 R.query("f4_inside_outer_not_hole", f"""WITH {_EDGES}, m AS (SELECT point_id, ring_id FROM centers p JOIN ed ON (ay > p.y) <> (ey > p.y) AND p.x < ax + (p.y - ay) * (ex - ax)::DOUBLE / (ey - ay) GROUP BY point_id, ring_id HAVING count(*) % 2 = 1)
 SELECT DISTINCT point_id FROM m WHERE ring_id % 2 = 0 AND point_id NOT IN (SELECT point_id FROM m WHERE ring_id % 2 = 1)""", "centers", "rings")(
     lambda p, r: (lambda m: m.where("ring_id % 2 = 0").select("point_id").distinct().join(m.where("ring_id % 2 = 1"), "point_id", "left_anti"))(spatial.points_in_rings(p, spatial.ring_edges(r.where("ring_id < 60"), "ring_id", "v"), "ring_id", 64)))
+_ALL_EDGES = "ed AS (SELECT a.ring_id, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM rings a JOIN rings b ON a.ring_id = b.ring_id AND b.v = (a.v + 1) % 16)"
+_ALL_IN = "SELECT point_id, ring_id FROM centers p JOIN ed ON (ay > p.y) <> (ey > p.y) AND p.x < ax + (p.y - ay) * (ex - ax)::DOUBLE / (ey - ay) GROUP BY point_id, ring_id HAVING count(*) % 2 = 1"
+
+
+def _in_all(p, r):
+    return spatial.points_in_rings(p, spatial.ring_edges(r, "ring_id", "v"), "ring_id", 256)
+
+
+R.query("j3_points_in_all_polygons", f"WITH {_ALL_EDGES} {_ALL_IN}", "centers", "rings")(_in_all)
+R.query("f4_inside_any_outer_not_hole", f"WITH {_ALL_EDGES}, m AS ({_ALL_IN}) SELECT DISTINCT point_id FROM m WHERE ring_id % 2 = 0 AND point_id NOT IN (SELECT point_id FROM m WHERE ring_id % 2 = 1)", "centers", "rings")(
+    lambda p, r: (lambda m: m.where("ring_id % 2 = 0").select("point_id").distinct().join(m.where("ring_id % 2 = 1"), "point_id", "left_anti"))(_in_all(p, r)))
 _SMALL = "sr AS (SELECT ring_id, v, x // 16 AS x, y // 16 AS y FROM rings WHERE x >= 0 AND y >= 0 AND ring_id NOT IN (SELECT ring_id FROM rings WHERE x < 0 OR y < 0))"
 R.query("r1_polygon_fill", f"""WITH {_SMALL}, ed AS (SELECT a.ring_id, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM sr a JOIN sr b ON a.ring_id = b.ring_id AND b.v = (a.v + 1) % 16 WHERE a.y <> b.y),
  sc AS (SELECT ring_id, y, ax + (y + 0.5e0 - ay) * (ex - ax) / (ey - ay) AS pos, ax, ex FROM (SELECT *, unnest(range(least(ay, ey), greatest(ay, ey))) AS y FROM ed)),
