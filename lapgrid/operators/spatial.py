@@ -52,13 +52,37 @@ def fill_rings(edges: DataFrame, key: str) -> DataFrame:
     return c.select(key, "y", F.ceil(F.col("at") - 0.5).alias("x0"), (F.ceil(F.col("next") - 0.5) - 1).alias("x1")).where("x0 <= x1")
 
 
-def nearest_edge(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """For each point (point_id, group, x, y) the squared distance to the nearest edge of its group."""
+def nearest_edge(points: DataFrame, edges: DataFrame, key: str, cell: int = 32) -> DataFrame:
+    """For each point (point_id, group, x, y) the squared distance to the nearest edge of its group.
+
+    Edges go to the cells they cross.  A point meets the edges of the nine cells
+    around it and is decided if one lies within a cell's width; the rest go on
+    with cells twice as wide, so a point far from all edges takes a few rounds more.
+    """
     from ..functions.geo import closest_point_on_segment
+    from .rounds import cut
 
-    j = points.join(edges, key)
+    pad = 1e-6
     d = closest_point_on_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))["d2"]
-    return j.groupBy("point_id", key).agg(F.min(d).alias("d2"))
+    edges = edges.select(key, "ax", "ay", "bx", "by")
+    rest, done = cut(points.select("point_id", key, "x", "y").join(edges.select(key).distinct(), key, "left_semi")), None
+    while rest.limit(1).count():
+        lo = lambda c: F.floor((c - pad) / cell)  # noqa: E731, B023
+        hi = lambda c: F.floor((c + pad) / cell)  # noqa: E731, B023
+        e = edges.withColumn("_c", F.explode(F.sequence(lo(F.least("ax", "bx")), hi(F.greatest("ax", "bx")))))
+        # Where the edge enters and leaves its column of cells.
+        slope = F.when(F.col("ax") == F.col("bx"), None).otherwise((F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")))
+        at = lambda x: F.least(F.greatest(F.col("ay") + slope * (x - F.col("ax")), F.least("ay", "by")), F.greatest("ay", "by"))  # noqa: E731, B023
+        y0, y1 = at(F.col("_c") * cell - pad), at((F.col("_c") + 1) * cell + pad)
+        low, high = F.when(slope.isNull(), F.least("ay", "by")).otherwise(F.least(y0, y1)), F.when(slope.isNull(), F.greatest("ay", "by")).otherwise(F.greatest(y0, y1))
+        e = e.withColumn("_r", F.explode(F.sequence(lo(low), hi(high))))
+        near = F.explode(F.expr(f"flatten(transform(sequence(-1L, 1L), i -> transform(sequence(-1L, 1L), j -> struct(floor(x / {cell}) + i AS _c, floor(y / {cell}) + j AS _r))))"))
+        probe = rest.select("point_id", key, "x", "y", near.alias("n")).select("point_id", key, "x", "y", "n._c", "n._r")
+        best = probe.join(e, [key, "_c", "_r"]).groupBy("point_id", key).agg(F.min(d).alias("d2")).where(F.col("d2") <= float(cell) * cell)
+        best = cut(best)
+        done = best if done is None else done.unionByName(best)
+        rest, cell = cut(rest.join(best, ["point_id", key], "left_anti")), cell * 2
+    return done if done is not None else rest.select("point_id", key, F.lit(None).cast("double").alias("d2"))
 
 
 def overzoom(wanted: DataFrame, have: DataFrame, most: int) -> DataFrame:

@@ -51,6 +51,20 @@ R.query("j19_nearest_edge", """WITH ed AS (SELECT layout, x AS ax, y AS ay, lead
  j AS (SELECT point_id, p.layout, x, y, ax, ay, ex, ey, CASE WHEN ax = ex AND ay = ey THEN 0e0 ELSE least(greatest(((x - ax) * (ex - ax) + (y - ay) * (ey - ay))::DOUBLE / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0), 1) END AS t FROM p JOIN ed ON p.layout = ed.layout)
 SELECT point_id, layout, round(min(pow(x - ax - t * (ex - ax), 2) + pow(y - ay - t * (ey - ay), 2)), 3) AS d2 FROM j GROUP BY point_id, layout""", "centers", "track")(
     lambda c, t: spatial.nearest_edge(c.select("point_id", (F.col("point_id") % 4).alias("layout"), (F.col("x") % 2000).alias("x"), (F.col("y") % 1500).alias("y")), spatial.ring_edges(t.where("idx % 20 = 0"), "layout", "idx"), "layout").select("point_id", "layout", F.round("d2", 3).alias("d2")))
+
+
+def _circuit(t):
+    """Edges (layout, ax, ay, bx, by) of the closed track, by a join on (layout, index modulo n)."""
+    n = t.groupBy("layout").agg(F.count("*").alias("n"))
+    nxt = t.join(n, "layout").select("layout", F.pmod(F.col("idx") - 1, F.col("n")).cast("int").alias("idx"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return t.select("layout", "idx", F.col("x").alias("ax"), F.col("y").alias("ay")).join(nxt, ["layout", "idx"]).drop("idx")
+
+
+R.query("j19_nearest_edge_of_all", """WITH ed AS (SELECT layout, x AS ax, y AS ay, lead(x, 1, fx) OVER w AS ex, lead(y, 1, fy) OVER w AS ey FROM (SELECT *, first_value(x) OVER (PARTITION BY layout ORDER BY idx) AS fx, first_value(y) OVER (PARTITION BY layout ORDER BY idx) AS fy FROM track) WINDOW w AS (PARTITION BY layout ORDER BY idx)),
+ p AS (SELECT point_id, point_id % 4 AS layout, x % 2000 AS x, y % 1500 AS y FROM centers),
+ j AS (SELECT point_id, p.layout, x, y, ax, ay, ex, ey, CASE WHEN ax = ex AND ay = ey THEN 0e0 ELSE least(greatest(((x - ax) * (ex - ax) + (y - ay) * (ey - ay))::DOUBLE / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0), 1) END AS t FROM p JOIN ed ON p.layout = ed.layout)
+SELECT point_id, layout, round(min(pow(x - ax - t * (ex - ax), 2) + pow(y - ay - t * (ey - ay), 2)), 3) AS d2 FROM j GROUP BY point_id, layout""", "centers", "track")(
+    lambda c, t: spatial.nearest_edge(c.select("point_id", (F.col("point_id") % 4).alias("layout"), (F.col("x") % 2000).alias("x"), (F.col("y") % 1500).alias("y")), _circuit(t), "layout").select("point_id", "layout", F.round("d2", 3).alias("d2")))
 R.query("j18_overzoom", """WITH h AS (SELECT DISTINCT 3 + point_id % 6 AS z, (x * 7) % (1 << (3 + point_id % 6)::INT) AS x, (y * 7) % (1 << (3 + point_id % 6)::INT) AS y FROM centers), w AS (SELECT DISTINCT 9 AS z, x % 512 AS x, y % 512 AS y FROM centers),
  a AS (SELECT w.z, w.x, w.y, u.i AS up FROM w, range(0, 9) u(i)), m AS (SELECT a.z, a.x, a.y, h.z AS hz, h.x AS hx, h.y AS hy, row_number() OVER (PARTITION BY a.x, a.y ORDER BY h.z DESC) AS r FROM a JOIN h ON h.z = a.z - a.up AND h.x = a.x >> a.up::INT AND h.y = a.y >> a.up::INT)
 SELECT z, x, y, hz, hx, hy FROM m WHERE r = 1""", "centers")(

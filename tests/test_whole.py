@@ -1,5 +1,7 @@
 """Queries that take the whole table: against brute force and against what a cut of the input would leave out."""
 
+import random
+
 from lapgrid import catalog, fixtures
 from lapgrid.operators import spatial
 
@@ -33,3 +35,36 @@ def test_every_ring_meets_points(spark, sf):
     assert {tuple(t) for t in catalog.QUERIES["j3_points_in_all_polygons"](spark, sf).collect()} == want
     hole = {i for i, k in want if k % 2}
     assert {t[0] for t in catalog.QUERIES["f4_inside_any_outer_not_hole"](spark, sf).collect()} == {i for i, k in want if k % 2 == 0} - hole
+
+
+def _d2(p, a, b):
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    n = dx * dx + dy * dy
+    t = min(max(((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / n, 0.0), 1.0) if n else 0.0
+    return (p[0] - a[0] - t * dx) ** 2 + (p[1] - a[1] - t * dy) ** 2
+
+
+def _nearest(points, edges, key="layout"):
+    return {p["point_id"]: min(_d2((p["x"], p["y"]), (e["ax"], e["ay"]), (e["bx"], e["by"])) for e in edges if e[key] == p[key]) for p in points}
+
+
+def test_nearest_edge_brute_force(spark):
+    rnd = random.Random(5)
+    at = lambda: rnd.choice([rnd.randint(-3, 3) * 8, rnd.randint(-90, 90), rnd.randint(300, 330)])
+    edges = [(k % 2, float(x), float(y), float(x + dx), float(y + dy)) for k in range(24) for x, y in [(at(), at())] for dx, dy in [rnd.choice([(0, 0), (0, 40), (-24, 0), (-16, 16), (75, -33)])]]
+    points = [(i, i % 2, float(at()), float(at())) for i in range(150)] + [(150, 1, 5000.0, -4000.0), (151, 9, 0.0, 0.0)]
+    e = spark.createDataFrame(edges, "layout long, ax double, ay double, bx double, by double")
+    p = spark.createDataFrame(points, "point_id long, layout long, x double, y double")
+    want = _nearest([r for r in p.collect() if r["layout"] != 9], e.collect())
+    got = spatial.nearest_edge(p, e, "layout", 8).collect()
+    assert len(got) == len(want) and all(abs(r["d2"] - want[r["point_id"]]) <= 1e-6 * max(1.0, want[r["point_id"]]) for r in got)
+
+
+def test_nearest_edge_of_the_whole_track(spark, sf):
+    lines = {}
+    for r in fixtures.view(spark, sf, "track").orderBy("layout", "idx").collect():
+        lines.setdefault(r["layout"], []).append((r["x"], r["y"]))
+    edges = [{"layout": k, "ax": a[0], "ay": a[1], "bx": b[0], "by": b[1]} for k, v in lines.items() for a, b in zip(v, v[1:] + v[:1], strict=True)]
+    points = [{"point_id": r["point_id"], "layout": r["point_id"] % 4, "x": r["x"] % 2000, "y": r["y"] % 1500} for r in fixtures.view(spark, sf, "centers").collect()]
+    want, got = _nearest(points, edges), catalog.QUERIES["j19_nearest_edge_of_all"](spark, sf).collect()
+    assert len(got) == len(want) and all(abs(r["d2"] - want[r["point_id"]]) <= 1e-3 for r in got)
