@@ -46,6 +46,12 @@ R.query("r1_polygon_fill", f"""WITH {_SMALL}, ed AS (SELECT a.ring_id, a.x AS ax
  pr AS (SELECT *, row_number() OVER w AS r, lead(pos) OVER w AS nxt FROM sc WINDOW w AS (PARTITION BY ring_id, y ORDER BY pos, ax, ex))
 SELECT ring_id, y, ceil(pos - 0.5)::BIGINT AS x0, (ceil(nxt - 0.5) - 1)::BIGINT AS x1 FROM pr WHERE r % 2 = 1 AND ceil(pos - 0.5) <= ceil(nxt - 0.5) - 1""", "rings")(
     lambda r: spatial.fill_rings(spatial.ring_edges(r.join(r.where("x < 0 OR y < 0").select("ring_id").distinct(), "ring_id", "left_anti").select("ring_id", "v", F.expr("x div 16").alias("x"), F.expr("y div 16").alias("y")), "ring_id", "v"), "ring_id"))
+_ALL_SMALL = "sr AS (SELECT ring_id, v, floor(x / 16)::BIGINT AS x, floor(y / 16)::BIGINT AS y FROM rings)"
+R.query("r1_fill_all_polygons", f"""WITH {_ALL_SMALL}, ed AS (SELECT a.ring_id, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM sr a JOIN sr b ON a.ring_id = b.ring_id AND b.v = (a.v + 1) % 16 WHERE a.y <> b.y),
+ sc AS (SELECT ring_id, y, ax + (y + 0.5e0 - ay) * (ex - ax) / (ey - ay) AS pos, ax, ex FROM (SELECT *, unnest(range(least(ay, ey), greatest(ay, ey))) AS y FROM ed)),
+ pr AS (SELECT *, row_number() OVER w AS r, lead(pos) OVER w AS nxt FROM sc WINDOW w AS (PARTITION BY ring_id, y ORDER BY pos, ax, ex))
+SELECT ring_id, y, ceil(pos - 0.5)::BIGINT AS x0, (ceil(nxt - 0.5) - 1)::BIGINT AS x1 FROM pr WHERE r % 2 = 1 AND ceil(pos - 0.5) <= ceil(nxt - 0.5) - 1""", "rings")(
+    lambda r: spatial.fill_rings(spatial.ring_edges(r.select("ring_id", "v", F.floor(F.col("x") / 16).alias("x"), F.floor(F.col("y") / 16).alias("y")), "ring_id", "v"), "ring_id"))
 R.query("j19_nearest_edge", """WITH ed AS (SELECT layout, x AS ax, y AS ay, lead(x, 1, fx) OVER w AS ex, lead(y, 1, fy) OVER w AS ey FROM (SELECT *, first_value(x) OVER (PARTITION BY layout ORDER BY idx) AS fx, first_value(y) OVER (PARTITION BY layout ORDER BY idx) AS fy FROM track WHERE idx % 20 = 0) WINDOW w AS (PARTITION BY layout ORDER BY idx)),
  p AS (SELECT point_id, point_id % 4 AS layout, x % 2000 AS x, y % 1500 AS y FROM centers),
  j AS (SELECT point_id, p.layout, x, y, ax, ay, ex, ey, CASE WHEN ax = ex AND ay = ey THEN 0e0 ELSE least(greatest(((x - ax) * (ex - ax) + (y - ay) * (ey - ay))::DOUBLE / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0), 1) END AS t FROM p JOIN ed ON p.layout = ed.layout)
@@ -91,6 +97,8 @@ SELECT o.object_id, sx, sy FROM o LEFT JOIN c ON c.object_id = o.object_id AND r
 R.query("t4_next_names", "SELECT layout, type, count(*) AS next FROM objects GROUP BY layout, type", "objects")(ob.next_names)
 R.query("j21_gate_pairs", "SELECT x AS n, bool_or(type = 'timing_left') AS has_left, bool_or(type = 'timing_right') AS has_right FROM objects WHERE type LIKE 'timing%' AND y % 9 = 0 GROUP BY x", "objects")(
     lambda o: ob.gate_pairs(o.where("y % 9 = 0").select(F.col("x").alias("n"), "type")))
+R.query("j21_gate_pairs_of_all", "SELECT object_id // 4 AS n, bool_or(type = 'timing_left') AS has_left, bool_or(type = 'timing_right') AS has_right FROM objects WHERE type LIKE 'timing%' GROUP BY object_id // 4", "objects")(
+    lambda o: ob.gate_pairs(o.select(F.expr("object_id div 4").alias("n"), "type")))
 R.query("w24_stable_names", "SELECT rect_id, tag, row_number() OVER (PARTITION BY tag ORDER BY rect_id) - 1 AS number FROM rects", "rects")(lambda r: ob.stable_names(r.select("rect_id", "tag"), "tag", "rect_id").withColumn("number", F.col("number").cast("long")))
 R.query("a18_validate", "SELECT layout, array_to_string(list_filter([CASE WHEN count(*) FILTER (type = 'hotlap') <> 1 THEN 'one hotlap' END, CASE WHEN count(*) FILTER (type = 'pit') = 0 THEN 'a pit' END, CASE WHEN count(*) FILTER (type = 'timing_left') <> count(*) FILTER (type = 'timing_right') THEN 'paired gates' END], lambda e: e IS NOT NULL), '; ') AS errors FROM objects GROUP BY layout", "objects")(ob.validate)
 R.query("a8_group_boxes", "SELECT group_id, min(x0) - 5 AS x0, min(y0) - 5 AS y0, max(x1) + 5 AS x1, max(y1) + 5 AS y1 FROM rects GROUP BY group_id", "rects")(

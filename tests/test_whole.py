@@ -68,3 +68,27 @@ def test_nearest_edge_of_the_whole_track(spark, sf):
     points = [{"point_id": r["point_id"], "layout": r["point_id"] % 4, "x": r["x"] % 2000, "y": r["y"] % 1500} for r in fixtures.view(spark, sf, "centers").collect()]
     want, got = _nearest(points, edges), catalog.QUERIES["j19_nearest_edge_of_all"](spark, sf).collect()
     assert len(got) == len(want) and all(abs(r["d2"] - want[r["point_id"]]) <= 1e-3 for r in got)
+
+
+def test_every_ring_is_filled(spark, sf):
+    rings = {}
+    for r in fixtures.view(spark, sf, "rings").orderBy("ring_id", "v").collect():
+        rings.setdefault(r["ring_id"], []).append((r["x"] // 16, r["y"] // 16))
+    below = {k for k, v in rings.items() if min(map(min, v)) < 0}
+    runs = {}
+    for k, y, x0, x1 in catalog.QUERIES["r1_fill_all_polygons"](spark, sf).collect():
+        runs.setdefault(k, set()).update((x, y) for x in range(x0, x1 + 1))
+    assert below and set(runs) == set(rings)
+    for k in sorted(below)[:15] + sorted(set(rings) - below)[:5]:
+        xs, ys = zip(*rings[k], strict=True)
+        box = [(x, y) for x in range(min(xs) - 1, max(xs) + 2) for y in range(min(ys) - 1, max(ys) + 2)]
+        assert runs[k] == {(x, y) for x, y in box if _inside((x + 0.5, y + 0.5), rings[k])}
+
+
+def test_every_gate_is_paired(spark, sf):
+    sides = {}
+    for r in fixtures.view(spark, sf, "objects").where("type LIKE 'timing%'").collect():
+        sides.setdefault(r["object_id"] // 4, set()).add(r["type"])
+    got = {n: (left, right) for n, left, right in catalog.QUERIES["j21_gate_pairs_of_all"](spark, sf).collect()}
+    assert got == {n: ("timing_left" in s, "timing_right" in s) for n, s in sides.items()}
+    assert len(set(got.values())) == 3
