@@ -68,16 +68,58 @@ def budget(meshes: DataFrame) -> DataFrame:
     return meshes.select("mesh_id", (F.col("n_vertices") * 40 + F.col("n_faces") * 20).alias("bytes"))
 
 
-def median_split(items: DataFrame, limit: int, most: int = 10) -> DataFrame:
-    """(item_id, piece): pieces over the limit are cut at the sorted middle of their wider axis, up to so many times.  items: item_id, x, y."""
-    p = items.withColumn("piece", F.lit(""))
+def _narrowed(rows: DataFrame, states: list[dict], value: str, lo: str, hi: str, parts: int) -> list[dict]:
+    """The states with [lo, hi] of value narrowed to the range of counts that holds the k-th row: one row for each piece reaches the driver."""
+    at = F.least(F.floor((F.col(value) - F.col(lo)) / (F.col(hi) - F.col(lo)) * parts), F.lit(parts - 1))
+    bins = rows.groupBy("piece", "k", at.alias("b")).agg(F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("z"))
+    bins = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("piece").orderBy("b")))
+    found = {r["piece"]: r for r in bins.where("upto >= k AND upto - n < k").collect()}
+    return [s | {lo: found[s["piece"]]["a"], hi: found[s["piece"]]["z"], "n": found[s["piece"]]["n"], "k": s["k"] - found[s["piece"]]["upto"] + found[s["piece"]]["n"]} if s["piece"] in found else s for s in states]
+
+
+def median_split(items: DataFrame, limit: int, most: int = 10, near: int = 10_000, parts: int = 1024) -> DataFrame:
+    """(item_id, piece, too_large): pieces over the limit are cut at the sorted middle of their wider axis, up to so many times; too_large
+    marks those still over it.  items: item_id, x, y.
+
+    The middle of each piece is found by counts in ever finer ranges, of the axis and then of item_id among equal values; only the
+    rows of a deciding range, at most ``near`` unless they are all equal, are ranked.  The driver holds one row for each open piece, 2^(most - 1) at most.
+    """
+    from .rounds import cut
+
+    spark, types = items.sparkSession, dict(items.dtypes)
+    schema = f"piece string, wide boolean, lo double, hi double, ilo {types['item_id']}, ihi {types['item_id']}, n long, k long"
+    p = cut(items.select("item_id", "x", "y", F.lit("").alias("piece")))
+    v = F.when(F.col("wide"), F.col("x")).otherwise(F.col("y")).cast("double")
     for _ in range(most):
-        w = Window.partitionBy("piece")
-        p = p.withColumns({"_n": F.count("*").over(w), "_wide": F.max("x").over(w) - F.min("x").over(w) >= F.max("y").over(w) - F.min("y").over(w)})
-        p = p.withColumn("_r", F.row_number().over(w.orderBy(F.when(F.col("_wide"), F.col("x")).otherwise(F.col("y")), "item_id")))
-        side = F.when(F.col("_r") <= F.floor(F.col("_n") / 2), "0").otherwise("1")
-        p = p.withColumn("piece", F.when(F.col("_n") > limit, F.concat("piece", side)).otherwise(F.col("piece"))).drop("_n", "_wide", "_r")
-    return p.select("item_id", "piece")
+        ends = [f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))]
+        open_ = p.groupBy("piece").agg(F.count("*").alias("n"), F.min("item_id").alias("ilo"), F.max("item_id").alias("ihi"), *ends).where(F.col("n") > limit).collect()
+        if not open_:
+            break
+        states = []
+        for r in open_:
+            wide = r["hix"] - r["lox"] >= r["hiy"] - r["loy"]
+            c = "x" if wide else "y"
+            states.append({"piece": r["piece"], "wide": wide, "lo": float(r[f"lo{c}"]), "hi": float(r[f"hi{c}"]), "ilo": r["ilo"], "ihi": r["ihi"], "n": r["n"], "k": r["n"] // 2})
+
+        def joined(some: list[dict], how: str = "inner") -> DataFrame:
+            of = spark.createDataFrame([tuple(s.values()) for s in some], schema)
+            return p.join(F.broadcast(of), "piece", how).withColumn("v", v)  # noqa: B023
+
+        for value, lo, hi in (("v", "lo", "hi"), ("item_id", "ilo", "ihi")):
+            while wait := [s for s in states if s["n"] > near and s[lo] < s[hi] and (value == "v" or s["lo"] == s["hi"])]:
+                rows = joined(wait).where("v BETWEEN lo AND hi AND item_id BETWEEN ilo AND ihi")
+                rest = {s["piece"]: s for s in _narrowed(rows, wait, value, lo, hi, parts)}
+                states = [rest.get(s["piece"], s) for s in states]
+        q = joined(states, "left")
+        inside = (F.col("v").between(F.col("lo"), F.col("hi"))) & (F.col("item_id").between(F.col("ilo"), F.col("ihi")))
+        inside = F.coalesce(inside, F.lit(False))
+        below = (F.col("v") < F.col("lo")) | ((F.col("v") == F.col("lo")) & (F.col("item_id") < F.col("ilo")))
+        plain = q.where(~inside).withColumn("side", F.when(F.col("k").isNull(), "").when(below, "0").otherwise("1"))
+        r = F.row_number().over(Window.partitionBy("piece").orderBy("v", "item_id"))
+        ranked = q.where(inside).withColumn("_r", r).withColumn("side", F.when(F.col("_r") <= F.col("k"), "0").otherwise("1")).drop("_r")
+        p = cut(plain.unionByName(ranked).select("item_id", "x", "y", F.concat("piece", "side").alias("piece")))
+    sizes = p.groupBy("piece").agg((F.count("*") > limit).alias("too_large"))
+    return p.join(sizes, "piece").select("item_id", "piece", "too_large")
 
 
 def fill_triangles(tris: DataFrame) -> DataFrame:

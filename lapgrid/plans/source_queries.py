@@ -85,7 +85,19 @@ SELECT point_id, round(max(a * h0 + b * h1 + (1 - a - b) * h2), 6) AS h FROM b W
 R.query("a21_mesh_budget", "SELECT rect_id AS mesh_id, (x1 * 40 + y1 * 20)::BIGINT AS bytes FROM rects", "rects")(lambda r: mesh.budget(r.select(F.col("rect_id").alias("mesh_id"), F.col("x1").alias("n_vertices"), F.col("y1").alias("n_faces"))))
 R.query("m4_median_split", """WITH a AS (SELECT tag, count(*) AS n, max(x0) - min(x0) >= max(y0) - min(y0) AS wide FROM rects GROUP BY tag) SELECT rect_id AS item_id,
  CASE WHEN row_number() OVER (ORDER BY CASE WHEN (SELECT max(x0) - min(x0) >= max(y0) - min(y0) FROM rects) THEN x0 ELSE y0 END, rect_id) <= floor(count(*) OVER () / 2) THEN '0' ELSE '1' END AS piece FROM rects""", "rects")(
-    lambda r: mesh.median_split(r.select(F.col("rect_id").alias("item_id"), F.col("x0").alias("x"), F.col("y0").alias("y")), 1, 1))
+    lambda r: mesh.median_split(r.select(F.col("rect_id").alias("item_id"), F.col("x0").alias("x"), F.col("y0").alias("y")), 1, 1).select("item_id", "piece"))
+
+
+def _cuts(limit: int, most: int) -> str:
+    """Rounds t0, t1, .. of cuts at the middle of the wider axis."""
+    cut = "CASE WHEN n > {0} THEN piece || CASE WHEN row_number() OVER (PARTITION BY piece ORDER BY CASE WHEN wide THEN x ELSE y END, item_id) <= n // 2 THEN '0' ELSE '1' END ELSE piece END"
+    w = "OVER (PARTITION BY piece)"
+    rounds = [f"t{k + 1} AS MATERIALIZED (SELECT item_id, x, y, {cut.format(limit)} AS piece FROM (SELECT *, count(*) {w} AS n, max(x) {w} - min(x) {w} >= max(y) {w} - min(y) {w} AS wide FROM t{k}))" for k in range(most)]
+    return ",\n ".join(["t0 AS (SELECT rect_id AS item_id, x0 AS x, y0 AS y, '' AS piece FROM rects)", *rounds])
+
+
+R.query("m4_median_split_to_limit", f"WITH {_cuts(20, 10)} SELECT item_id, piece, count(*) OVER (PARTITION BY piece) > 20 AS too_large FROM t10", "rects")(
+    lambda r: mesh.median_split(r.select(F.col("rect_id").alias("item_id"), F.col("x0").alias("x"), F.col("y0").alias("y")), 20))
 
 
 def _folder(df, tag):

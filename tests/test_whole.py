@@ -3,7 +3,7 @@
 import random
 
 from lapgrid import catalog, fixtures
-from lapgrid.operators import spatial
+from lapgrid.operators import mesh, spatial
 
 
 def _inside(p, ring):
@@ -92,3 +92,27 @@ def test_every_gate_is_paired(spark, sf):
     got = {n: (left, right) for n, left, right in catalog.QUERIES["j21_gate_pairs_of_all"](spark, sf).collect()}
     assert got == {n: ("timing_left" in s, "timing_right" in s) for n, s in sides.items()}
     assert len(set(got.values())) == 3
+
+
+def _split(items, limit, most, piece=""):
+    if len(items) <= limit or not most:
+        return {i: (piece, len(items) > limit) for i, _, _ in items}
+    xs, ys = [x for _, x, _ in items], [y for _, _, y in items]
+    axis = 1 if max(xs) - min(xs) >= max(ys) - min(ys) else 2
+    items, half = sorted(items, key=lambda t: (t[axis], t[0])), len(items) // 2
+    return _split(items[:half], limit, most - 1, piece + "0") | _split(items[half:], limit, most - 1, piece + "1")
+
+
+def test_median_split_brute_force(spark):
+    rnd = random.Random(3)
+    items = [(i * 7 - 300, rnd.choice([5, 5, 5, rnd.randint(-50, 50)]), rnd.choice([-2, rnd.randint(0, 9)])) for i in range(400)]
+    df = spark.createDataFrame(items, "item_id long, x long, y long")
+    for limit, most in ((30, 10), (10, 3)):
+        got = {i: (p, t) for i, p, t in mesh.median_split(df, limit, most, near=4, parts=3).collect()}
+        assert got == _split(items, limit, most) and any(t for _, t in got.values()) == (most == 3)
+
+
+def test_pieces_are_within_the_limit(spark, sf):
+    got = catalog.QUERIES["m4_median_split_to_limit"](spark, sf)
+    assert got.count() == fixtures.view(spark, sf, "rects").count()
+    assert not got.where("too_large").count() and max(r["count"] for r in got.groupBy("piece").count().collect()) <= 20
