@@ -137,7 +137,11 @@ def wall_quads(edges: DataFrame, key: str, bottom: float, top: float) -> DataFra
     return edges.withColumn("t", F.explode(F.array(*[part(k, c) for k, c in enumerate(corners)]))).select(key, "ax", "ay", "t.*")
 
 
-def pick_box(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """(point_id, box_id): of the boxes of a point's group the first that holds it, else the first."""
+def pick_box(points: DataFrame, boxes: DataFrame, key: str, cell: int = 16) -> DataFrame:
+    """(point_id, box_id): of the boxes of a point's group the first that holds it, else the first.  Points and boxes meet in cells; the first of a group comes from an aggregate."""
+    at = lambda c: F.floor(F.col(c) / cell)
+    first = boxes.groupBy(key).agg(F.min("box_id").alias("first"))
+    b = boxes.withColumn("_cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_cy", F.explode(F.sequence(at("y0"), at("y1"))))
     holds = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    return points.join(boxes, key).groupBy("point_id").agg(F.min(F.struct((~holds).alias("out"), "box_id")).alias("m")).select("point_id", F.col("m.box_id").alias("box_id"))
+    held = points.select("point_id", key, "x", "y", at("x").alias("_cx"), at("y").alias("_cy")).join(b, [key, "_cx", "_cy"]).where(holds).groupBy("point_id").agg(F.min("box_id").alias("held"))
+    return points.select("point_id", key).join(first, key).join(held, "point_id", "left").select("point_id", F.coalesce("held", "first").alias("box_id"))

@@ -116,3 +116,15 @@ def test_pieces_are_within_the_limit(spark, sf):
     got = catalog.QUERIES["m4_median_split_to_limit"](spark, sf)
     assert got.count() == fixtures.view(spark, sf, "rects").count()
     assert not got.where("too_large").count() and max(r["count"] for r in got.groupBy("piece").count().collect()) <= 20
+
+
+def test_pick_box_meets_in_cells(spark):
+    rnd = random.Random(8)
+    boxes = [(i, i % 2, x, y, x + rnd.randint(1, 50), y + rnd.randint(1, 9)) for i in range(40) for x, y in [(rnd.randint(-80, 80), rnd.randint(-80, 80))]]
+    points = [(i, i % 3, rnd.randint(-90, 120), rnd.randint(-90, 90)) for i in range(400)]
+    b = spark.createDataFrame(boxes, "box_id long, g long, x0 long, y0 long, x1 long, y1 long")
+    picked = mesh.pick_box(spark.createDataFrame(points, "point_id long, g long, x long, y long"), b, "g")
+    want = {i: min([c for c, h, x0, y0, x1, y1 in boxes if h == g and x0 <= x <= x1 and y0 <= y <= y1] or [g]) for i, g, x, y in points if g < 2}
+    assert {i: c for i, c in picked.collect()} == want
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert "_cx" in plan and "_cy" in plan  # not all pairs of a group
