@@ -1,16 +1,26 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Every document gets exact counts from built-in functions.  Ratios of those
-counts go, as integers in thousandths, into mergeable histogram sketches: a
-value keeps its five leading bits, so a quantile is at most 1/16 off, and two
-sketches merge by adding counts.  One sketch per (lang, source) gives upper and
-lower fences; a group with fewer than ``min_group`` documents uses the merged
-sketch of its language, or of everything.  The fences are then joined back.
+counts, as integers in SCALE parts, go into mergeable histogram sketches: a
+value keeps its BITS leading bits, so a quantile is at most 1/128 off, and two
+sketches merge by adding counts.  Documents that fail the base rule are left
+out.  Repeated lines and words are absent from most texts, so their sketches
+hold only documents that have some.
+
+A group's quartiles are those of its own sketch and of its language's, weighted
+by size: a group of n documents counts n, its language BLEND, and the language
+itself is blended with everything in the same way, so small groups lean on
+larger ones smoothly.  Fences lie SPREAD interquartile ranges outside the
+quartiles; no value of them is fixed.  A count breaks its fence only by more than
+ERRORS standard errors of a count of that size, so a single hit in a
+text proves nothing where the quartiles are zero, and copies that fill a source
+don't make outliers of its other texts.  The fences are joined back.
 
 Nulls: a null text has no words and fails the base rule; null languages and
-sources are groups of their own.  Repeated rows count as often as they occur.
-An empty table gives an empty result.  Columns of the input other than doc_id,
-text, lang and source are ignored, whatever their names.
+sources are groups of their own.  Texts of any length are counted whole.  Repeated
+rows and ties count as often as they occur.  An empty table gives an empty
+result.  Columns of the input other than doc_id, text, lang and source are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,15 +31,17 @@ from pyspark.sql.window import Window
 
 from .scratch import Scratch, documents
 
-#: metric -> (numerator, denominator, floor of the upper fence, whether there is a lower fence); thousandths.
+#: metric -> (numerator, denominator, scale of the ratio, whether only documents with some count, whether there is a lower fence).
 METRICS = {
-    "symbols": ("n_symbols", "word_chars", 60, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 300, False),
-    "repeats": ("n_repeat_words", "n_words", 400, False),
-    "word_length": ("word_chars", "n_words", 12000, True),
+    "symbols": ("n_symbols", "word_chars", 1_000_000, False, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1_000_000, True, False),
+    "repeats": ("n_repeat_words", "n_words", 1_000_000, True, False),
+    "word_length": ("word_chars", "n_words", 1_000, False, True),
 }
+BITS = 8
+BLEND = 100
 SPREAD = 6
-MIN_GROUP = 100
+ERRORS = 4
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
@@ -44,14 +56,14 @@ def text_stats(docs: DataFrame) -> DataFrame:
             'lines', transform(array(filter(split(d.t, '\n'), l -> l RLIKE '[^\\x20\\x09-\\x0D]')), l ->
               struct(cast(size(l) AS bigint) AS n, cast(size(l) - size(array_distinct(l)) AS bigint) AS dup))[0],
             'n_repeat_words', CASE WHEN size(x.w) < 4 THEN 0L ELSE
-              transform(array(sort_array(transform(sequence(0, size(x.w) - 3), i ->
-                  struct(xxhash64(x.w[i], x.w[i + 1], x.w[i + 2]) AS h, i AS p)))), s ->
-                transform(array(sort_array(array_distinct(flatten(filter(
-                    zip_with(s, slice(s, 2, size(s)), (a, b) -> if(a.h = b.h, array(a.p, b.p), NULL)),
-                    y -> y IS NOT NULL))))), p ->
-                  if(size(p) = 0, 0L, 3L + aggregate(
-                    zip_with(slice(p, 1, size(p) - 1), slice(p, 2, size(p)), (a, b) -> least(3, b - a)),
-                    0L, (acc, g) -> acc + g)))[0])[0] END))[0])[0]
+              transform(array(transform(sequence(0, size(x.w) - 3), i -> xxhash64(x.w[i], x.w[i + 1], x.w[i + 2]))), h ->
+                if(size(array_distinct(h)) = size(h), 0L,
+                  transform(array(sort_array(transform(h, (v, i) -> struct(v AS h, i AS p)))), s ->
+                    transform(array(array_sort(flatten(filter(
+                        zip_with(s, slice(s, 2, size(s)), (a, b) -> if(a.h = b.h, array(a.p, b.p), NULL)),
+                        y -> y IS NOT NULL)))), p ->
+                      3L + aggregate(zip_with(slice(p, 1, size(p) - 1), slice(p, 2, size(p)), (a, b) -> least(3, b - a)),
+                        0L, (acc, g) -> acc + g))[0])[0]))[0] END))[0])[0]
     """)
     return docs.select("doc_id", "lang", "source", stats.alias("s")).select(
         "doc_id", "lang", "source", "s.n_words", "s.word_chars", "s.n_symbols",
@@ -60,68 +72,78 @@ def text_stats(docs: DataFrame) -> DataFrame:
 
 
 def bucket(value):
-    """The value with all but its five leading bits cleared."""
-    low = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
+    """The value with all but its BITS leading bits cleared, and the smallest one beyond all that share them."""
+    low = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
+    head = F.call_function("shiftright", value, low)
+    return F.call_function("shiftleft", head, low).alias("bucket"), F.call_function("shiftleft", head + 1, low).alias("top")
+
+
+def base_failed():
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def sketch(stats: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n): the mergeable sketches of all groups in one aggregation."""
+    """(lang, source, metric, bucket, top, n): the mergeable sketches of all groups in one aggregation."""
     rows = F.array(*[
-        F.struct(F.lit(m).alias("metric"), bucket(F.expr(f"{a} * 1000 div greatest({b}, 1)")).alias("bucket"))
-        for m, (a, b, _, _) in METRICS.items()
+        F.when(F.col(a) > 0 if some else F.lit(True), F.struct(F.lit(m).alias("metric"), *bucket(F.expr(f"{a} * {scale} div greatest({b}, 1)"))))
+        for m, (a, b, scale, some, _) in METRICS.items()
     ])
     return (
-        stats.select("lang", "source", F.explode(rows).alias("r"))
-        .groupBy("lang", "source", "r.metric", "r.bucket").agg(F.count("*").alias("n"))
+        stats.where(~base_failed()).select("lang", "source", F.explode(rows).alias("r")).where("r IS NOT NULL")
+        .groupBy("lang", "source", "r.metric", "r.bucket", "r.top").agg(F.count("*").alias("n"))
     )
 
 
-def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles and size for each key and metric, from cumulative counts over its buckets (a few hundred at most)."""
-    merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+def quantiles(sketches: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Size and quartiles for each key and metric, from cumulative counts over its buckets (a few thousand at most); columns start with name."""
+    merged = sketches.groupBy(*keys, "metric", "bucket", "top").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")
     upto = F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = merged.withColumn("upto", upto).withColumn("total", F.sum("n").over(w))
-    return ranked.groupBy(*keys, "metric").agg(
-        F.max("total").alias("total"),
-        *[F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket"))).alias(f"q{q}") for q in (1, 3)],
+    counted = merged.withColumn("upto", upto).withColumn("total", F.sum("n").over(w))
+    return counted.groupBy(*[F.col(k).alias(f"{name}_{k}") for k in [*keys, "metric"]]).agg(
+        F.max("total").alias(f"{name}_n"),
+        *[F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col(edge))).alias(f"{name}_q{q}") for q, edge in ((1, "bucket"), (3, "top"))],
     )
 
 
-def fences(stats_sketch: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
-    """One row per (lang, source): lo_<metric> and hi_<metric>, from the smallest group that is large enough."""
-    own = quantiles(stats_sketch, ["lang", "source"])
-    lang = quantiles(stats_sketch, ["lang"]).selectExpr("lang AS l_lang", "metric AS l_metric", "total AS l_total", "q1 AS l_q1", "q3 AS l_q3")
-    every = quantiles(stats_sketch, []).selectExpr("metric AS a_metric", "q1 AS a_q1", "q3 AS a_q3")
+def fences(stats_sketch: DataFrame, blend: int = BLEND, spread: int = SPREAD) -> DataFrame:
+    """One row per (lang, source): hi_<metric>, and lo_<metric> where there is a lower fence."""
+    own, lang, every = (quantiles(stats_sketch, keys, name) for keys, name in ((["lang", "source"], "o"), (["lang"], "l"), ([], "e")))
     j = (
-        own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
-        .join(every, F.col("metric") == F.col("a_metric"))
+        own.join(lang, F.col("o_lang").eqNullSafe(F.col("l_lang")) & (F.col("o_metric") == F.col("l_metric")))
+        .join(every, F.col("o_metric") == F.col("e_metric"))
     )
-    pick = lambda q: F.when(F.col("total") >= min_group, F.col(q)).when(F.col("l_total") >= min_group, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    j = j.select("lang", "source", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    leaned = lambda n, q, larger: (F.col(n) * F.col(q) + blend * larger) / (F.col(n) + blend)
+    q1, q3 = (leaned("o_n", f"o_q{q}", leaned("l_n", f"l_q{q}", F.col(f"e_q{q}"))) for q in (1, 3))
+    j = j.select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), F.col("o_metric").alias("metric"), q1.alias("q1"), q3.alias("q3"))
     aggs = []
-    for m, (_, _, floor, lower) in METRICS.items():
+    for m, (*_, lower) in METRICS.items():
         only = lambda c: F.max(F.when(F.col("metric") == m, c))  # noqa: B023, E731
-        aggs.append(only(F.greatest(F.lit(floor), F.col("q3") + spread * (F.col("q3") - F.col("q1")))).alias(f"hi_{m}"))
+        aggs.append(only(F.col("q3") + spread * (F.col("q3") - F.col("q1"))).alias(f"hi_{m}"))
         if lower:
-            aggs.append(only(F.col("q1") - spread * (F.col("q3") - F.col("q1")) - F.lit(1000)).alias(f"lo_{m}"))
+            aggs.append(only(F.col("q1") - spread * (F.col("q3") - F.col("q1"))).alias(f"lo_{m}"))
     return j.groupBy("lang", "source").agg(*aggs)
 
 
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
+def _breaks(errors: int) -> dict[str, str]:
+    """metric -> SQL, for Spark and DuckDB alike, of whether a document is outside its fences."""
+    out = {}
+    for m, (a, b, scale, _, lower) in METRICS.items():
+        at = lambda side: f"{side}_{m} * {b} / {scale}e0"  # noqa: B023, E731
+        out[m] = f"{a} - {at('hi')} > {errors} * sqrt({at('hi')} + 1)"
+        if lower:
+            out[m] += f" OR {at('lo')} - {a} > {errors} * sqrt(greatest({at('lo')}, 0) + 1)"
+        out[m] = f"coalesce({out[m]}, false)"
+    return out
+
+
+def quality_rules(docs: DataFrame, blend: int = BLEND, spread: int = SPREAD, errors: int = ERRORS) -> DataFrame:
     """Counts, base_failed, the names of the adaptive rules that a document breaks, and kept."""
-    spark = docs.sparkSession
-    stats = Scratch(spark, "rules").table(text_stats(docs), "stats")
-    limits = fences(sketch(stats), min_group, spread).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    broken = []
-    for m, (a, b, _, lower) in METRICS.items():
-        v = F.expr(f"{a} * 1000 div greatest({b}, 1)")
-        bad = (v > F.col(f"hi_{m}")) | ((v < F.col(f"lo_{m}")) if lower else F.lit(False))
-        broken.append(F.when(bad, F.lit(m)))
-    joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")))
-    out = joined.withColumn("base_failed", base).withColumn("broken", F.array_join(F.array(*broken), ","))
+    stats = Scratch(docs.sparkSession, "rules").table(text_stats(docs), "stats")
+    limits = fences(sketch(stats), blend, spread).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
+    joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+    broken = F.array_join(F.array(*[F.when(F.expr(bad), F.lit(m)) for m, bad in _breaks(errors).items()]), ",")
+    out = joined.withColumn("base_failed", base_failed()).withColumn("broken", broken)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("broken") == "")).alias("kept"), "broken",
@@ -133,12 +155,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_METRICS = "UNION ALL ".join(
-    f"SELECT lang, source, '{m}' AS metric, {a} * 1000 // greatest({b}, 1) AS v FROM stats " for m, (a, b, _, _) in METRICS.items()
+    f"SELECT lang, source, '{m}' AS metric, {a} * {scale} // greatest({b}, 1) AS v FROM stats WHERE NOT base_failed {f'AND {a} > 0 ' if some else ''}"
+    for m, (a, b, scale, some, _) in METRICS.items()
 )
-_SQL_BAD = {
-    m: f"coalesce({a} * 1000 // greatest({b}, 1) > hi_{m}" + (f" OR {a} * 1000 // greatest({b}, 1) < lo_{m}" if lower else "") + ", false)"
-    for m, (a, b, _, lower) in METRICS.items()
-}
+_LOW = f"greatest(length(bin(v)) - {BITS}, 0)"
+_QUARTILES = f"count(*) AS n, quantile_disc((v >> {_LOW}) << {_LOW}, 0.25) AS q1, quantile_disc(((v >> {_LOW}) + 1) << {_LOW}, 0.75) AS q3"
+_LEANED = ", ".join(f"(o.n * o.q{q} + {BLEND} * ((l.n * l.q{q} + {BLEND} * e.q{q}) / (l.n + {BLEND}))) / (o.n + {BLEND}) AS q{q}" for q in (1, 3))
+_FENCES = ", ".join(
+    f"max(q3 + {SPREAD} * (q3 - q1)) FILTER (metric = '{m}') AS hi_{m}" + (f", max(q1 - {SPREAD} * (q3 - q1)) FILTER (metric = '{m}') AS lo_{m}" if lower else "")
+    for m, (*_, lower) in METRICS.items()
+)
+_BROKEN = ", ".join(f"CASE WHEN {bad} THEN '{m}' END" for m, bad in _breaks(ERRORS).items())
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -150,24 +177,17 @@ WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text
    (SELECT k, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY k),
  stats AS (SELECT d.k, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    coalesce(ln.n, 0) AS n_lines, coalesce(ln.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+    coalesce(ln.n, 0) AS n_lines, coalesce(ln.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    (len(w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w)) AS base_failed
    FROM d LEFT JOIN ln USING (k) LEFT JOIN rep USING (k)),
  vals AS ({_SQL_METRICS}),
- b AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS bucket FROM vals),
- q0 AS (SELECT metric, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY metric),
- ql AS (SELECT lang, metric, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY lang, metric),
- qs AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY lang, source, metric),
- f AS (SELECT qs.lang, qs.source, qs.metric,
-    CASE WHEN qs.n >= {MIN_GROUP} THEN qs.q1 WHEN ql.n >= {MIN_GROUP} THEN ql.q1 ELSE q0.q1 END AS q1,
-    CASE WHEN qs.n >= {MIN_GROUP} THEN qs.q3 WHEN ql.n >= {MIN_GROUP} THEN ql.q3 ELSE q0.q3 END AS q3
-   FROM qs JOIN ql ON qs.lang IS NOT DISTINCT FROM ql.lang AND qs.metric = ql.metric JOIN q0 ON qs.metric = q0.metric),
- g AS (SELECT lang, source,
-    {", ".join(f"max(greatest({floor}, q3 + {SPREAD} * (q3 - q1))) FILTER (metric = '{m}') AS hi_{m}" for m, (_, _, floor, _) in METRICS.items())},
-    {", ".join(f"max(q1 - {SPREAD} * (q3 - q1) - 1000) FILTER (metric = '{m}') AS lo_{m}" for m, (_, _, _, lower) in METRICS.items() if lower)}
-   FROM f GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({" OR ".join(_SQL_BAD.values())}) AS kept,
-  array_to_string(list_filter([{", ".join(f"CASE WHEN {x} THEN '{m}' END" for m, x in _SQL_BAD.items())}], lambda x: x IS NOT NULL), ',') AS broken
-FROM stats JOIN g ON stats.lang IS NOT DISTINCT FROM g.lang AND stats.source IS NOT DISTINCT FROM g.source
+ e AS (SELECT metric, {_QUARTILES} FROM vals GROUP BY metric),
+ l AS (SELECT lang, metric, {_QUARTILES} FROM vals GROUP BY lang, metric),
+ o AS (SELECT lang, source, metric, {_QUARTILES} FROM vals GROUP BY lang, source, metric),
+ f AS (SELECT o.lang, o.source, o.metric, {_LEANED}
+   FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN e ON o.metric = e.metric),
+ g AS (SELECT lang, source, {_FENCES} FROM f GROUP BY lang, source),
+ r AS (SELECT stats.*, array_to_string(list_filter([{_BROKEN}], lambda x: x IS NOT NULL), ',') AS broken
+   FROM stats LEFT JOIN g ON stats.lang IS NOT DISTINCT FROM g.lang AND stats.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, broken FROM r
 """

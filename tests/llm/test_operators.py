@@ -364,9 +364,43 @@ def test_quality_rules_edges(spark, odd, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_fences_adapt_to_the_source(spark):
+    """The same text stays in a source where symbols are common and goes in one where they are not."""
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(400)]
+    plain = lambda: " ".join(rng.choice(words) for _ in range(80))
+    coded = lambda: " ".join(rng.choice(words) + ("#" if rng.random() < 0.4 else "") for _ in range(80))
+    rows = [(i, plain(), "en", "prose") for i in range(600)] + [(1000 + i, coded(), "en", "code") for i in range(600)]
+    same = " ".join(w + ("#" if k % 3 == 0 else "") for k, w in enumerate(rng.sample(words, 80)))
+    one = " ".join(rng.sample(words, 80)) + "#"
+    rows += [(2000, same, "en", "prose"), (2001, same, "en", "code"), (2002, one, "en", "prose"), (2003, same, None, None)]
+    df = docs_of(spark, rows)
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(df, blend=10).collect()}
+    assert not out[2000]["kept"] and out[2000]["broken"] == "symbols" and out[2001]["kept"]
+    assert out[2002]["kept"], "one symbol is within the error of a count"
+    assert all(out[r[0]]["kept"] for r in rows[:1200])
+    f = {r["source"]: r for r in quality_rules.fences(quality_rules.sketch(quality_rules.text_stats(df))).collect()}
+    assert f["prose"]["hi_symbols"] < f["code"]["hi_symbols"] and None in f
+
+
+def test_most_fences_differ_between_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    f = quality_rules.fences(quality_rules.sketch(quality_rules.text_stats(docs))).collect()
+    for c in ("hi_dup_lines", "hi_repeats", "hi_word_length", "lo_word_length"):
+        assert len({r[c] for r in f}) > len(f) / 2, c
+
+
+def test_quality_rules_separate_labelled_documents(spark):
+    """Of documents that pass the base rule, the fences drop the bad ones and keep the good ones."""
+    d = "/root/testdata/sf0.1"
+    out = quality_rules.quality_rules(spark.read.parquet(f"{d}/documents.parquet")).where("NOT base_failed")
+    kept = {r["quality"]: r["k"] for r in out.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert kept[0] < 0.02 and kept[1] > 0.995
+
+
 def test_sketches_merge(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     s = quality_rules.text_stats(docs)
     halves = [quality_rules.sketch(s.where(f"doc_id % 2 = {k}")) for k in (0, 1)]
-    merged = halves[0].union(halves[1]).groupBy("lang", "source", "metric", "bucket").agg(F.sum("n").alias("n"))
+    merged = halves[0].union(halves[1]).groupBy("lang", "source", "metric", "bucket", "top").agg(F.sum("n").alias("n"))
     assert merged.exceptAll(quality_rules.sketch(s)).count() == 0
