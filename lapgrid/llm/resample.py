@@ -3,15 +3,15 @@
 Unigrams and bigrams of lower-cased words are hashed into BUCKETS.  The raw
 model counts those of all documents, the target model those of documents
 labelled good (at most TARGET of them, those with the smallest id hashes, a
-bound on what is broadcast).  A document's log weight is the mean log ratio of
-the two models over its n-grams times the smaller of their number and LENGTH,
-so that long texts don't win by length.  Adding Gumbel noise, seeded by doc_id,
+bound on what is broadcast).  A document's log weight is the log ratio of its
+probabilities under the two models: the sum over all its n-grams, of a text of
+any length.  Adding Gumbel noise, seeded by doc_id,
 and taking the k largest keys samples k documents without replacement in
 proportion to their weights.  k defaults to the labelled share of good
 documents times the number of documents.  The k-th key is found by counting
 keys in ever finer ranges, so nothing is sorted or gathered whole.
 
-Null and empty texts have weight 0.  Ties at the k-th key, such as repeated
+Null and empty texts have log weight 0.  Ties at the k-th key, such as repeated
 rows, are all kept.  Without good labels both models are the same.  An empty
 table gives an empty result.
 """
@@ -30,7 +30,6 @@ from .scratch import Scratch, documents
 
 BUCKETS = 10_000
 TARGET = 50_000
-LENGTH = 200
 SEED = 23
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,7 +80,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
         out = []
         for t in texts:
             i = ngrams(t)
-            out.append(float(ratio[i].mean()) * min(len(i), LENGTH) if len(i) else 0.0)
+            out.append(float(ratio[i].sum()))
         return pd.Series(out, dtype="float64")
 
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 12).cast("double") + 0.5) / float(1 << 52)

@@ -1,6 +1,7 @@
 """Edge cases, brute force and round trips.  Each operator meets nulls, empty and long texts, ties, repeats, an empty table and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -344,16 +345,46 @@ def test_kth_largest(spark):
 
 
 def test_resampling_prefers_good_documents(spark, odd, empty):
-    d = "/root/testdata/sf0.01"
+    """On labels that took no part in the fit."""
+    d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    out = resample.resample(spark.read.parquet(f"{d}/documents.parquet"), labels)
-    r = out.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    held = F.abs(F.hash("doc_id")) % 5 == 0
+    out = resample.resample(spark.read.parquet(f"{d}/documents.parquet"), labels.where(~held))
+    r = out.join(labels.where(held), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {x["quality"]: x["kept"] for x in r}
     assert kept[1] > 0.95 and kept[0] < 0.2
     assert resample.resample(odd, labels.limit(0)).count() == odd.count()
     assert resample.resample(empty, labels).count() == 0
 
 
+def test_resampling_brute_force(spark):
+    """Models, weights, Gumbel keys and the k largest, in plain Python; a long text weighs by all its n-grams."""
+    rng = random.Random(12)
+    good, bad = [f"g{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(good if i % 3 else bad) for _ in range(rng.choice((1, 5, 40, 3000)))) for i in range(90)] + [None, "", "  "]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(45)], "doc_id long, quality int")
+    out = {r["doc_id"]: r for r in resample.resample(docs_of(spark, list(enumerate(texts))), labels, share=0.4).collect()}
+
+    def grams(t):
+        w = [x.lower() for x in (t or "").split()]
+        return [int(resample.ngrams(x)[0]) for x in w] + [int(resample.ngrams(f"{x} {y}")[2]) for x, y in zip(w, w[1:], strict=False)]
+
+    raw, target = defaultdict(int), defaultdict(int)
+    for i, t in enumerate(texts):
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i < 45 and i % 3 > 0
+    all_raw, all_target = sum(raw.values()) + resample.BUCKETS, sum(target.values()) + resample.BUCKETS
+    u = {r["doc_id"]: r["u"] for r in spark.range(len(texts)).withColumnRenamed("id", "doc_id").selectExpr(
+        "doc_id", f"(cast(shiftrightunsigned(xxhash64({resample.SEED}, doc_id), 12) AS double) + 0.5) / {1 << 52} AS u").collect()}
+    for i, t in enumerate(texts):
+        want = sum(math.log((target[g] + 1) / all_target) - math.log((raw[g] + 1) / all_raw) for g in grams(t))
+        assert out[i]["log_weight"] == pytest.approx(want, abs=1e-6)
+        assert out[i]["key"] == pytest.approx(want - math.log(-math.log(u[i])), abs=1e-6)
+    k = round(0.4 * len(texts))
+    assert {i for i in out if out[i]["kept"]} == set(sorted(out, key=lambda i: -out[i]["key"])[:k])
+
+
 # -- quality rules -------------------------------------------------------------
 
 def test_quality_rules_edges(spark, odd, empty):
