@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, documents
+from .spread import kth_largest
 
 BUCKETS = 10_000
 TARGET = 50_000
@@ -88,25 +89,6 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
     return w.select("doc_id", "log_weight", F.round(F.col("log_weight") - F.log(-F.log("u")), 9).alias("key"))
 
 
-def kth_largest(df: DataFrame, column: str, k: int, parts: int = 1024) -> float | None:
-    """The k-th largest value, by counting in ever finer ranges; nothing but the counts reaches the driver."""
-    lo, hi, n = df.agg(F.min(column), F.max(column), F.count(column)).head()
-    if not n or k <= 0:
-        return None
-    if k >= n:
-        return lo
-    while lo < hi:
-        step = (hi - lo) / parts
-        part = F.least(F.floor((F.col(column) - lo) / step), F.lit(parts - 1)) if step > 0 else F.lit(0)
-        rows = df.where(F.col(column).between(lo, hi)).groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).collect()
-        for r in sorted(rows, key=lambda r: -r["p"]):
-            if k <= r["n"]:
-                lo, hi = r["a"], r["b"]
-                break
-            k -= r["n"]
-    return lo
-
-
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight, key and kept for every document."""
     scratch = Scratch(docs.sparkSession, "resample")

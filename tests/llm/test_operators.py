@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -309,28 +310,78 @@ def test_tiling_catches_reordered_passages(spark, odd, empty):
     w = item.split()
     shuffled = " ".join(["x"] * 9 + w[20:] + ["y"] * 5 + w[:20] + ["z"] * 9)
     half = " ".join(w[:15]) + " " + " ".join(f"c{i}" for i in range(50))
-    bench = spark.createDataFrame([(1, item, "e"), (2, None, "e"), (3, "b0 b1", "e"), (4, item, "e")], "item_id long, text string, doc_id string")
-    docs = docs_of(spark, [(1, shuffled), (2, half), (3, item.upper().replace(" ", ", ")), (4, None), (None, item), (5, "b0 b1 b2")])
-    for size in (decontaminate.BLOCK_BYTES, 300):
+    bench = spark.createDataFrame([(1, item, "e"), (2, None, "e"), (3, "b0, b1", "e"), (4, item, "e"), (5, " ?! ", "e")], "item_id long, text string, doc_id string")
+    docs = docs_of(spark, [(1, shuffled), (2, half), (3, item.upper().replace(" ", ", ")), (4, None), (None, item), (5, "b0 b1 b2"), (6, "first\nB0 (b1)\nlast")])
+    for size in (decontaminate.BLOCK_BYTES, 100):
         got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["n_tiles"]) for r in decontaminate.contaminated(docs, bench, block_bytes=size).collect()}
-        assert got == {(d, i): c for i in (1, 4) for d, c in ((1, (1.0, 2)), (3, (1.0, 1)), (None, (1.0, 1)))}
+        assert got == {(d, i): c for i in (1, 4) for d, c in ((1, (1.0, 2)), (3, (1.0, 1)), (None, (1.0, 1)))} | {(6, 3): (1.0, 1)}
+        left = decontaminate.clean(docs, bench, block_bytes=size)
+        assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {2, 4, 5}
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == decontaminate.contaminated(empty, bench).count() == 0
+    assert decontaminate.clean(odd, bench.limit(0)).count() == odd.count()
 
 
-def test_tiles_never_overlap():
+def test_blocks_are_within_their_size(spark):
+    texts = [f"item {i} " + "x" * 50 for i in range(12)] + ["long " * 300] + ["same text"] * 500
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    blocks = [[r["text"] for r in b.collect()] for b in decontaminate._blocks(bench, 400)]
+    assert sorted(t for b in blocks for t in b) == sorted(set(texts))
+    assert all(len(b) == 1 or sum(map(len, b)) <= 400 for b in blocks)
+
+
+def greedy_tiles(a, b, width=5):
+    """Greedy string tiling straight from its definition."""
+    used_a, used_b, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] >= 0 and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < width:
+            return out
+        out.append((i, j, n))
+        used_a |= set(range(i, i + n))
+        used_b |= set(range(j, j + n))
+
+
+def test_tiling_brute_force():
+    import numpy as np
+
     rng = random.Random(4)
-    for _ in range(200):
-        a, b = [rng.randrange(4) for _ in range(60)], [rng.randrange(4) for _ in range(20)]
-        pairs = [(i, j) for i in range(56) for j in range(16) if a[i : i + 5] == b[j : j + 5]]
-        if not pairs:
-            continue
-        tiles = decontaminate.tile(pairs)
-        assert [t[2] for t in tiles] == sorted((t[2] for t in tiles), reverse=True)
-        for side in (0, 1):
-            used = [t[side] + k for t in tiles for k in range(t[2])]
-            assert len(used) == len(set(used))
-        assert all(a[d + k] == b[i + k] for d, i, n in tiles for k in range(n))
-        assert tiles[0][2] == max(next(e for e in range(99) if i + e >= 60 or j + e >= 20 or a[i + e] != b[j + e]) for i, j in pairs)
+    for k in range(150):
+        letters = rng.choice((1, 2, 4, 30))
+        a, b = [rng.randrange(-(k % 2), letters) for _ in range(rng.randrange(45))], [rng.randrange(letters) for _ in range(rng.randrange(1, 25))]
+        assert decontaminate.tile(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) == greedy_tiles(a, b), (a, b)
+
+
+def test_contamination_brute_force(spark):
+    rng = random.Random(14)
+    items = [" ".join(f"t{rng.randrange(12)}" for _ in range(rng.randrange(5, 25))) for _ in range(12)]
+    texts = [" ".join(rng.choice([rng.choice(items), f"u{rng.randrange(9)}", f"t{rng.randrange(12)}"])[: rng.choice((9, 40, 999))] for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["n_tiles"], r["longest"]) for r in decontaminate.contaminated(docs_of(spark, list(enumerate(texts))), bench).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            code = {w: k for k, w in enumerate(dict.fromkeys(x.split()))}
+            tiles = greedy_tiles([code.get(w, -1) for w in t.split()], [code[w] for w in x.split()])
+            c = sum(n for _, _, n in tiles) / len(x.split())
+            if c >= decontaminate.COVERAGE:
+                want[d, i] = (round(c, 6), len(tiles), max(n for _, _, n in tiles))
+    assert got == want and want
+
+
+def test_tiling_of_long_repetition(spark):
+    """A text of 500,000 equal words against an item of 200."""
+    bench = spark.createDataFrame([(1, "a " * 200), (2, "a b " * 3000)], "item_id long, text string")
+    docs = docs_of(spark, [(1, "a " * 500_000), (2, "a b " * 250_000)])
+    began = time.time()
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): 1.0, (2, 2): 1.0} and time.time() - began < 60
 
 
 # -- importance resampling -----------------------------------------------------
