@@ -9,17 +9,20 @@ double the length, by pairs of ranks: rank k orders suffixes by their first
 range-partitioned, and offsets come from the partitions' totals.  A pair that
 occurs once leaves the race.
 
-An interval of the array with a common prefix of MIN_WORDS or more is named by
-two overlapping ranks.  For each suffix this is done for the shortest prefix
-with enough words, and likewise for the shortest stretch that ends at each
+Suffixes whose common prefix has MIN_WORDS or more form an interval of the
+array, named by two overlapping ranks of the shortest prefix with enough words;
+likewise for the shortest stretch that ends at each
 line.  Every line of a maximal repeated run lies in one or the other, so the
 stretches of an interval other than its first, in order of doc_id, text hash
-and line, cover exactly the later copies, and their lines are deleted.
+and line, cover exactly the later copies, and their lines are deleted.  An
+interval may hold any number of suffixes: it is dealt in parts (spread.py).
 
 Lines without a word are no part of runs and stay, unless no word is left:
 then the text becomes empty.  A null text stays null.  Rows with equal doc_id
 and text count as one document, and null ids come first.  Repeats within a
-document count like any other.  An empty table gives an empty result.
+document count like any other.  Lines are equal if 128 bits of hash are.  An
+empty table gives an empty result.  Other columns keep their values, whatever
+their names; n_lines and n_removed replace columns of these names.
 """
 
 from __future__ import annotations
@@ -34,13 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import Scratch, documents
+from .spread import unused, with_group
 
 MIN_WORDS = 50
 DOC = ["doc_id", "th"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, i, line, h, size, w): place among lines with a word, line number, hash, bytes and words."""
+    """(doc_id, th, i, line, h, g, w): place among lines with a word, line number, two halves of its hash, and words."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -49,15 +53,16 @@ def _lines(docs: DataFrame) -> DataFrame:
                 n = 0
                 for k, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                     if w := len(line.split()):
-                        rows.append((n, k, xxhash.xxh3_64_intdigest(line) - 2**63, len(line), w))
+                        h, g = divmod(xxhash.xxh3_128_intdigest(line), 2**64)
+                        rows.append((n, k, h - 2**63, g - 2**63, w))
                         n += 1
                 reps.append(n)
-            out = pd.DataFrame(rows, columns=["i", "line", "h", "size", "w"])
+            out = pd.DataFrame(rows, columns=["i", "line", "h", "g", "w"])
             for c in ("th", "doc_id"):
                 out.insert(0, c, b[c].repeat(reps).reset_index(drop=True))
             yield out
 
-    return docs.mapInPandas(work, "doc_id long, th long, i int, line int, h long, size int, w int")
+    return docs.mapInPandas(work, "doc_id long, th long, i int, line int, h long, g long, w int")
 
 
 def ranked(pairs: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
@@ -149,10 +154,10 @@ def _named(levels: int):
 def repeated_stretches(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     """(doc_id, th, line, last): stretches of lines of which an equal stretch comes earlier."""
     lines = scratch.table(_lines(docs.select("doc_id", "th", "text")), "lines")
-    counts = lines.groupBy("h", "size").agg(F.count("*").alias("n")).where("n > 1")
-    first = ranked(counts, ["h", "size"], scratch).select("h", "size", "r")
+    counts = lines.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1")
+    first = ranked(counts, ["h", "g"], scratch).select("h", "g", "r")
     rows = _by_document(
-        lines.join(first, ["h", "size"]).select(*DOC, "i", "line", "w", "r").dropDuplicates([*DOC, "i"]), _stretches(min_words),
+        lines.join(first, ["h", "g"]).select(*DOC, "i", "line", "w", "r").dropDuplicates([*DOC, "i"]), _stretches(min_words),
         "doc_id long, th long, island int, i int, line int, r long, fwd int, bwd int")
     rows = scratch.table(rows.withColumnRenamed("r", "r0"), "rows")
     scratch.drop(lines)
@@ -170,18 +175,19 @@ def repeated_stretches(docs: DataFrame, min_words: int, scratch: Scratch) -> Dat
     scratch.drop(rows)
     name = ["kind", "n", "a", "b"]
     place = F.struct("doc_id", "th", "i")
-    firsts = found.groupBy(*name).agg(F.min(place).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
-    return found.join(firsts, name).where(~place.eqNullSafe(F.col("first"))).select(*DOC, "line", "last").distinct()
+    many = with_group(found, name, [*DOC, "i"], {"first": (place, "min"), "many": (F.lit(1), "sum")}, "many > 1")
+    return many.where(~place.eqNullSafe(F.col("first"))).select(*DOC, "line", "last").distinct()
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of docs with later copies of repeated runs cut out of text, and n_lines and n_removed (lines with a word)."""
     scratch = Scratch(docs.sparkSession, "linededup")
-    keyed = docs.withColumn("th", F.xxhash64("text"))
-    gone = repeated_stretches(keyed.select("doc_id", "text", "th"), min_words, scratch)
-    gone = scratch.table(gone.groupBy(*DOC).agg(F.collect_list(F.struct("line", "last")).alias("cut")), "gone").withColumnsRenamed({"doc_id": "g_id", "th": "g_th"})
+    th, g_id, g_th, spans, done = unused(docs, "th", "g_id", "g_th", "spans", "done")
+    keyed = docs.withColumn(th, F.xxhash64("text"))
+    gone = repeated_stretches(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), min_words, scratch)
+    gone = scratch.table(gone.groupBy(*DOC).agg(F.collect_list(F.struct("line", "last")).alias(spans)), "gone").withColumnsRenamed({"doc_id": g_id, "th": g_th})
     # Texts are shuffled at every size alike; the cuts have no bound that would let them be broadcast.
-    joined = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
+    joined = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.col(th) == F.col(g_th)), "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -201,9 +207,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out.append(("\n".join(left) if len(drop) < n else "", n, len(drop)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
-    done = joined.withColumn("_cut", cut("text", "cut"))
-    kept = [F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return done.select(*kept, "_cut.n_lines", "_cut.n_removed")
+    made = joined.withColumn(done, cut("text", spans))
+    kept = [F.col(f"{done}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return made.select(*kept, f"{done}.n_lines", f"{done}.n_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from oracle import check
 from pyspark.sql import functions as F
 
-from lapgrid.llm import chat_format, decontaminate, line_dedup, mixing, near_dup, pii, quality_rules, registry, resample, toxicity, warc
+from lapgrid.llm import chat_format, decontaminate, line_dedup, mixing, near_dup, pii, quality_rules, registry, resample, spread, toxicity, warc
 
 COLS = "doc_id long, text string, lang string, source string, n_chars long, size long, s string, target double, th long, key string, words string"
 
@@ -269,6 +269,27 @@ def test_line_dedup_edges(spark, odd, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    cols = ["th", "cut", "g_id", "g_th", "_cut", "h", "g", "i", "line", "last", "spans", "done", "first", "many", "_part", "a.b", "n_lines", "TH2"]
+    df = spark.createDataFrame([(i, f"own{i}\n{line}", *[f"{c}{i}" for c in cols]) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in cols))
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(df).collect()}
+    assert [out[i]["text"] for i in range(3)] == [f"own0\n{line}", "own1", "own2"]
+    for i in range(3):
+        assert all(out[i][c] == f"{c}{i}" for c in cols if c != "n_lines") and (out[i]["n_lines"], out[i]["n_removed"]) == (2, int(i > 0))
+
+
+def test_group_parts_give_whole_groups(spark):
+    """A hot key's rows get the aggregates of the whole group, from any number of parts."""
+    rows = [(("hot", "b", "c")[min(i % 100 // 90, 1) + (i % 1000 == 999)], i) for i in range(4000)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    out = spread.with_group(df, ["k"], ["v"], {"lo": (F.col("v"), "min"), "hi": (F.col("v"), "max"), "n": (F.lit(1), "sum")}, "n > 5").collect()
+    for k in ("hot", "b"):
+        mine = [v for x, v in rows if x == k]
+        assert sorted(r["v"] for r in out if r["k"] == k) == mine and {(r["lo"], r["hi"], r["n"]) for r in out if r["k"] == k} == {(min(mine), max(mine), len(mine))}
+    assert {r["k"] for r in out} == {"hot", "b"}
+
+
 # -- personal data -------------------------------------------------------------
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
