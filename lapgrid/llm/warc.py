@@ -11,7 +11,8 @@ to single members by that index.
 Files go to the shared folder under names of their own for each attempt, and
 only those named by the committed table are read, so lost executors do no harm.
 An archive closes at ARCHIVE_BYTES of payload or ARCHIVE_RECORDS records, so
-one task's work on it is bounded.
+one task's work on it is bounded, and rewriting and reading are dealt over as many tasks as there are archives.  Pages
+with one payload, such as empty ones, are dealt in parts (spread.py).
 
 Null html is an empty payload; a null url is written as urn:page:<id>.  The
 response among equal payloads is the one with the smallest page_id, null ids
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, documents, fresh_path
+from .spread import with_group
 
 ARCHIVE_BYTES = 64 << 20
 ARCHIVE_RECORDS = 50_000
@@ -153,15 +155,14 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
 def roles(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """The records with revisit and refers_to, by groups of equal payloads of at least min_bytes."""
     rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "archive", "idx")
-    same = records.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(
-        F.min(rank).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    same = with_group(records.where(F.col("payload_bytes") >= min_bytes), ["digest", "payload_bytes"], ["archive", "idx"], {"first": (rank, "min")})
     later = ~((F.col("archive") == F.col("first.archive")) & (F.col("idx") == F.col("first.idx")))
-    joined = records.join(same, ["digest", "payload_bytes"], "left")
-    return joined.select("archive", "idx", F.coalesce(F.col("first").isNotNull() & later, F.lit(False)).alias("revisit"), F.col("first.page_id").alias("refers_to"))
+    alone = records.where(F.col("payload_bytes") < min_bytes).select("archive", "idx", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers_to"))
+    return same.select("archive", "idx", later.alias("revisit"), F.when(later, F.col("first.page_id")).alias("refers_to")).unionByName(alone)
 
 
-def normalise(record_roles: DataFrame, source: str, folder: str, level: int = 3) -> DataFrame:
-    """Rewrites archives record by record; gives the offset index.  Take it once, into a table."""
+def normalise(record_roles: DataFrame, source: str, folder: str, tasks: int, level: int = 3) -> DataFrame:
+    """Rewrites archives record by record, in so many tasks; gives the offset index.  Take it once, into a table."""
 
     def rewrite(group: pd.DataFrame) -> pd.DataFrame:
         name = group["archive"].iloc[0]
@@ -189,7 +190,7 @@ def normalise(record_roles: DataFrame, source: str, folder: str, level: int = 3)
             side.write("".join(f"{p}\t{k}\t{o}\t{n}\n" for _, o, n, p, k in rows).encode())
         return pd.DataFrame(rows, columns=["archive", "offset", "length", "page_id", "record_type"]).astype({"page_id": "Int64"})
 
-    return record_roles.groupBy("archive").applyInPandas(rewrite, "archive string, offset long, length long, page_id long, record_type string")
+    return record_roles.repartition(tasks, "archive").groupBy("archive").applyInPandas(rewrite, "archive string, offset long, length long, page_id long, record_type string")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
@@ -215,7 +216,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             frame = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
             yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return index.mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    tasks = max(index.select("archive").distinct().count(), 1)
+    return index.repartition(tasks, "archive").sortWithinPartitions("archive", "offset").mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, str]:
@@ -224,7 +226,8 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, str]
     scratch = Scratch(spark, "warc")
     raw, final = fresh_path(spark, "warc-raw"), fresh_path(spark, "warc-archives")
     records = scratch.table(write_archives(pages, raw), "records")
-    index = scratch.table(normalise(roles(records, min_bytes), raw, final), "index")
+    tasks = max(records.select("archive").distinct().count(), 1)
+    index = scratch.table(normalise(roles(records, min_bytes), raw, final, tasks), "index")
     scratch.drop(records)
     where = spark._jvm.org.apache.hadoop.fs.Path(raw)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
