@@ -13,7 +13,8 @@ Pairs are confirmed on full sets, and never listed for a whole bucket at once:
 the members of a bucket first meet its smallest member, the hub; with the
 components so far, hubs whose members are one component are closed; the members
 of the others are compared block by block inside tasks, only between components
-and within the signature distance, and only links that connect something new
+and within the signature distance, by signatures alone at first; full sets travel
+only with members that have such a partner, and only links that connect something new
 are emitted.  Components come from repeated
 propagation of the smallest id with pointer jumping, in written rounds.
 
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, documents
+from .spread import with_group
 
 SHINGLE = 5
 CHUNKS = 8
@@ -140,8 +142,8 @@ def open_groups(index: DataFrame, comps: DataFrame) -> DataFrame:
     Buckets with one hub are mostly those of one family of texts, so a member is sent once for all of them.
     """
     c = index.select("hub", "doc_id").distinct().join(comps, "doc_id", "left").select("hub", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    spread = c.groupBy("hub").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    return c.join(spread.where("n > 2 AND lo < hi").drop("lo", "hi"), "hub")
+    whole = with_group(c, ["hub"], ["doc_id"], {"n": (F.lit(1), "sum"), "lo": (F.col("c"), "min"), "hi": (F.col("c"), "max")}, "n > 2 AND lo < hi")
+    return whole.select("hub", "doc_id", "c", "n")
 
 
 def _lanes(x: np.ndarray) -> np.ndarray:
@@ -170,38 +172,54 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, chunks: int, limit: int, share: int) -> DataFrame:
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Members of open groups, dealt by hash into blocks of about BLOCK rows; a member once for each pair of blocks (p, q) that it is in."""
+    big = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    big = big.withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return big.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).drop("n", "blocks", "other")
+
+
+def _near(g: pd.DataFrame, limit: int):
+    """Places of the two sides of a block pair, and pairs of them in different components, within the distance and without the hub."""
+    hub, p, q = g["hub"].iloc[0], g["p"].iloc[0], g["q"].iloc[0]
+    mine, ids, c = g["mine"].to_numpy(), g["doc_id"].to_numpy(), g["c"].to_numpy()
+    x, y = np.flatnonzero((mine == p) & (ids != hub)), np.flatnonzero((mine == q) & (ids != hub))
+    if not len(x) or not len(y):
+        return x, y, np.zeros((0, 2), dtype=np.int64)
+    sig = np.stack(g["sig"].to_numpy()).view(np.uint64)
+    far = np.zeros((len(x), len(y)), dtype=np.uint16)
+    for k in range(sig.shape[1]):
+        far += _lanes(sig[x, k][:, None] ^ sig[y, k][None, :])
+    todo = (far <= limit) & (c[x][:, None] != c[y][None, :])
+    if p == q:
+        todo &= ids[x][:, None] < ids[y][None, :]
+    return x, y, np.argwhere(todo)
+
+
+def block_links(rows: DataFrame, sigs: DataFrame, docs: DataFrame, limit: int, share: int, width: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) inside open groups, between components.
 
-    Members are dealt by hash into blocks of about BLOCK rows and each pair of
-    blocks is compared in one task's group, first by signature.  Of the links
+    Each pair of blocks is compared in one task's group, first by signature alone.  Only members with a partner within
+    the distance go on, and only they bring their full sets along.  Of the links
     found there as many are given as connect the same documents.
     """
-    big = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    big = big.withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    big = big.join(sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    big = big.select("hub", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "doc_id", "c", "sig", "s")
+    key = ["hub", "p", "q"]
+
+    def candidates(g: pd.DataFrame) -> pd.DataFrame:
+        x, y, at = _near(g, limit)
+        return g.iloc[np.unique(np.concatenate([x[at[:, 0]], y[at[:, 1]]]))][["hub", "p", "q", "mine", "doc_id", "c", "sig"]]
+
+    members = _dealt(rows.join(sigs.select("doc_id", "sig"), "doc_id"))
+    some = scratch.table(members.groupBy(*key).applyInPandas(candidates, "hub long, p int, q int, mine int, doc_id long, c long, sig array<long>"), "near")
+    sets = scratch.table(full_sets(docs, some.select("doc_id").distinct(), width), "sets")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("doc_id")
-        hub, p, q = g["hub"].iloc[0], g["p"].iloc[0], g["q"].iloc[0]
-        x, y = g[g["mine"] == p], g[g["mine"] == q]
-        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        if not len(x) or not len(y):
-            return none
-        ids = [f["doc_id"].to_numpy() for f in (x, y)]
-        sig = [np.stack(f["sig"].to_numpy()).view(np.uint64) for f in (x, y)]
-        far = np.zeros((len(x), len(y)), dtype=np.uint16)
-        for c in range(chunks):
-            far += _lanes(sig[0][:, None, c] ^ sig[1][None, :, c])
-        todo = (far <= limit) & (x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :]) & (ids[0][:, None] != ids[1][None, :])
-        if p == q:
-            todo &= ids[0][:, None] < ids[1][None, :]
-        todo &= (ids[0][:, None] != hub) & (ids[1][None, :] != hub)
-        at = np.argwhere(todo)
+        x, y, at = _near(g, limit)
         if not len(at):
-            return none
-        sets = [[np.asarray(v) for v in f["s"]] for f in (x, y)]
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        ids, held = g["doc_id"].to_numpy(), [np.asarray(v) for v in g["s"]]
+        sets = [[held[i] for i in x], [held[i] for i in y]]
         size = [np.array([len(v) for v in f]) for f in sets]
         if len(at) > 1000:
             both = _shared(*sets)[at[:, 0], at[:, 1]]
@@ -216,14 +234,17 @@ def block_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, chunks: int,
             return v
 
         out = []
-        for i, j in at:
-            u, v = find(ids[0][i]), find(ids[1][j])
+        for i, j in zip(ids[x[at[:, 0]]].tolist(), ids[y[at[:, 1]]].tolist(), strict=True):
+            u, v = find(i), find(j)
             if u != v:
                 root[max(u, v)] = min(u, v)
-                out.append((ids[0][i], ids[1][j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64") if out else none
+                out.append((i, j))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return big.groupBy("hub", "p", "q").applyInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = some.join(sets, "doc_id").groupBy(*key).applyInPandas(compare, "a long, b long")
+    out = scratch.table(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    scratch.drop(some, sets)
+    return out
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -251,7 +272,7 @@ def near_duplicates(docs: DataFrame, share: int = 80, chunks: int = CHUNKS + 2,
     """doc_id, n_shingles, component_id and kept for every row; links join sets with 100 * intersection >= share * union."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    limit = 2 * chunks + 2  # the guaranteed distance is 2 * chunks - 1; what the indexes find beyond it is used as well
+    limit = 2 * chunks - 1  # the distance up to which the indexes find every pair
     sig = scratch.table(signatures(docs, chunks, width), "sig")
     live = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.table(live.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
@@ -268,9 +289,8 @@ def near_duplicates(docs: DataFrame, share: int = 80, chunks: int = CHUNKS + 2,
 
     rows = scratch.table(open_groups(index, components(links, scratch)), "open")
     scratch.drop(index, stars)
-    sets = scratch.table(full_sets(docs, rows.select("doc_id").distinct(), width), "sets")
-    more = scratch.table(block_links(rows, reps, sets, chunks, limit, share), "more")
-    scratch.drop(rows, sets)
+    more = block_links(rows, reps, docs, limit, share, width, scratch)
+    scratch.drop(rows)
 
     # Rows that share a doc_id join the classes of their texts.
     twice = live.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
