@@ -12,6 +12,7 @@ import pytest
 from oracle import check
 from pyspark.sql import functions as F
 
+from lapgrid.llm.scratch import Scratch
 from lapgrid.llm import chat_format, decontaminate, line_dedup, mixing, near_dup, pii, quality_rules, registry, resample, spread, toxicity, warc
 
 COLS = "doc_id long, text string, lang string, source string, n_chars long, size long, s string, target double, th long, key string, words string"
@@ -184,7 +185,7 @@ def test_sainte_lague_quotients(spark):
     t = [rng.uniform(1, 5000) for _ in range(40)]
     total, block = sum(t), 37
     df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(t)], "sid int, shard long, target double")
-    got = {r["sid"]: r["quota"] for r in mixing.apportion(df, block, total).collect()}
+    got = {r["sid"]: r["quota"] for r in mixing.apportion(df, block, total, Scratch(spark, "test")).collect()}
     won = [0] * len(t)
     for _ in range(round(total / block)):
         i = max(range(len(t)), key=lambda i: t[i] / (2 * won[i] + 1))
