@@ -3,23 +3,27 @@
 Labels say toxic or not; severity grades come from them by rule.  Features are
 words and word prefixes that toxic labelled documents hold significantly more
 often (z score of the log odds).  A clean document has grade 0; a toxic one has
-grade 1, 2 or 3 by the terciles of its number of such words.  One weight vector
+grade 1, 2 or 3 by the terciles of its number of words that are toxic by a lexicon selected
+on the other half of the labelled documents, so no document is graded by words that it helped to choose.
+One weight vector
 is shared by all grades and only the ordered thresholds differ:
 P(grade > k) = sigmoid(w.x - theta_k), x = log(1 + count); the number of words is
 one more feature, so that long texts need more hits.  The result has the
 expected severity, the sum of these probabilities, and is_toxic,
 P(grade > 0) >= 0.5.
 
-Training uses at most SAMPLE labelled documents of each class, those with the
-smallest hashes of their ids; classes are weighed back to their true shares.
+Words are split at space and the ASCII controls 9 to 13, lower-cased, and stripped of ASCII punctuation,
+by one function for selection, training and scoring.  Training uses at most SAMPLE labelled documents of each class, those with the
+smallest hashes of their ids, and at most FEATURES features, those with the largest z scores; classes are weighed back to their true shares.
 Selection of features is a Spark aggregation; what reaches the driver is at
 most FEATURES names and the hits of 2 * SAMPLE documents.  Every document is
 scored, over its whole text.
 
 Null or empty text: no features, severity by the thresholds alone.  Repeated
 rows get the same score; labels of a repeated doc_id count once, toxic if any
-is.  Null labels are skipped.  Without labels of both classes nothing is toxic
-and severity is 0.  An empty table gives an empty result.
+is, and of documents that share a labelled id one is trained on, the one with the smallest text hash.
+Null labels are skipped.  Without labels of both classes nothing is toxic
+and severity is 0.  An empty table gives an empty result.  Columns of the input named like a result are replaced, others keep their values.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -34,9 +39,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, documents
+from .spread import unused
 
 SAMPLE = 6000
-FEATURES = 3000
+FEATURES = 20_000
 Z = 4.0
 PREFIXES = (3, 4, 5, 6, 7)
 GRADES = 3
@@ -44,32 +50,35 @@ _EDGES = "".join(chr(c) for c in range(33, 127) if unicodedata.category(chr(c))[
 _MEMO = 200_000
 
 
-def features_of(word: str) -> list[str]:
-    return ["w:" + word] + [f"p:{word[:n]}" for n in PREFIXES if len(word) > n]
+def words_of(text: str | None) -> list[bytes]:
+    """The lower-cased words of a text, as UTF-8."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
-def stripped(word: str) -> str:
-    return word.strip(_EDGES)
+def features_of(word: bytes) -> list[str]:
+    w = word.decode("utf-8", "surrogatepass").strip(_EDGES)
+    return ["w:" + w] + [f"p:{w[:n]}" for n in PREFIXES if len(w) > n] if w else []
 
 
 def _hits(texts: pd.Series, known: dict[str, int]):
     """For each text the counts of known features, as a dict of index to count; the last index has the number of words."""
-    memo: dict[str, list[int]] = {}
+    memo: dict[bytes, list[int]] = {}
     for t in texts:
         found: dict[int, int] = {}
-        for raw, n in Counter((t or "").lower().split()).items():
+        words = words_of(t)
+        for raw, n in Counter(words).items():
             if (ix := memo.get(raw)) is None:
                 if len(memo) > _MEMO:
                     memo.clear()
-                ix = memo[raw] = [known[f] for f in features_of(stripped(raw)) if f in known]
+                ix = memo[raw] = [known[f] for f in features_of(raw) if f in known]
             for i in ix:
                 found[i] = found.get(i, 0) + n
-        found[len(known)] = len((t or "").split())
+        found[len(known)] = len(words)
         yield found
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """text, toxic and weight of at most ``size`` documents of each class."""
+    """text, toxic, weight and fold (0 or 1) of at most ``size`` documents of each class."""
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     parts = []
@@ -77,28 +86,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
         ids = one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
         parts.append(ids.withColumn("weight", F.lit(n / min(n, size))))
     if not parts:
-        return docs.select("text", F.lit(0).alias("toxic"), F.lit(1.0).alias("weight")).limit(0)
+        return docs.selectExpr("text", "0 AS toxic", "1e0 AS weight", "0 AS fold").limit(0)
     ids = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", "weight")
-
-
-def _all_features(text: Column) -> Column:
-    """The distinct features of a text, by built-in functions; the same strings as features_of."""
-    edge = "[" + "".join("\\" + c for c in _EDGES) + "]+"
-    words = F.array_distinct(F.transform(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")), lambda w: F.regexp_replace(w, f"^{edge}|{edge}$", "")))
-    def prefix(n: int) -> Column:
-        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.lit("p:"), F.substring(w, 1, n)))
-
-    prefixes = [prefix(n) for n in PREFIXES]
-    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), *prefixes))
+    one = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("text", "toxic", "weight", F.pmod(F.hash("doc_id"), F.lit(2)).alias("fold"))
 
 
 def select_features(sample: DataFrame, z: float, most: int) -> list[str]:
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return []
-    seen = sample.select("toxic", F.explode(_all_features(F.col("text"))).alias("f")).groupBy("f").agg(
-        F.sum("toxic").alias("a"), F.count("*").alias("both"))
+
+    def distinct(batches):
+        for b in batches:
+            found = [sorted({f for w in set(words_of(t)) for f in features_of(w)}) for t in b["text"]]
+            yield pd.DataFrame({"toxic": b["toxic"].repeat([len(x) for x in found]).to_numpy(), "f": [f for x in found for f in x]})
+
+    seen = sample.select("toxic", "text").mapInPandas(distinct, "toxic int, f string").groupBy("f").agg(F.sum("toxic").alias("a"), F.count("*").alias("both"))
     a, c = F.col("a") + 0.5, F.col("both") - F.col("a") + 0.5
     odds = F.log(a / (n[1] - F.col("a") + 0.5)) - F.log(c / (n[0] - F.col("both") + F.col("a") + 0.5))
     score = odds / F.sqrt(1 / a + 1 / c)
@@ -106,16 +110,16 @@ def select_features(sample: DataFrame, z: float, most: int) -> list[str]:
     return [r["f"] for r in top.select("f").collect()]
 
 
-def fit_ordinal(rows, y, weight, width: int, steps: int = 400, rate: float = 0.05, l2: float = 1e-4):
+def fit_ordinal(rows, y, weight, width: int, steps: int = 400, rate: float = 0.05, l2: float = 1e-4, enough: float = 1e-4):
     """Weights and ordered thresholds by full-batch Adam on the weighted log likelihood.  rows: dicts of index to count.
 
-    Only the weight of the length, the last, may be negative."""
+    Only the weight of the length, the last, may be negative.  It ends when ten steps gain less than a share ``enough`` of the loss."""
     r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     c = np.fromiter((i for x in rows for i in x), dtype=np.int64)
     v = np.log1p(np.fromiter((n for x in rows for n in x.values()), dtype=np.float64))
     w, cuts = np.zeros(width), np.concatenate([[1.0], np.zeros(GRADES - 1)])  # first cut, then logs of the gaps
     m1, m2 = np.zeros(width + GRADES), np.zeros(width + GRADES)
-    total = weight.sum()
+    total, losses = weight.sum(), []
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -35, 35)))
     for t in range(1, steps + 1):
         eta = np.bincount(r, v * w[c], minlength=len(rows))
@@ -123,6 +127,9 @@ def fit_ordinal(rows, y, weight, width: int, steps: int = 400, rate: float = 0.0
         theta = cuts[0] + np.concatenate([[0], np.cumsum(gaps)])
         up = np.hstack([np.ones((len(rows), 1)), sig(eta[:, None] - theta), np.zeros((len(rows), 1))])  # P(grade >= k)
         p = np.maximum(up[np.arange(len(rows)), y] - up[np.arange(len(rows)), y + 1], 1e-12)
+        losses.append(-(weight * np.log(p)).sum() / total + l2 / 2 * (w * w).sum())
+        if t > 40 and min(losses[:-10]) - min(losses[-10:]) < enough * min(losses[-10:]):
+            break
         d = up * (1 - up)
         g_eta = -weight * (d[np.arange(len(rows)), y] - d[np.arange(len(rows)), y + 1]) / p / total
         g_theta = np.zeros(GRADES + 2)
@@ -145,30 +152,29 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, z: floa
     if not names:
         return None
     known = {f: i for i, f in enumerate(names)}
+    other = [{f: i for i, f in enumerate(select_features(sample.where(F.col("fold") == 1 - k), z, most)) if f[0] == "w"} for k in (0, 1)]
 
     def hits(batches):
         for b in batches:
-            found = list(_hits(b["text"], known))
-            yield pd.DataFrame({"toxic": b["toxic"], "weight": b["weight"], "ix": [list(x) for x in found], "n": [list(x.values()) for x in found]})
+            found, held = list(_hits(b["text"], known)), [list(_hits(b["text"], o)) for o in other]
+            toxic_words = [sum(held[f][k].values()) - held[f][k][len(other[f])] for k, f in enumerate(b["fold"])]
+            yield pd.DataFrame({"toxic": b["toxic"], "weight": b["weight"], "words": toxic_words, "ix": [list(x) for x in found], "n": [list(x.values()) for x in found]})
 
-    got = sample.mapInPandas(hits, "toxic int, weight double, ix array<int>, n array<int>").collect()
-    got.sort(key=lambda r: (r["toxic"], r["ix"], r["n"]))
+    got = sample.mapInPandas(hits, "toxic int, weight double, words long, ix array<int>, n array<int>").collect()
+    got.sort(key=lambda r: (r["toxic"], r["words"], r["ix"], r["n"]))
     rows = [dict(zip(r["ix"], r["n"], strict=True)) for r in got]
-    toxic, weight = np.array([r["toxic"] for r in got]), np.array([r["weight"] for r in got])
-    total = np.array([sum(n for i, n in x.items() if i < len(names)) for x in rows])
-    cut = np.quantile(total[toxic == 1], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + (total > cut[0]) + (total > cut[1]), 0)
+    toxic, weight, words = (np.array([r[c] for r in got]) for c in ("toxic", "weight", "words"))
+    cut = np.quantile(words[toxic == 1], [1 / 3, 2 / 3])
+    grade = np.where(toxic == 1, 1 + (words > cut[0]) + (words > cut[1]), 0)
     w, theta = fit_ordinal(rows, grade, weight, len(names) + 1)
     return names, w, theta
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """The columns of docs, and p_toxic, expected_severity and is_toxic."""
-    if model is None:
-        return docs.withColumns({"p_toxic": F.lit(0.0), "expected_severity": F.lit(0.0), "is_toxic": F.lit(False)})
+def _above(model) -> Callable[[Column], Column]:
+    """A column function: P(grade > k) for each k."""
     names, w, theta = model
     known = {f: i for i, f in enumerate(names)}
-    logs = [math.log1p(n) for n in range(256)]
+    logs, theta = [math.log1p(n) for n in range(256)], np.asarray(theta)
 
     @F.pandas_udf("array<double>")
     def above(texts: pd.Series) -> pd.Series:
@@ -178,10 +184,23 @@ def score(docs: DataFrame, model) -> DataFrame:
             out.append(list(1 / (1 + np.exp(-np.clip(eta - theta, -35, 35)))))
         return pd.Series(out)
 
-    scored = docs.withColumn("_above", above(F.col("text")))
-    p = F.round(F.element_at("_above", 1), 9)
-    total = F.round(F.aggregate("_above", F.lit(0.0), lambda a, x: a + x), 9)
-    return scored.withColumns({"p_toxic": p, "expected_severity": total, "is_toxic": F.element_at("_above", 1) >= 0.5}).drop("_above")
+    return above
+
+
+def is_toxic(text: Column, model) -> Column:
+    """Whether a text is toxic; false without a model."""
+    return F.lit(False) if model is None else F.element_at(_above(model)(text), 1) >= 0.5
+
+
+def score(docs: DataFrame, model) -> DataFrame:
+    """The columns of docs, and p_toxic, expected_severity and is_toxic."""
+    if model is None:
+        return docs.withColumns({"p_toxic": F.lit(0.0), "expected_severity": F.lit(0.0), "is_toxic": F.lit(False)})
+    (above,) = unused(docs, "above")
+    scored = docs.withColumn(above, _above(model)(F.col("text")))
+    p = F.round(F.element_at(above, 1), 9)
+    total = F.round(F.aggregate(above, F.lit(0.0), lambda a, x: a + x), 9)
+    return scored.withColumns({"p_toxic": p, "expected_severity": total, "is_toxic": F.element_at(above, 1) >= 0.5}).drop(above)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -150,6 +150,54 @@ def test_toxicity_edges(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_ordinal_fit_is_at_the_maximum():
+    """The fitted model's numeric gradient is flat, its thresholds are in order, and a planted model is found again."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [{0: int(rng.integers(0, 6)), 1: int(rng.integers(0, 6)), 2: 50} for _ in range(3000)]
+    eta = np.array([1.5 * math.log1p(x[0]) + 0.5 * math.log1p(x[1]) for x in rows])
+    y = (rng.random(3000)[:, None] < 1 / (1 + np.exp(-(eta[:, None] - [1.0, 2.0, 3.0])))).sum(axis=1)
+    w, theta = toxicity.fit_ordinal(rows, y, np.ones(3000), 3, l2=0.0, steps=2000, enough=1e-7)
+    off = w[2] * math.log1p(50)
+    assert list(theta) == sorted(theta) and w[0] == pytest.approx(1.5, abs=0.25) and w[1] == pytest.approx(0.5, abs=0.25)
+    x = np.array([[math.log1p(r[k]) for k in range(3)] for r in rows])
+
+    def loss(w, theta):
+        up = np.hstack([np.ones((3000, 1)), 1 / (1 + np.exp(-((x @ w)[:, None] - theta))), np.zeros((3000, 1))])
+        k = np.arange(3000)
+        return -np.log(up[k, y] - up[k, y + 1]).mean()
+
+    assert np.all(np.abs(np.array([1.0, 2.0, 3.0]) - (theta - off)) < 0.4)
+    for i in range(3):
+        for d in (-0.01, 0.01):
+            assert loss(w, theta + d * (np.arange(3) == i)) > loss(w, theta) - 1e-5 and loss(w + d * (np.arange(3) == i), theta) > loss(w, theta) - 2e-5
+
+
+def test_toxicity_scores_brute_force(spark):
+    """p_toxic and the expected severity from the model's own numbers, over whole texts, split at ASCII spaces alone."""
+    model = (["w:bad", "p:wor", "w:foo\u00a0bar"], [1.0, 0.5, 2.0, -0.1], [1.0, 1.5, 2.5])
+    texts = ["bad Bad, (worse) word", "fine", None, "", "foo\u00a0bar foo bar", "x " * 400_000 + "bad", "bad " * 700, "w\u0130 BAD!"]
+    out = {r["doc_id"]: r for r in toxicity.score(docs_of(spark, list(enumerate(texts))).withColumn("p_toxic", F.lit("own")), model).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        bare = [w.strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum())) for w in words]
+        n = [sum(w == "bad" for w in bare), sum(w[:3] == "wor" and len(w) > 3 for w in bare), sum(w == "foo\u00a0bar" for w in bare), len(words)]
+        eta = sum(a * math.log1p(b) for a, b in zip(model[1], n, strict=True))
+        p = [1 / (1 + math.exp(-(eta - t))) for t in model[2]]
+        assert (out[i]["p_toxic"], out[i]["expected_severity"]) == (pytest.approx(p[0], abs=1e-8), pytest.approx(sum(p), abs=1e-8)), i
+        assert out[i]["is_toxic"] == (p[0] >= 0.5)
+
+
+def test_toxicity_trains_once_on_a_repeated_document(spark):
+    rows = [(1, f"foul{i % 3} text") for i in range(5000)] + [(10 + i, f"foul{i % 7} rude words") for i in range(40)] + [(100 + i, "kind words") for i in range(40)]
+    labels = spark.createDataFrame([(1, 1)] * 1000 + [(i, int(i < 100)) for i in list(range(10, 50)) + list(range(100, 140))], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs_of(spark, rows), labels, 6000).collect()
+    assert len(sample) == 81 and {r["fold"] for r in sample} == {0, 1}
+    got = toxicity.toxicity(docs_of(spark, rows), labels).where("is_toxic").select("doc_id").distinct().collect()
+    assert {r["doc_id"] for r in got} >= set(range(10, 50)) and not {r["doc_id"] for r in got} & set(range(100, 140))
+
+
 # -- mixing --------------------------------------------------------------------
 
 def water_fill(sizes):
