@@ -15,9 +15,9 @@ def _norm(v):
     return v
 
 
-def check(df, sql, sf):
+def check(df, sql, sf, tables=TABLES):
     con = duckdb.connect()
-    for t in TABLES:
+    for t in tables:
         p = f"{sf}/{t}.parquet"
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{p}{'/*.parquet' if os.path.isdir(p) else ''}'")
     rel = con.sql(sql)
