@@ -1,4 +1,10 @@
-"""A training corpus from documents, in five stages; each stage's result is written and read again."""
+"""A training corpus from documents, in five stages; each stage's result is written and read again.
+
+Null and empty texts pass all stages (a text that line dedup empties is a copy
+of kept lines, and goes).  Repeated rows are repeated documents, of which the near-duplicate stage
+keeps one.  Columns that documents has beyond its own keep their values,
+whatever their names.  Empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
@@ -11,18 +17,24 @@ from lapgrid.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
 from lapgrid.llm.scratch import Scratch, documents
 
 
+DOCUMENT = ["doc_id", "text"]
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is not among the given ones.  A null id is never among them."""
-    return docs.join(ids.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(ids.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(docs, documents(spark, sf_dir, "labels")).where(~F.col("is_toxic")).select(docs.columns)
+    model = toxicity.train(docs.select("doc_id", "text"), documents(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return docs.where(~toxicity.is_toxic(F.col("text"), model))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    out = line_dedup.line_dedup(docs.select(*DOCUMENT, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    left = out.where("n_removed = 0 OR text <> ''")
+    now = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return left.select(*[now.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +46,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not twice.limit(1).count():
         return left
-    again = left.join(twice.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct([c for c in docs.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
-    return without(left, twice).unionByName(again.select(docs.columns))
+    again = left.join(twice.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("r"))
+    return without(left, twice).unionByName(again.select("r.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, documents(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminate.clean(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
