@@ -44,35 +44,52 @@ def point_in_obb(x: Column, y: Column, z: Column, box: Column) -> Column:
     return F.when(F.abs(det) < 1e-15, False).otherwise(inside[0] & inside[1] & inside[2])
 
 
-def _turn(ax, ay, bx, by, cx, cy) -> Column:
-    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+#: How far apart on an axis two shapes may lie and still touch; a fixed value.
+TOUCH = 1e-9
 
 
-def segments_intersect(a, b, c, d, eps: float = 1e-9) -> Column:
+def _least(values: list[Column]) -> Column:
+    return F.least(*values) if len(values) > 1 else values[0]
+
+
+def _greatest(values: list[Column]) -> Column:
+    return F.greatest(*values) if len(values) > 1 else values[0]
+
+
+def _normals(points: list, closed: bool = True) -> list:
+    """The normal of each side of a polygon."""
+    ends = [*points[1:], points[0]] if closed else points[1:]
+    return [(p[1] - q[1], q[0] - p[0]) for p, q in zip(points, ends, strict=False)]
+
+
+def convex_overlap(p: list, q: list, eps: float = TOUCH) -> Column:
+    """Whether two convex shapes, each a list of corners (x, y), share a point; touching counts.
+
+    By separating axes: they do unless their shadows on the normal of a side, or on the x or y axis, lie apart.
+    A point or a segment is a shape like others; the two axes decide where sides are parallel or have no length.
+    """
+    out = F.lit(True)
+    sides = [n for shape in (p, q) if len(shape) > 1 for n in _normals(shape, len(shape) > 2)]
+    for ax, ay in [(F.lit(1), F.lit(0)), (F.lit(0), F.lit(1)), *sides]:
+        u, v = ([ax * x + ay * y for x, y in shape] for shape in (p, q))
+        out = out & (_least(u) <= _greatest(v) + eps) & (_least(v) <= _greatest(u) + eps)
+    return out
+
+
+def segments_intersect(a, b, c, d, eps: float = TOUCH) -> Column:
     """Segments a-b and c-d, each end (x, y); touching counts."""
-    o1, o2, o3, o4 = _turn(*a, *b, *c), _turn(*a, *b, *d), _turn(*c, *d, *a), _turn(*c, *d, *b)
-    on = lambda o, p, q, r: (F.abs(o) <= eps) & r[0].between(F.least(p[0], q[0]) - eps, F.greatest(p[0], q[0]) + eps) & r[1].between(F.least(p[1], q[1]) - eps, F.greatest(p[1], q[1]) + eps)
-    cross = (((o1 > eps) & (o2 < -eps)) | ((o1 < -eps) & (o2 > eps))) & (((o3 > eps) & (o4 < -eps)) | ((o3 < -eps) & (o4 > eps)))
-    return cross | on(o1, a, b, c) | on(o2, a, b, d) | on(o3, c, d, a) | on(o4, c, d, b)
+    return convex_overlap([a, b], [c, d], eps)
 
 
-def point_in_rect(x, y, r) -> Column:
-    return x.between(r[0], r[2]) & y.between(r[1], r[3])
+def point_in_rect(x, y, r, eps: float = TOUCH) -> Column:
+    return x.between(r[0] - eps, r[2] + eps) & y.between(r[1] - eps, r[3] + eps)
 
 
-def point_in_triangle(p, a, b, c) -> Column:
+def point_in_triangle(p, a, b, c, eps: float = TOUCH) -> Column:
     """The border counts."""
-    t1, t2, t3 = _turn(*a, *b, *p), _turn(*b, *c, *p), _turn(*c, *a, *p)
-    return ((t1 >= 0) & (t2 >= 0) & (t3 >= 0)) | ((t1 <= 0) & (t2 <= 0) & (t3 <= 0))
-
-
-def rect_intersects_triangle(r, a, b, c) -> Column:
-    """A vertex in the box, a corner in the triangle, or two edges that meet; boxes that miss are out first."""
-    boxes = bbox_overlap(list(r), [F.least(a[0], b[0], c[0]), F.least(a[1], b[1], c[1]), F.greatest(a[0], b[0], c[0]), F.greatest(a[1], b[1], c[1])])
-    corners = [(r[0], r[1]), (r[2], r[1]), (r[2], r[3]), (r[0], r[3])]
-    hit = point_in_rect(*a, r) | point_in_rect(*b, r) | point_in_rect(*c, r)
-    for k, p in enumerate(corners):
-        hit = hit | point_in_triangle(p, a, b, c)
-        for u, v in ((a, b), (b, c), (c, a)):
-            hit = hit | segments_intersect(p, corners[(k + 1) % 4], u, v)
-    return boxes & hit
+    return convex_overlap([p], [a, b, c], eps)
+
+
+def rect_intersects_triangle(r, a, b, c, eps: float = TOUCH) -> Column:
+    """The box (x0, y0, x1, y1) and the triangle share a point."""
+    return convex_overlap([(r[0], r[1]), (r[2], r[1]), (r[2], r[3]), (r[0], r[3])], [a, b, c], eps)

@@ -125,8 +125,8 @@ def closed(px: DataFrame, kind: str, r: int, width: int, height: int) -> DataFra
 # -- regions ---------------------------------------------------------------
 
 def label_components(px: DataFrame, diagonal: bool = True) -> DataFrame:
-    """(x, y, comp): connected pixels by runs; comp is the smallest run id y * 2^20 + x0 of the region."""
-    runs = cut(to_runs(px).withColumn("id", F.col("y") * (1 << 20) + F.col("x0")))
+    """(x, y, comp): connected pixels by runs; comp is the smallest run id y * 2^32 + x0 of the region."""
+    runs = cut(to_runs(px).withColumn("id", F.col("y") * (1 << 32) + F.col("x0")))
     s = 1 if diagonal else 0
     a, b = runs.select("y", "x0", "x1", F.col("id").alias("a")), runs.select((F.col("y") - 1).alias("yb"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("id").alias("b"))
     edges = a.join(b, (F.col("y") == F.col("yb")) & (F.col("u0") <= F.col("x1") + s) & (F.col("u1") + s >= F.col("x0"))).select("a", "b")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixtures
 from ..functions import geo, predicates, text
 from .register import Register, r6
 
@@ -82,8 +83,16 @@ R.columns("c15_geo_to_local", "telemetry", lambda: (lambda p: [C("session_id"),
 R.columns("c17_box_to_window", "rects", lambda: [C("rect_id"), *flat(geo.box_to_window(C("x0") / 256, C("y0") / 256, C("x1") / 256, C("y1") / 256, F.lit(1008), F.lit(998)), "x0", "y0", "x1", "y1")],
           "rect_id, trunc(x0 / 256 * 1008)::INT AS w_x0, trunc(y0 / 256 * 998)::INT AS w_y0, greatest(trunc(x1 / 256 * 1008)::INT, trunc(x0 / 256 * 1008)::INT + 1) AS w_x1, greatest(trunc(y1 / 256 * 998)::INT, trunc(y0 / 256 * 998)::INT + 1) AS w_y1")
 R.columns("c18_scaled_size", "centers", lambda: [C("point_id"), geo.scaled_size(C("x"), F.lit(0.165)).alias("scaled")], "point_id, trunc(x * 0.165e0)::INT AS scaled")
-R.columns("c19_utm_to_wgs84", "centers", lambda: (lambda p: [C("point_id"), F.round(p["lon"], 4).alias("lon"), F.round(p["lat"], 4).alias("lat")])(geo.utm_to_wgs84(F.lit(500000.0), C("y") * 0.0 + 0.0, 49)),
-          "point_id, 111e0 AS lon, 0e0 AS lat")
+# The checking SQL has the other well-known inverse, by footpoint latitude and powers of the distance from the central meridian.
+R.columns("c19_utm_to_wgs84", "centers", lambda: (lambda p: [C("point_id"), F.round(p["lon"], 5).alias("lon"), F.round(p["lat"], 5).alias("lat")])(geo.utm_to_wgs84(300000.0 + 40.0 * C("x"), 401.0 * C("y"), 49)), "point_id, lon, lat")
+R.sql["c19_utm_to_wgs84"] = fixtures.ctes("centers") + """,
+ k AS (SELECT 6378137e0 AS a, 0.00669437999014133e0 AS e2, 0.00673949674227643e0 AS ep, 0.00167922038638370e0 AS e1),
+ m AS (SELECT point_id, 300000e0 + 40 * x - 500000 AS dx, 401e0 * y / 0.9996 / (a * (1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256)) AS mu, k.* FROM centers, k),
+ f AS (SELECT *, mu + (3 * e1 / 2 - 27 * e1 ** 3 / 32) * sin(2 * mu) + (21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32) * sin(4 * mu) + 151 * e1 ** 3 / 96 * sin(6 * mu) + 1097 * e1 ** 4 / 512 * sin(8 * mu) AS phi FROM m),
+ g AS (SELECT *, ep * cos(phi) ** 2 AS c, tan(phi) ** 2 AS t, a / sqrt(1 - e2 * sin(phi) ** 2) AS n, a * (1 - e2) / (1 - e2 * sin(phi) ** 2) ** 1.5 AS r FROM f),
+ h AS (SELECT *, dx / (n * 0.9996) AS d FROM g)
+SELECT point_id, round(111 + degrees((d - (1 + 2 * t + c) * d ** 3 / 6 + (5 - 2 * c + 28 * t - 3 * c ** 2 + 8 * ep + 24 * t ** 2) * d ** 5 / 120) / cos(phi)), 5) AS lon,
+ round(degrees(phi - n * tan(phi) / r * (d ** 2 / 2 - (5 + 3 * t + 10 * c - 4 * c ** 2 - 9 * ep) * d ** 4 / 24 + (61 + 90 * t + 298 * c + 45 * t ** 2 - 252 * ep - 3 * c ** 2) * d ** 6 / 720)), 5) AS lat FROM h"""
 R.columns("c21_haversine", "telemetry", lambda: [C("session_id"), C("seq"), F.round(geo.haversine_m(C("lat"), C("lon"), F.lit(22.7), F.lit(113.9)), 4).alias("d")],
           "session_id, seq, round(2 * 6371000e0 * asin(sqrt(pow(sin(radians(22.7e0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(22.7e0)) * pow(sin(radians(113.9e0 - lon) / 2), 2))), 4) AS d")
 R.columns("c22_shift_by_metres", "telemetry", lambda: (lambda p: [C("session_id"), C("seq"), F.round(p["lat"], 9).alias("lat2"), F.round(p["lon"], 9).alias("lon2")])(geo.shift_by_metres(C("lat"), C("lon"), F.lit(12.5), F.lit(-3.0), F.lit(22.7))),

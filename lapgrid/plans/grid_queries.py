@@ -54,15 +54,15 @@ R.query("g3_open", f"WITH {_RECT_PX}, {_ERODE} SELECT DISTINCT x + dx AS x, y +
 R.query("g3_close", f"""WITH {_RECT_PX}, d AS (SELECT DISTINCT x + dx AS x, y + dy AS y FROM rpx, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE tag = 5 AND x + dx BETWEEN 0 AND {N - 1} AND y + dy BETWEEN 0 AND {N - 1}), {_CANVAS},
  z AS (SELECT * FROM cv EXCEPT SELECT * FROM d), g AS (SELECT DISTINCT x + dx AS x, y + dy AS y FROM z, range(-1, 2) a(dx), range(-1, 2) b(dy)) SELECT * FROM d EXCEPT SELECT * FROM g""", "rects")(
     lambda r: grid.closed(filled(r, 5), "rect", 1, N, N))
-_CC = """s AS (SELECT x, y FROM rpx WHERE tag = 5), ru AS (SELECT y, min(x) AS x0, max(x) AS x1, y * 1048576 + min(x) AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM s) GROUP BY y, g),
+_CC = """s AS (SELECT x, y FROM rpx WHERE tag = 5), ru AS (SELECT y, min(x) AS x0, max(x) AS x1, y * 4294967296 + min(x) AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM s) GROUP BY y, g),
  e AS (SELECT a.id AS a, b.id AS b FROM ru a JOIN ru b ON abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1),
  re(a, b) AS (SELECT id, id FROM ru UNION SELECT re.a, e.b FROM re JOIN e ON re.b = e.a), rc AS (SELECT a, min(b) AS comp FROM re GROUP BY a),
- cc AS (SELECT s.y * 1048576 + s.x AS id, comp FROM s JOIN ru ON s.y = ru.y AND s.x BETWEEN ru.x0 AND ru.x1 JOIN rc ON rc.a = ru.id)"""
-R.query("g4_components", f"WITH {_RECT_PX}, {_CC} SELECT comp, count(*) AS n, min(id % 1048576) AS x0, min(id // 1048576) AS y0, max(id % 1048576) AS x1, max(id // 1048576) AS y1 FROM cc GROUP BY comp", "rects")(
+ cc AS (SELECT s.y * 4294967296 + s.x AS id, comp FROM s JOIN ru ON s.y = ru.y AND s.x BETWEEN ru.x0 AND ru.x1 JOIN rc ON rc.a = ru.id)"""
+R.query("g4_components", f"WITH {_RECT_PX}, {_CC} SELECT comp, count(*) AS n, min(id % 4294967296) AS x0, min(id // 4294967296) AS y0, max(id % 4294967296) AS x1, max(id // 4294967296) AS y1 FROM cc GROUP BY comp", "rects")(
     lambda r: grid.label_components(filled(r, 5)).groupBy("comp").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")))
 R.query("k2_largest_region", f"WITH {_RECT_PX}, {_CC} SELECT comp, count(*) AS n FROM cc GROUP BY comp ORDER BY n DESC, comp LIMIT 1", "rects")(
     lambda r: grid.label_components(filled(r, 5)).groupBy("comp").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "comp").limit(1))
-R.query("g5_flood", f"WITH {_RECT_PX}, {_CC} SELECT id % 1048576 AS x, id // 1048576 AS y FROM cc WHERE comp IN (SELECT comp FROM cc WHERE (id % 1048576) % 50 = 0)", "rects")(
+R.query("g5_flood", f"WITH {_RECT_PX}, {_CC} SELECT id % 4294967296 AS x, id // 4294967296 AS y FROM cc WHERE comp IN (SELECT comp FROM cc WHERE (id % 4294967296) % 50 = 0)", "rects")(
     lambda r: (lambda p: grid.flood(p.where("x % 50 = 0"), p))(filled(r, 5).select("x", "y")))
 R.query("g7_distance", f"WITH {_RECT_PX} SELECT x + dx AS x, y + dy AS y, min(dx * dx + dy * dy) AS d2 FROM rpx, range(-4, 5) a(dx), range(-4, 5) b(dy) WHERE tag = 5 AND dx * dx + dy * dy <= 16 AND x + dx BETWEEN 0 AND {N - 1} AND y + dy BETWEEN 0 AND {N - 1} GROUP BY 1, 2", "rects")(
     lambda r: grid.distance2(filled(r, 5), N, N, 4))
@@ -70,9 +70,16 @@ R.query("g8_gap_close", f"""WITH {_RECT_PX}, d AS (SELECT tag = 5 AS road, x + d
  m AS (SELECT a.x, a.y FROM d a JOIN d b ON a.x = b.x AND a.y = b.y AND a.road AND NOT b.road WHERE sqrt(a.d2) + sqrt(b.d2) <= 6 AND (a.x, a.y) NOT IN (SELECT (x, y) FROM rpx WHERE tag IN (3, 5)))
 SELECT x, y FROM rpx WHERE tag = 5 UNION SELECT x, y FROM m""", "rects")(
     lambda r: (lambda a, b: grid.close_gap(a, b, a.union(b), 6, N, N))(filled(r, 5), filled(r, 3)))
-R.query("g6_interior_holes", None, "rects")(lambda r: grid.interior_holes(filled(r, 5), N, N, 3))
+R.query("g6_interior_holes", f"""WITH {_RECT_PX}, {_CANVAS}, z AS (SELECT * FROM cv EXCEPT SELECT x, y FROM rpx),
+ zr AS (SELECT y, min(x) AS x0, max(x) AS x1, y * 4294967296 + min(x) AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM z) GROUP BY y, g),
+ ze AS (SELECT a.id AS a, b.id AS b FROM zr a JOIN zr b ON abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+ out(id) AS (SELECT id FROM zr WHERE y IN (0, {N - 1}) OR x0 = 0 OR x1 = {N - 1} UNION SELECT b FROM out JOIN ze ON a = id),
+ hr AS (SELECT * FROM zr WHERE id NOT IN (SELECT id FROM out)),
+ hc(a, b) AS (SELECT id, id FROM hr UNION SELECT hc.a, ze.b FROM hc JOIN ze ON hc.b = ze.a),
+ hp AS (SELECT y, unnest(range(x0, x1 + 1)) AS x, comp FROM hr JOIN (SELECT a, min(b) AS comp FROM hc GROUP BY a) ON a = id)
+SELECT x, y, comp FROM hp WHERE comp IN (SELECT comp FROM hp GROUP BY comp HAVING count(*) >= 3)""", "rects")(lambda r: grid.interior_holes(filled(r), N, N, 3))
 R.query("a19_majority_neighbour", f"""WITH {_RECT_PX}, {_CC}, lb AS (SELECT x, y, max(tag) AS tag FROM rpx WHERE tag < 5 GROUP BY x, y),
- g AS (SELECT DISTINCT id % 1048576 + dx AS x, id // 1048576 + dy AS y, comp FROM cc, range(-1, 2) a(dx), range(-1, 2) b(dy)), h AS (SELECT * FROM g WHERE (x, y, comp) NOT IN (SELECT (id % 1048576, id // 1048576, comp) FROM cc)),
+ g AS (SELECT DISTINCT id % 4294967296 + dx AS x, id // 4294967296 + dy AS y, comp FROM cc, range(-1, 2) a(dx), range(-1, 2) b(dy)), h AS (SELECT * FROM g WHERE (x, y, comp) NOT IN (SELECT (id % 4294967296, id // 4294967296, comp) FROM cc)),
  n AS (SELECT comp, tag, count(*) AS n FROM h JOIN lb USING (x, y) GROUP BY comp, tag)
 SELECT comp, tag, n AS contacts FROM (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY n DESC, tag) AS r FROM n) WHERE r = 1""", "rects")(
     lambda r: grid.majority_neighbour(grid.label_components(filled(r, 5)), grid.composite(filled(r).where("tag < 5")), N, N))

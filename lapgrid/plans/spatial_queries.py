@@ -23,12 +23,6 @@ R.query("j20_box_overlap", """SELECT a.rect_id, b.rect_id AS b_id, (least(a.x1,
  FROM rects a JOIN rects b ON a.rect_id < b.rect_id AND a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0
  WHERE 2 * (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= (a.x1 - a.x0) * (a.y1 - a.y0)""", "rects")(
     lambda r: spatial.box_join(r, _other(r, "true"), _BOX, _RBOX, 16).where("rect_id < b_id").withColumn("area", F.expr("(least(x1, bx1) - greatest(x0, bx0)) * (least(y1, by1) - greatest(y0, by0))")).where("2 * area >= (x1 - x0) * (y1 - y0)").select("rect_id", "b_id", "area"))
-_EDGES = "ed AS (SELECT a.ring_id, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM rings a JOIN rings b ON a.ring_id = b.ring_id AND b.v = (a.v + 1) % 16 WHERE a.ring_id < 60)"
-R.query("j3_points_in_polygons", f"""WITH {_EDGES} SELECT point_id, ring_id FROM centers p JOIN ed ON (ay > p.y) <> (ey > p.y) AND p.x < ax + (p.y - ay) * (ex - ax)::DOUBLE / (ey - ay) GROUP BY point_id, ring_id HAVING count(*) % 2 = 1""", "centers", "rings")(
-    lambda p, r: spatial.points_in_rings(p, spatial.ring_edges(r.where("ring_id < 60"), "ring_id", "v"), "ring_id", 64))
-R.query("f4_inside_outer_not_hole", f"""WITH {_EDGES}, m AS (SELECT point_id, ring_id FROM centers p JOIN ed ON (ay > p.y) <> (ey > p.y) AND p.x < ax + (p.y - ay) * (ex - ax)::DOUBLE / (ey - ay) GROUP BY point_id, ring_id HAVING count(*) % 2 = 1)
-SELECT DISTINCT point_id FROM m WHERE ring_id % 2 = 0 AND point_id NOT IN (SELECT point_id FROM m WHERE ring_id % 2 = 1)""", "centers", "rings")(
-    lambda p, r: (lambda m: m.where("ring_id % 2 = 0").select("point_id").distinct().join(m.where("ring_id % 2 = 1"), "point_id", "left_anti"))(spatial.points_in_rings(p, spatial.ring_edges(r.where("ring_id < 60"), "ring_id", "v"), "ring_id", 64)))
 _ALL_EDGES = "ed AS (SELECT a.ring_id, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM rings a JOIN rings b ON a.ring_id = b.ring_id AND b.v = (a.v + 1) % 16)"
 _ALL_IN = "SELECT point_id, ring_id FROM centers p JOIN ed ON (ay > p.y) <> (ey > p.y) AND p.x < ax + (p.y - ay) * (ex - ax)::DOUBLE / (ey - ay) GROUP BY point_id, ring_id HAVING count(*) % 2 = 1"
 
@@ -37,26 +31,18 @@ def _in_all(p, r):
     return spatial.points_in_rings(p, spatial.ring_edges(r, "ring_id", "v"), "ring_id", 256)
 
 
-R.query("j3_points_in_all_polygons", f"WITH {_ALL_EDGES} {_ALL_IN}", "centers", "rings")(_in_all)
-R.query("f4_inside_any_outer_not_hole", f"WITH {_ALL_EDGES}, m AS ({_ALL_IN}) SELECT DISTINCT point_id FROM m WHERE ring_id % 2 = 0 AND point_id NOT IN (SELECT point_id FROM m WHERE ring_id % 2 = 1)", "centers", "rings")(
-    lambda p, r: (lambda m: m.where("ring_id % 2 = 0").select("point_id").distinct().join(m.where("ring_id % 2 = 1"), "point_id", "left_anti"))(_in_all(p, r)))
-_SMALL = "sr AS (SELECT ring_id, v, x // 16 AS x, y // 16 AS y FROM rings WHERE x >= 0 AND y >= 0 AND ring_id NOT IN (SELECT ring_id FROM rings WHERE x < 0 OR y < 0))"
-R.query("r1_polygon_fill", f"""WITH {_SMALL}, ed AS (SELECT a.ring_id, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM sr a JOIN sr b ON a.ring_id = b.ring_id AND b.v = (a.v + 1) % 16 WHERE a.y <> b.y),
- sc AS (SELECT ring_id, y, ax + (y + 0.5e0 - ay) * (ex - ax) / (ey - ay) AS pos, ax, ex FROM (SELECT *, unnest(range(least(ay, ey), greatest(ay, ey))) AS y FROM ed)),
- pr AS (SELECT *, row_number() OVER w AS r, lead(pos) OVER w AS nxt FROM sc WINDOW w AS (PARTITION BY ring_id, y ORDER BY pos, ax, ex))
-SELECT ring_id, y, ceil(pos - 0.5)::BIGINT AS x0, (ceil(nxt - 0.5) - 1)::BIGINT AS x1 FROM pr WHERE r % 2 = 1 AND ceil(pos - 0.5) <= ceil(nxt - 0.5) - 1""", "rings")(
-    lambda r: spatial.fill_rings(spatial.ring_edges(r.join(r.where("x < 0 OR y < 0").select("ring_id").distinct(), "ring_id", "left_anti").select("ring_id", "v", F.expr("x div 16").alias("x"), F.expr("y div 16").alias("y")), "ring_id", "v"), "ring_id"))
+for _name in ("j3_points_in_polygons", "j3_points_in_all_polygons"):  # one query under its two names
+    R.query(_name, f"WITH {_ALL_EDGES} {_ALL_IN}", "centers", "rings")(_in_all)
+for _name in ("f4_inside_outer_not_hole", "f4_inside_any_outer_not_hole"):
+    R.query(_name, f"WITH {_ALL_EDGES}, m AS ({_ALL_IN}) SELECT DISTINCT point_id FROM m WHERE ring_id % 2 = 0 AND point_id NOT IN (SELECT point_id FROM m WHERE ring_id % 2 = 1)", "centers", "rings")(
+        lambda p, r: (lambda m: m.where("ring_id % 2 = 0").select("point_id").distinct().join(m.where("ring_id % 2 = 1"), "point_id", "left_anti"))(_in_all(p, r)))
 _ALL_SMALL = "sr AS (SELECT ring_id, v, floor(x / 16)::BIGINT AS x, floor(y / 16)::BIGINT AS y FROM rings)"
-R.query("r1_fill_all_polygons", f"""WITH {_ALL_SMALL}, ed AS (SELECT a.ring_id, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM sr a JOIN sr b ON a.ring_id = b.ring_id AND b.v = (a.v + 1) % 16 WHERE a.y <> b.y),
+for _name in ("r1_polygon_fill", "r1_fill_all_polygons"):
+    R.query(_name, f"""WITH {_ALL_SMALL}, ed AS (SELECT a.ring_id, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM sr a JOIN sr b ON a.ring_id = b.ring_id AND b.v = (a.v + 1) % 16 WHERE a.y <> b.y),
  sc AS (SELECT ring_id, y, ax + (y + 0.5e0 - ay) * (ex - ax) / (ey - ay) AS pos, ax, ex FROM (SELECT *, unnest(range(least(ay, ey), greatest(ay, ey))) AS y FROM ed)),
  pr AS (SELECT *, row_number() OVER w AS r, lead(pos) OVER w AS nxt FROM sc WINDOW w AS (PARTITION BY ring_id, y ORDER BY pos, ax, ex))
 SELECT ring_id, y, ceil(pos - 0.5)::BIGINT AS x0, (ceil(nxt - 0.5) - 1)::BIGINT AS x1 FROM pr WHERE r % 2 = 1 AND ceil(pos - 0.5) <= ceil(nxt - 0.5) - 1""", "rings")(
-    lambda r: spatial.fill_rings(spatial.ring_edges(r.select("ring_id", "v", F.floor(F.col("x") / 16).alias("x"), F.floor(F.col("y") / 16).alias("y")), "ring_id", "v"), "ring_id"))
-R.query("j19_nearest_edge", """WITH ed AS (SELECT layout, x AS ax, y AS ay, lead(x, 1, fx) OVER w AS ex, lead(y, 1, fy) OVER w AS ey FROM (SELECT *, first_value(x) OVER (PARTITION BY layout ORDER BY idx) AS fx, first_value(y) OVER (PARTITION BY layout ORDER BY idx) AS fy FROM track WHERE idx % 20 = 0) WINDOW w AS (PARTITION BY layout ORDER BY idx)),
- p AS (SELECT point_id, point_id % 4 AS layout, x % 2000 AS x, y % 1500 AS y FROM centers),
- j AS (SELECT point_id, p.layout, x, y, ax, ay, ex, ey, CASE WHEN ax = ex AND ay = ey THEN 0e0 ELSE least(greatest(((x - ax) * (ex - ax) + (y - ay) * (ey - ay))::DOUBLE / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0), 1) END AS t FROM p JOIN ed ON p.layout = ed.layout)
-SELECT point_id, layout, round(min(pow(x - ax - t * (ex - ax), 2) + pow(y - ay - t * (ey - ay), 2)), 3) AS d2 FROM j GROUP BY point_id, layout""", "centers", "track")(
-    lambda c, t: spatial.nearest_edge(c.select("point_id", (F.col("point_id") % 4).alias("layout"), (F.col("x") % 2000).alias("x"), (F.col("y") % 1500).alias("y")), spatial.ring_edges(t.where("idx % 20 = 0"), "layout", "idx"), "layout").select("point_id", "layout", F.round("d2", 3).alias("d2")))
+        lambda r: spatial.fill_rings(spatial.ring_edges(r.select("ring_id", "v", F.floor(F.col("x") / 16).alias("x"), F.floor(F.col("y") / 16).alias("y")), "ring_id", "v"), "ring_id"))
 
 
 def _circuit(t):
@@ -66,11 +52,12 @@ def _circuit(t):
     return t.select("layout", "idx", F.col("x").alias("ax"), F.col("y").alias("ay")).join(nxt, ["layout", "idx"]).drop("idx")
 
 
-R.query("j19_nearest_edge_of_all", """WITH ed AS (SELECT layout, x AS ax, y AS ay, lead(x, 1, fx) OVER w AS ex, lead(y, 1, fy) OVER w AS ey FROM (SELECT *, first_value(x) OVER (PARTITION BY layout ORDER BY idx) AS fx, first_value(y) OVER (PARTITION BY layout ORDER BY idx) AS fy FROM track) WINDOW w AS (PARTITION BY layout ORDER BY idx)),
+for _name in ("j19_nearest_edge", "j19_nearest_edge_of_all"):
+    R.query(_name, """WITH ed AS (SELECT layout, x AS ax, y AS ay, lead(x, 1, fx) OVER w AS ex, lead(y, 1, fy) OVER w AS ey FROM (SELECT *, first_value(x) OVER (PARTITION BY layout ORDER BY idx) AS fx, first_value(y) OVER (PARTITION BY layout ORDER BY idx) AS fy FROM track) WINDOW w AS (PARTITION BY layout ORDER BY idx)),
  p AS (SELECT point_id, point_id % 4 AS layout, x % 2000 AS x, y % 1500 AS y FROM centers),
  j AS (SELECT point_id, p.layout, x, y, ax, ay, ex, ey, CASE WHEN ax = ex AND ay = ey THEN 0e0 ELSE least(greatest(((x - ax) * (ex - ax) + (y - ay) * (ey - ay))::DOUBLE / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0), 1) END AS t FROM p JOIN ed ON p.layout = ed.layout)
 SELECT point_id, layout, round(min(pow(x - ax - t * (ex - ax), 2) + pow(y - ay - t * (ey - ay), 2)), 3) AS d2 FROM j GROUP BY point_id, layout""", "centers", "track")(
-    lambda c, t: spatial.nearest_edge(c.select("point_id", (F.col("point_id") % 4).alias("layout"), (F.col("x") % 2000).alias("x"), (F.col("y") % 1500).alias("y")), _circuit(t), "layout").select("point_id", "layout", F.round("d2", 3).alias("d2")))
+        lambda c, t: spatial.nearest_edge(c.select("point_id", (F.col("point_id") % 4).alias("layout"), (F.col("x") % 2000).alias("x"), (F.col("y") % 1500).alias("y")), _circuit(t), "layout").select("point_id", "layout", F.round("d2", 3).alias("d2")))
 R.query("j18_overzoom", """WITH h AS (SELECT DISTINCT 3 + point_id % 6 AS z, (x * 7) % (1 << (3 + point_id % 6)::INT) AS x, (y * 7) % (1 << (3 + point_id % 6)::INT) AS y FROM centers), w AS (SELECT DISTINCT 9 AS z, x % 512 AS x, y % 512 AS y FROM centers),
  a AS (SELECT w.z, w.x, w.y, u.i AS up FROM w, range(0, 9) u(i)), m AS (SELECT a.z, a.x, a.y, h.z AS hz, h.x AS hx, h.y AS hy, row_number() OVER (PARTITION BY a.x, a.y ORDER BY h.z DESC) AS r FROM a JOIN h ON h.z = a.z - a.up AND h.x = a.x >> a.up::INT AND h.y = a.y >> a.up::INT)
 SELECT z, x, y, hz, hx, hy FROM m WHERE r = 1""", "centers")(
@@ -95,8 +82,8 @@ R.query("j6_snap_to_valid", f"""WITH {_LABEL}, v AS (SELECT x, y FROM lb WHERE t
 SELECT o.object_id, sx, sy FROM o LEFT JOIN c ON c.object_id = o.object_id AND r = 1""", "objects", "rects")(
     lambda o, r: spatial.snap_to_valid(o.where("type = 'pit'").select("object_id", "x", "y"), _label(r).where("tag = 4").select("x", "y"), 12))
 R.query("t4_next_names", "SELECT layout, type, count(*) AS next FROM objects GROUP BY layout, type", "objects")(ob.next_names)
-R.query("j21_gate_pairs", "SELECT x AS n, bool_or(type = 'timing_left') AS has_left, bool_or(type = 'timing_right') AS has_right FROM objects WHERE type LIKE 'timing%' AND y % 9 = 0 GROUP BY x", "objects")(
-    lambda o: ob.gate_pairs(o.where("y % 9 = 0").select(F.col("x").alias("n"), "type")))
+R.query("j21_gate_pairs", "SELECT x AS n, bool_or(type = 'timing_left') AS has_left, bool_or(type = 'timing_right') AS has_right FROM objects WHERE type LIKE 'timing%' GROUP BY x", "objects")(
+    lambda o: ob.gate_pairs(o.select(F.col("x").alias("n"), "type")))
 R.query("j21_gate_pairs_of_all", "SELECT object_id // 4 AS n, bool_or(type = 'timing_left') AS has_left, bool_or(type = 'timing_right') AS has_right FROM objects WHERE type LIKE 'timing%' GROUP BY object_id // 4", "objects")(
     lambda o: ob.gate_pairs(o.select(F.expr("object_id div 4").alias("n"), "type")))
 R.query("w24_stable_names", "SELECT rect_id, tag, row_number() OVER (PARTITION BY tag ORDER BY rect_id) - 1 AS number FROM rects", "rects")(lambda r: ob.stable_names(r.select("rect_id", "tag"), "tag", "rect_id").withColumn("number", F.col("number").cast("long")))

@@ -1,5 +1,3 @@
-import os, sys
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import os
 import sys
 
@@ -7,7 +5,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests"), os.path.join(ROOT, "tests", "llm")]
 SF = "/root/testdata/sf0.001"
 
 
