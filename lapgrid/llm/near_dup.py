@@ -34,7 +34,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, documents
-from .spread import with_group
 
 SHINGLE = 5
 CHUNKS = 8
@@ -136,14 +135,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return label.select("doc_id", F.col("c").alias("component_id"))
 
 
-def open_groups(index: DataFrame, comps: DataFrame) -> DataFrame:
+def open_groups(index: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """(hub, doc_id, c, n): for each hub with members of its buckets in different components c, all n members.
 
-    Buckets with one hub are mostly those of one family of texts, so a member is sent once for all of them.
+    Buckets with one hub are mostly those of one family of texts, so a member is sent once for all of them.  Both sides of the
+    last join are tables, not aggregates dealt by its key, so Spark may split a hub that holds a large share of the rows.
     """
     c = index.select("hub", "doc_id").distinct().join(comps, "doc_id", "left").select("hub", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    whole = with_group(c, ["hub"], ["doc_id"], {"n": (F.lit(1), "sum"), "lo": (F.col("c"), "min"), "hi": (F.col("c"), "max")}, "n > 2 AND lo < hi")
-    return whole.select("hub", "doc_id", "c", "n")
+    c = scratch.table(c, "members")
+    spread = c.groupBy("hub").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 2 AND lo < hi")
+    return c.join(scratch.table(spread.select("hub", "n"), "hubs"), "hub")
 
 
 def _lanes(x: np.ndarray) -> np.ndarray:
@@ -209,7 +210,9 @@ def block_links(rows: DataFrame, sigs: DataFrame, docs: DataFrame, limit: int, s
         x, y, at = _near(g, limit)
         return g.iloc[np.unique(np.concatenate([x[at[:, 0]], y[at[:, 1]]]))][["hub", "p", "q", "mine", "doc_id", "c", "sig"]]
 
-    members = _dealt(rows.join(sigs.select("doc_id", "sig"), "doc_id"))
+    # The rows are few bytes but much work, so their tasks are not merged by size.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = _dealt(rows.join(sigs.select("doc_id", "sig"), "doc_id")).repartition(tasks, *key)
     some = scratch.table(members.groupBy(*key).applyInPandas(candidates, "hub long, p int, q int, mine int, doc_id long, c long, sig array<long>"), "near")
     sets = scratch.table(full_sets(docs, some.select("doc_id").distinct(), width), "sets")
 
@@ -287,7 +290,7 @@ def near_duplicates(docs: DataFrame, share: int = 80, chunks: int = CHUNKS + 2,
     stars = scratch.table(pairs.where(distance(F.col("sa"), F.col("sb"), chunks) <= limit).select("a", "b"), "stars")
     links = confirmed(stars, docs, share, scratch, width)
 
-    rows = scratch.table(open_groups(index, components(links, scratch)), "open")
+    rows = scratch.table(open_groups(index, components(links, scratch), scratch), "open")
     scratch.drop(index, stars)
     more = block_links(rows, reps, docs, limit, share, width, scratch)
     scratch.drop(rows)
