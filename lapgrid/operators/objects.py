@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grid, spatial
+
 
 def surface_flags(objects: DataFrame, label: DataFrame, road: int, paved: list[int]) -> DataFrame:
     """Adds tag, on_road, on_paved and on_invalid (no label); one equi-join on the rounded pixel."""
@@ -29,6 +31,81 @@ def best_attempt(attempts: DataFrame, enough: float) -> DataFrame:
     return attempts.groupBy("layout").agg(F.max(rank).alias("m")).select("layout", F.col("m.n").alias("attempt"), F.col("m.r").alias("rate"))
 
 
+def near_road(objects: DataFrame, near: DataFrame) -> DataFrame:
+    """Adds near_road: whether the rounded pixel is in a mask (x, y)."""
+    at = lambda c: F.bround(F.col(c).cast("double")).cast("long")
+    mask = near.select(F.col("x").alias("px"), F.col("y").alias("py"), F.lit(True).alias("near_road")).distinct()
+    return objects.withColumns({"px": at("x"), "py": at("y")}).join(mask, ["px", "py"], "left").drop("px", "py").withColumn("near_road", F.coalesce("near_road", F.lit(False)))
+
+
+#: Which surface a type must stand on; types not named may stand anywhere.
+PLACES = {"hotlap": "on_road", "start": "on_road", "pit": "near_road AND NOT on_road AND NOT on_invalid"}
+
+
+def flagged(objects: DataFrame, label: DataFrame, road: int, paved: list[int], near: int, width: int, height: int) -> DataFrame:
+    """surface_flags and near_road, within so many pixels of the road."""
+    zone = grid.dilate(label.where(F.col("tag") == road), "disc", near, width, height)
+    return near_road(surface_flags(objects, label, road, paved), zone)
+
+
+def snap_misplaced(flags: DataFrame, label: DataFrame, road: int, near: int, most: int, width: int, height: int) -> DataFrame:
+    """(object_id, layout, type, x, y, snapped): objects off their surface move to the nearest pixel of it within ``most``, if there is one.
+
+    Hot laps and starts go to the road; pits to labelled pixels near the road but not on it.  Others stay.
+    """
+    ok: Column = F.lit(True)
+    for kind, rule in PLACES.items():
+        ok = F.when(F.col("type") == kind, F.expr(rule)).otherwise(ok)
+    o = flags.withColumn("ok", ok).select("object_id", "layout", "type", "x", "y", "ok")
+    on = label.where(F.col("tag") == road).select("x", "y")
+    beside = grid.dilate(on, "disc", near, width, height).join(label.where(F.col("tag") != road).select("x", "y"), ["x", "y"], "left_semi")
+    moved = [
+        spatial.snap_to_valid(o.where(F.col("type").isin(kinds) & ~F.col("ok")).select("object_id", "x", "y"), target, most)
+        for kinds, target in ((["hotlap", "start"], on), (["pit"], beside))
+    ]
+    to = moved[0].unionByName(moved[1]).where("sx IS NOT NULL").select("object_id", "sx", "sy")
+    return o.join(to, "object_id", "left").select("object_id", "layout", "type", F.coalesce("sx", "x").alias("x"), F.coalesce("sy", "y").alias("y"), F.col("sx").isNotNull().alias("snapped"))
+
+
+def choose_attempt(attempts: DataFrame, enough: float) -> DataFrame:
+    """Of flagged objects (layout, attempt, object_id, type, x, y, flags) those of each layout's best attempt, by the share that stands on its surface, with that rate."""
+    ok: Column = F.lit(True)
+    for kind, rule in PLACES.items():
+        ok = F.when(F.col("type") == kind, F.expr(rule)).otherwise(ok)
+    rates = attempts.groupBy("layout", "attempt").agg(F.round(F.avg(F.when(ok, 1.0).otherwise(0.0)), 6).alias("rate"))
+    return attempts.join(best_attempt(rates, enough), ["layout", "attempt"])
+
+
+def all_objects(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The objects of all parts (hot laps, pits, starts, gates), and the validation of each layout."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, validate(out)
+
+
+def next_object_names(objects: DataFrame) -> DataFrame:
+    """(layout, type, name): the next free name.  Gates go by the largest number of either side plus one; other types by their count."""
+    prefix = F.create_map(*[F.lit(v) for kv in (("hotlap", "AC_HOTLAP_START"), ("pit", "AC_PIT"), ("start", "AC_START")) for v in kv])
+    number = F.coalesce(F.nullif(F.regexp_extract("name", r"AC_TIME_(\d+)", 1), F.lit("")).cast("long"), F.lit(-1))
+    gates = F.col("type").isin("timing_left", "timing_right")
+    largest = objects.where(gates).groupBy("layout").agg((F.max(number) + 1).alias("next"))
+    timing = largest.withColumn("s", F.explode(F.array(F.struct(F.lit("timing_left").alias("type"), F.lit("_L").alias("end")), F.struct(F.lit("timing_right").alias("type"), F.lit("_R").alias("end")))))
+    timing = timing.select("layout", "s.type", F.concat(F.lit("AC_TIME_"), "next", "s.end").alias("name"))
+    others = objects.where(~gates).groupBy("layout", "type").agg(F.count("*").alias("n"))
+    return timing.unionByName(others.select("layout", "type", F.concat(F.coalesce(F.try_element_at(prefix, F.col("type")), F.lit("AC_OBJ")), F.lit("_"), "n").alias("name")))
+
+
+def validate_walls(walls: DataFrame, kinds: list[str]) -> DataFrame:
+    """Per layout what is wrong with its walls (layout, wall_id, type, n_points): unknown types, under two points, not just one outer wall."""
+    bad_type, short = F.count_if(~F.coalesce(F.col("type").isin(kinds), F.lit(False))), F.count_if(F.coalesce(F.col("n_points"), F.lit(0)) < 2)
+    g = walls.groupBy("layout").agg(bad_type.alias("t"), short.alias("s"), F.count_if(F.col("type") == "outer").alias("o"))
+    errors = F.array(
+        F.when(F.col("t") > 0, F.concat("t", F.lit(" walls of an unknown type"))), F.when(F.col("s") > 0, F.concat("s", F.lit(" walls of under two points"))),
+        F.when(F.col("o") != 1, F.concat(F.lit("one outer wall, not "), "o")))
+    return g.select("layout", F.array_join(F.filter(errors, lambda e: e.isNotNull()), "; ").alias("errors"))
+
+
 def next_names(objects: DataFrame) -> DataFrame:
     """The next free number of each type and layout."""
     return objects.groupBy("layout", "type").agg(F.count("*").alias("next"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import spatial
 from .rounds import cut
 
 
@@ -69,3 +70,34 @@ def covered_by(tiles: DataFrame, chosen: DataFrame, most: int = 64) -> DataFrame
             return done
         done = cut(done.union(new))
     raise RuntimeError(f"the tree is deeper than {most}")
+
+
+def refine_step(tiles: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
+    """(start_id, tile_id): below each starting tile the first tiles with a mesh, or tiles that lead no further; a level a round."""
+    kids = tiles.groupBy("parent_id").agg(F.count("*").alias("kids")).select(F.col("parent_id").alias("tile_id"), "kids")
+    t = cut(tiles.join(kids, "tile_id", "left").select("tile_id", "parent_id", "has_mesh", (F.col("can_refine") & (F.coalesce("kids", F.lit(0)) > 0)).alias("open")))
+    front, found = t.join(start.select("tile_id"), "tile_id", "left_semi").where("open").select(F.col("tile_id").alias("start_id"), F.col("tile_id").alias("parent_id")), None
+    for _ in range(most):
+        below = cut(front.join(t, "parent_id").select("start_id", "tile_id", (F.col("has_mesh") | ~F.col("open")).alias("stop")))
+        hit = below.where("stop").select("start_id", "tile_id")
+        found = hit if found is None else found.unionByName(hit)
+        front = below.where("NOT stop").select("start_id", F.col("tile_id").alias("parent_id"))
+        if not front.limit(1).count():
+            return found
+    raise RuntimeError(f"the tree is deeper than {most}")
+
+
+def plan_report(plan: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(n_tiles, n_conflicts, valid): a valid plan holds no tile together with one of its ancestors."""
+    n = plan.agg(F.count("*").alias("n_tiles"))
+    bad = plan_conflicts(plan, descendants(tiles)).agg(F.count("*").alias("n_conflicts"))
+    return n.crossJoin(bad).withColumn("valid", F.col("n_conflicts") == 0)
+
+
+def plan_for_boxes(tiles: DataFrame, boxes: DataFrame, base: int, target: int, cell: int) -> DataFrame:
+    """The load plan where tiles overlap boxes (x0, y0, x1, y1); a tile without a box overlaps."""
+    b = boxes.select(*[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
+    placed = tiles.where("x0 IS NOT NULL").select("tile_id", "x0", "y0", "x1", "y1")
+    hit = spatial.box_join(placed, b, ["x0", "y0", "x1", "y1"], ["bx0", "by0", "bx1", "by1"], cell).select("tile_id").distinct().withColumn("hit", F.lit(True))
+    t = tiles.join(hit, "tile_id", "left").withColumn("overlaps", F.col("x0").isNull() | F.coalesce("hit", F.lit(False))).drop("hit")
+    return load_plan(t, base, target)

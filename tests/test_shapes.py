@@ -1,5 +1,6 @@
 """Predicates, thinning and holes against plain Python."""
 
+import math
 import random
 from fractions import Fraction
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lapgrid import fixtures
 from lapgrid.functions import geo, predicates
-from lapgrid.operators import grid
+from lapgrid.operators import grid, outlines
 from lapgrid.plans.grid_queries import N, filled
 
 
@@ -124,3 +125,49 @@ def test_interior_holes_brute_force(spark, sf):
     for r in grid.interior_holes(px, N, N, 3).collect():
         got.setdefault(r["comp"], set()).add((r["x"], r["y"]))
     assert holes and sorted(map(sorted, got.values())) == sorted(map(sorted, holes))
+
+
+def _far(p, a, b):
+    ux, uy, vx, vy = b[0] - a[0], b[1] - a[1], p[0] - a[0], p[1] - a[1]
+    n = math.hypot(ux, uy)
+    return abs(ux * vy - uy * vx) / n if n else math.hypot(vx, vy)
+
+
+def simplified(ring, share):
+    """Recursive Douglas-Peucker of a closed ring cut at its first point and the one farthest from it."""
+    pts = ring + ring[:1]
+    eps = max(share * sum(math.dist(a, b) for a, b in zip(pts, pts[1:], strict=False)), 1.0)
+    cut = max(range(len(pts)), key=lambda i: (math.dist(pts[i], pts[0]) ** 2, -i))
+
+    def between(a, b):
+        if b - a < 2:
+            return set()
+        i = max(range(a + 1, b), key=lambda i: (_far(pts[i], pts[a], pts[b]), -i))
+        return {i} | between(a, i) | between(i, b) if _far(pts[i], pts[a], pts[b]) > eps else set()
+
+    return {0, cut} | between(0, cut) | between(cut, len(ring))
+
+
+def test_simplify_brute_force(spark):
+    rng = random.Random(9)
+    made = {k: [(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(rng.choice((3, 8, 40)))] for k in range(30)}
+    df = spark.createDataFrame([(k, i, x, y) for k, ring in made.items() for i, (x, y) in enumerate(ring)], "ring_id long, ord long, x long, y long")
+    for share in (0.0, 0.02):
+        got = {}
+        for r in outlines.simplify(df, share).collect():
+            got.setdefault(r["ring_id"], set()).add(r["ord"])
+        assert got == {k: simplified(ring, share) for k, ring in made.items()}
+
+
+def test_rings_close_and_enclose(spark):
+    """A square with a hole, a single pixel touching it by a corner, and a comb: each ring's steps are unit steps and areas add up to the pixels."""
+    on = {(x, y) for x in range(5, 12) for y in range(5, 12)} - {(8, 8), (8, 9)} | {(12, 12)} | {(x, 30) for x in range(20)} | {(x, y) for x in range(0, 20, 2) for y in range(31, 40)}
+    ring = outlines.rings(spark.createDataFrame(sorted(on), "x long, y long"))
+    by = {}
+    for r in ring.orderBy("ring_id", "ord").collect():
+        by.setdefault(r["ring_id"], []).append((r["ord"], r["x"], r["y"]))
+    for pts in by.values():
+        assert [p[0] for p in pts] == list(range(len(pts)))
+        assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in zip(pts, pts[1:] + pts[:1], strict=True))
+    kinds = outlines.ring_kinds(ring).collect()
+    assert sum(r["area"] for r in kinds) == len(on) and sorted(r["area"] for r in kinds if not r["outer"]) == [-2.0] and len(kinds) == 4
