@@ -7,6 +7,8 @@ exact or a single rounding.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations")
@@ -68,18 +70,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derivation as a DataFrame."""
     text = VIEWS[name].replace("{base}", "0")
     used = {n: view(spark, sf_dir, n) for n in NEEDS.get(name, [])} | {n: table(spark, sf_dir, n) for n in TABLES if f" {n}" in f"{text}\n".replace("\n", " ")}
-    for n, df in used.items():
-        df.createOrReplaceTempView(f"lg_{n}")
     for n in used:
         text = _rename(text, n)
-    return spark.sql(text)
+    return spark.sql(text, **used)
 
 
 def _rename(text: str, n: str) -> str:
-    for word in ("FROM", "JOIN"):
-        for end in (" ", "\n", ")", ""):
-            text = text.replace(f"{word} {n}{end}", f"{word} lg_{n}{end}") if end else (text[: -len(n)] + f"lg_{n}" if text.endswith(f"{word} {n}") else text)
-    return text
+    """Table n as a parameter of spark.sql, so no view of the session's is made or replaced."""
+    return re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
 
 
 def ctes(*names: str) -> str:

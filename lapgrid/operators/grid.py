@@ -92,34 +92,55 @@ def _kernel(kind: str, r: int) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(h).alias("h")) for d, h in half_widths(kind, r)]))
 
 
-def dilate(px: DataFrame, kind: str, r: int, width: int, height: int) -> DataFrame:
-    """On runs: each run widens by each kernel row, is clipped to the canvas, and runs are joined; pixels never multiply by the kernel's area."""
-    k = to_runs(px).withColumn("k", _kernel(kind, r))
+def dilate_runs(runs: DataFrame, kind: str, r: int, width: int, height: int) -> DataFrame:
+    """Each run widens by each kernel row, is clipped to the canvas, and runs are joined; pixels never multiply by the kernel's area."""
+    k = runs.withColumn("k", _kernel(kind, r))
     wide = k.select((F.col("y") + F.col("k.d")).alias("y"), F.greatest(F.col("x0") - F.col("k.h"), F.lit(0)).alias("x0"), F.least(F.col("x1") + F.col("k.h"), F.lit(width - 1)).alias("x1"))
-    return from_runs(join_runs(wide.where((F.col("y") >= 0) & (F.col("y") < height)).distinct())).select(*XY)
+    return join_runs(wide.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x0") <= F.col("x1"))).distinct())
 
 
-def complement(px: DataFrame, width: int, height: int) -> DataFrame:
-    """Unset pixels of the canvas, from the gaps between runs."""
-    rows = px.sparkSession.range(height).select(F.col("id").alias("y"))
+def complement_runs(runs: DataFrame, width: int, height: int) -> DataFrame:
+    """The gaps between runs of pixels of the canvas, and its empty rows."""
+    rows = runs.sparkSession.range(height).select(F.col("id").alias("y"))
     w = Window.partitionBy("y").orderBy("x0")
-    runs = to_runs(px)
     gaps = runs.select("y", F.coalesce(F.lag("x1").over(w) + 1, F.lit(0)).alias("x0"), (F.col("x0") - 1).alias("x1"))
     tail = rows.join(runs.groupBy("y").agg(F.max("x1").alias("m")), "y", "left").select("y", F.coalesce(F.col("m") + 1, F.lit(0)).alias("x0"), F.lit(width - 1).alias("x1"))
-    return from_runs(gaps.unionByName(tail).where("x0 <= x1")).select(*XY)
+    return gaps.unionByName(tail).where("x0 <= x1")
+
+
+def subtract_runs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What a holds and b doesn't, by a sweep over the ends of both in each row."""
+    ends = lambda runs, in_a, in_b: runs.select("y", F.explode(F.array(*[F.struct(x.alias("x"), F.lit(s * in_a).alias("a"), F.lit(s * in_b).alias("b")) for x, s in ((F.col("x0"), 1), (F.col("x1") + 1, -1))])).alias("e")).select("y", "e.*")
+    e = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy("y", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = Window.partitionBy("y").orderBy("x")
+    s = e.select("y", F.col("x").alias("x0"), (F.lead("x").over(w) - 1).alias("x1"), F.sum("a").over(w).alias("a"), F.sum("b").over(w).alias("b"))
+    return join_runs(s.where("a > 0 AND b = 0").select("y", "x0", "x1"))
+
+
+def erode_runs(runs: DataFrame, kind: str, r: int, width: int, height: int) -> DataFrame:
+    return subtract_runs(runs, dilate_runs(complement_runs(runs, width, height), kind, r, width, height))
+
+
+def dilate(px: DataFrame, kind: str, r: int, width: int, height: int) -> DataFrame:
+    return from_runs(dilate_runs(to_runs(px), kind, r, width, height)).select(*XY)
+
+
+def complement(px: DataFrame, width: int, height: int) -> DataFrame:
+    """Unset pixels of the canvas."""
+    return from_runs(complement_runs(to_runs(px), width, height)).select(*XY)
 
 
 def erode(px: DataFrame, kind: str, r: int, width: int, height: int) -> DataFrame:
-    """Pixels whose whole kernel, as far as it is on the canvas, is set: the canvas border does not erode."""
-    return px.select(*XY).distinct().join(dilate(complement(px, width, height), kind, r, width, height), XY, "left_anti")
+    """Pixels whose whole kernel, as far as it is on the canvas, is set: the canvas border does not erode.  All on runs."""
+    return from_runs(erode_runs(to_runs(px), kind, r, width, height)).select(*XY)
 
 
 def opened(px: DataFrame, kind: str, r: int, width: int, height: int) -> DataFrame:
-    return dilate(erode(px, kind, r, width, height), kind, r, width, height)
+    return from_runs(dilate_runs(erode_runs(to_runs(px), kind, r, width, height), kind, r, width, height)).select(*XY)
 
 
 def closed(px: DataFrame, kind: str, r: int, width: int, height: int) -> DataFrame:
-    return erode(dilate(px, kind, r, width, height), kind, r, width, height)
+    return from_runs(erode_runs(dilate_runs(to_runs(px), kind, r, width, height), kind, r, width, height)).select(*XY)
 
 
 # -- regions ---------------------------------------------------------------
