@@ -214,7 +214,7 @@ def block_links(rows: DataFrame, sigs: DataFrame, docs: DataFrame, limit: int, s
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = _dealt(rows.join(sigs.select("doc_id", "sig"), "doc_id")).repartition(tasks, *key)
     some = scratch.table(members.groupBy(*key).applyInPandas(candidates, "hub long, p int, q int, mine int, doc_id long, c long, sig array<long>"), "near")
-    sets = scratch.table(full_sets(docs, some.select("doc_id").distinct(), width), "sets")
+    sets = scratch.table(full_sets(docs, some.select("doc_id"), width, scratch), "sets")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("doc_id")
@@ -250,19 +250,23 @@ def block_links(rows: DataFrame, sigs: DataFrame, docs: DataFrame, limit: int, s
     return out
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, s): the sorted set of each of the given documents, one row for each text."""
+def full_sets(docs: DataFrame, ids: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, s): the sorted set of each of the given documents, one row for each text.
+
+    The ids are written first, so that Spark knows their true size when it chooses how to join; few are sent to the texts.
+    """
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "s": [shingle_set(t, width).view(np.int64) for t in b["text"]]})
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s array<long>")
+    wanted = scratch.table(ids.distinct(), "wanted")
+    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, share: int, scratch: Scratch, width: int = SHINGLE) -> DataFrame:
     """Of pairs (a, b) of documents, those with 100 * intersection >= share * union of their full sets, as a table."""
-    table = scratch.table(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width), "sets")
+    table = scratch.table(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), width, scratch), "sets")
     j = pairs.join(table.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").join(table.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     j = j.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).cast("long").alias("sizes"))
