@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import predicates
+
 
 def _cells(df: DataFrame, box: list[str], cell: int) -> DataFrame:
     lo = lambda c: F.floor(F.col(c) / cell)
@@ -115,3 +117,12 @@ def axis_vote(tiles: DataFrame, boxes: DataFrame, candidates: dict[str, Column],
         hits = box_join(tiles.where(cond), boxes, ["x0", "y0", "x1", "y1"], ["bx0", "by0", "bx1", "by1"], cell).agg(F.count("*").alias("hits")).select(F.lit(name).alias("name"), F.lit(-i).alias("o"), "hits")
         out = hits if out is None else out.union(hits)
     return out.agg(F.max(F.struct("hits", "o", "name")).alias("m")).select("m.name", "m.hits")
+
+
+def rects_on_triangles(rects: DataFrame, triangles: DataFrame, cell: int) -> DataFrame:
+    """The rectangles (x0, y0, x1, y1, others) that touch any triangle (ax, ay, bx, by, cx, cy): boxes meet in cells, then the exact test."""
+    t = triangles.select("ax", "ay", "bx", "by", "cx", "cy", F.least("ax", "bx", "cx").alias("tx0"), F.least("ay", "by", "cy").alias("ty0"), F.greatest("ax", "bx", "cx").alias("tx1"), F.greatest("ay", "by", "cy").alias("ty1"))
+    keys = rects.columns
+    hit = box_join(rects, t, ["x0", "y0", "x1", "y1"], ["tx0", "ty0", "tx1", "ty1"], cell)
+    c = F.col
+    return hit.where(predicates.rect_intersects_triangle([c("x0"), c("y0"), c("x1"), c("y1")], (c("ax"), c("ay")), (c("bx"), c("by")), (c("cx"), c("cy")))).select(*keys).distinct()

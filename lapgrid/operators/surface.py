@@ -61,3 +61,31 @@ def fill_zone(drivable: DataFrame, independent: DataFrame) -> DataFrame:
 
 def clip_to(label: DataFrame, zone: DataFrame) -> DataFrame:
     return label.join(zone.select(*XY).distinct(), XY, "left_semi")
+
+
+def largest_region(px: DataFrame) -> DataFrame:
+    """The pixels of the region with most of them, ties to the smallest id."""
+    c = cut(grid.label_components(px))
+    best = c.groupBy("comp").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", -F.col("comp"))).alias("m")).select((-F.col("m.col2")).alias("comp"))
+    return c.join(F.broadcast(best), "comp", "left_semi").select(*XY)
+
+
+def wall_region(visible: DataFrame, drivable: DataFrame, other: DataFrame, obstacles: DataFrame, road: DataFrame, radius: int, width: int, height: int) -> DataFrame:
+    """The region an outer wall encloses: what can be reached from the road over visible pixels that are drivable or of no
+    class (not in ``other``) and no obstacle, closed, then shrunk, its largest part."""
+    free = visible.select(*XY).distinct().join(other.select(*XY), XY, "left_anti").unionByName(visible.select(*XY).join(drivable.select(*XY), XY, "left_semi")).distinct()
+    passable = free.join(obstacles.select(*XY), XY, "left_anti")
+    reached = grid.flood(road.join(passable, XY, "left_semi"), passable)
+    return largest_region(grid.erode(grid.closed(reached, "disc", radius, width, height), "disc", radius, width, height))
+
+
+def obstacle_regions(label: DataFrame, types: list[int], wall: DataFrame, road: DataFrame, reach: int, least: int, width: int, height: int) -> DataFrame:
+    """(tag, comp, x, y): regions of each type within ``reach`` of the wall region and off the road, opened by a 7 x 7 square, of at least so many pixels."""
+    near, out = cut(grid.dilate(wall, "rect", reach, width, height)), None
+    for tag in types:
+        own = label.where(F.col("tag") == tag).select(*XY).join(near, XY, "left_semi").join(road.select(*XY), XY, "left_anti")
+        c = cut(grid.label_components(grid.opened(own, "rect", 3, width, height)))
+        big = c.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("comp")
+        part = c.join(big, "comp").select(F.lit(tag).alias("tag"), "comp", *XY)
+        out = part if out is None else out.unionByName(part)
+    return out

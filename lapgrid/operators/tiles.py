@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spatial
@@ -101,3 +101,23 @@ def plan_for_boxes(tiles: DataFrame, boxes: DataFrame, base: int, target: int, c
     hit = spatial.box_join(placed, b, ["x0", "y0", "x1", "y1"], ["bx0", "by0", "bx1", "by1"], cell).select("tile_id").distinct().withColumn("hit", F.lit(True))
     t = tiles.join(hit, "tile_id", "left").withColumn("overlaps", F.col("x0").isNull() | F.coalesce("hit", F.lit(False))).drop("hit")
     return load_plan(t, base, target)
+
+
+def tileset_origin(files: DataFrame) -> DataFrame:
+    """(set_id, x, y, z) of each tileset: the box centre of its first file (smallest ord) that has a finite one, else the translation of its first transform.
+
+    files: set_id, ord, center (array of three or null), transform (array of sixteen by columns, or null).
+    """
+    finite = lambda a, n: (F.size(a) == n) & F.forall(a, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    moved = F.slice(F.col("transform"), 13, 3)
+    g = files.groupBy("set_id").agg(F.min_by("center", F.when(finite(F.col("center"), 3), F.col("ord"))).alias("c"), F.max(finite(F.col("center"), 3)).alias("any"), F.min_by(moved, F.when(F.col("transform").isNotNull(), F.col("ord"))).alias("t"))
+    at = F.when(F.col("any"), F.col("c")).otherwise(F.col("t"))
+    return g.select("set_id", *[F.get(at, F.lit(k)).alias(n) for k, n in enumerate("xyz")])
+
+
+def frame_mode(forced: Column, has_transform: Column) -> Column:
+    """enu or tileset_local: as forced, where tileset_local needs a transform and gives ``error`` without one; else local if there is a transform."""
+    return (
+        F.when(forced == "enu", "enu").when((forced == "tileset_local") & ~has_transform, "error").when(forced == "tileset_local", "tileset_local")
+        .when(has_transform, "tileset_local").otherwise("enu")
+    )

@@ -148,3 +148,15 @@ def nearest_on_line(points: DataFrame, line: DataFrame, cell: int) -> DataFrame:
     rest = points.join(best.select("point_id", KEY), ["point_id", KEY], "left_anti")
     far = rest.join(line.select(KEY, "idx", F.col("x").alias("lx"), F.col("y").alias("ly")), KEY).groupBy("point_id", KEY).agg(F.min(F.struct(d2.alias("d2"), "idx")).alias("b"))
     return best.unionByName(far).select("point_id", KEY, F.col("b.idx").alias("idx"), F.col("b.d2").alias("d2"))
+
+
+def place_on_line(points: DataFrame, line: DataFrame, cell: int) -> DataFrame:
+    """Adds to each point (point_id, layout, x, y) idx, the nearest line point, and cum, the length of the line up to it."""
+    near = nearest_on_line(points, line, cell).select("point_id", KEY, "idx")
+    return points.join(near, ["point_id", KEY]).join(arc_length(line).select(KEY, "idx", "cum"), [KEY, "idx"])
+
+
+def split_along(points: DataFrame, line: DataFrame, parts: int, cell: int) -> DataFrame:
+    """Points (or centroids of faces) in so many parts of equal count along the line: point_id, layout, part."""
+    placed = place_on_line(points, line, cell).select(KEY, F.col("point_id").alias("idx"), "cum")
+    return equal_count_split(placed, "cum", parts).select(F.col("idx").alias("point_id"), KEY, "part")

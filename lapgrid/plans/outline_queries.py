@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import objects as ob
-from ..operators import outlines, tiles
+from ..operators import outlines, spatial, tiles
 from ..sources import files
 from .grid_queries import N, filled
 from .register import Register
@@ -116,3 +116,25 @@ def quarantine(rects):
     rects.select(F.when(F.col("rect_id") % 10 == 0, F.concat(F.lit('{"x0": '), "rect_id")).otherwise(F.to_json(F.struct("rect_id", "x0"))).alias("value")).write.text(path)
     good, bad = files.split_bad_records(rects.sparkSession, path, "rect_id long, x0 long")
     return good.agg(F.lit("good").alias("kind"), F.count("*").alias("n"), F.sum("x0").alias("s")).unionByName(bad.agg(F.lit("bad").alias("kind"), F.count("*").alias("n"), F.lit(0).cast("long").alias("s")))
+
+
+@R.query("s14_label_grid", f"WITH {_LABEL} SELECT tag, count(*) AS n, sum(x)::BIGINT AS sx, {N} AS width, 22.5::DOUBLE AS top FROM lb WHERE y >= 128 GROUP BY tag", "rects")
+def label_grid(rects):
+    """Written twice, the second time over the first; the meta row is read beside the pixels."""
+    path, lb = _folder(rects, "label-grid"), label_of(rects)
+    for rows in (lb, lb.where("y >= 128")):
+        files.write_label_grid(rows, path, N, N, {"left": 113.0, "right": 113.5, "top": 22.5, "bottom": 22.0}, {"sand": 1, "road": 5})
+    px, meta = files.read_label_grid(rects.sparkSession, path)
+    return px.groupBy("tag").agg(F.count("*").alias("n"), F.sum("x").alias("sx")).crossJoin(meta.select(F.col("width").cast("int").alias("width"), "top"))
+
+
+R.query("j2_rects_on_triangles", "SELECT rect_id FROM rects r WHERE tag <> 4 AND EXISTS (SELECT 1 FROM rects t WHERE t.tag = 4 AND r.x1 >= t.x0 AND r.y1 >= t.y0 AND greatest(r.x0 - t.x0, 0)::DOUBLE / (t.x1 - t.x0) + greatest(r.y0 - t.y0, 0)::DOUBLE / (t.y1 - t.y0) <= 1)", "rects")(
+    lambda r: spatial.rects_on_triangles(r.where("tag <> 4").select("rect_id", "x0", "y0", "x1", "y1"), r.where("tag = 4").selectExpr("x0 AS ax", "y0 AS ay", "x1 AS bx", "y0 AS by", "x0 AS cx", "y1 AS cy"), 32).select("rect_id"))
+R.query("j24_tileset_origin", """WITH f AS (SELECT group_id AS set_id, rect_id AS ord, CASE WHEN group_id % 3 = 0 OR rect_id % 4 <> 1 THEN NULL ELSE x0 END AS cx, y0, tag, CASE WHEN group_id % 6 = 3 OR rect_id % 2 = 0 THEN NULL ELSE x1 END AS tx, y1 FROM rects),
+ c AS (SELECT set_id, arg_min(cx, ord) FILTER (cx IS NOT NULL) AS x, arg_min(y0, ord) FILTER (cx IS NOT NULL) AS y, arg_min(tag, ord) FILTER (cx IS NOT NULL) AS z, arg_min(tx, ord) FILTER (tx IS NOT NULL) AS u, arg_min(y1, ord) FILTER (tx IS NOT NULL) AS v FROM f GROUP BY set_id)
+SELECT set_id, coalesce(x, u)::DOUBLE AS x, CASE WHEN x IS NULL THEN v ELSE y END::DOUBLE AS y, CASE WHEN x IS NULL THEN CASE WHEN u IS NULL THEN NULL ELSE 7 END ELSE z END::DOUBLE AS z FROM c""", "rects")(
+    lambda r: tiles.tileset_origin(r.selectExpr(
+        "group_id AS set_id", "rect_id AS ord", "CASE WHEN group_id % 3 = 0 OR rect_id % 4 <> 1 THEN NULL ELSE array(cast(x0 AS double), cast(y0 AS double), cast(tag AS double)) END AS center",
+        "CASE WHEN group_id % 6 = 3 OR rect_id % 2 = 0 THEN NULL ELSE concat(array_repeat(0D, 12), array(cast(x1 AS double), cast(y1 AS double), 7D, 1D)) END AS transform")))
+R.query("c31_frame_mode", "SELECT rect_id, CASE tag WHEN 1 THEN 'enu' WHEN 2 THEN CASE WHEN rect_id % 2 = 0 THEN 'tileset_local' ELSE 'error' END ELSE CASE WHEN rect_id % 2 = 0 THEN 'tileset_local' ELSE 'enu' END END AS mode FROM rects", "rects")(
+    lambda r: r.select("rect_id", tiles.frame_mode(F.expr("CASE tag WHEN 1 THEN 'enu' WHEN 2 THEN 'tileset_local' ELSE 'auto' END"), F.col("rect_id") % 2 == 0).alias("mode")))

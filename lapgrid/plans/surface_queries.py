@@ -127,3 +127,42 @@ R.query("w17_snap_and_heading", f"""WITH tk AS (SELECT layout, idx, x, y FROM tr
  ne AS (SELECT p.point_id, p.layout, arg_min(t.idx, (pow(p.x - t.x, 2) + pow(p.y - t.y, 2)) * 100000 + t.idx) AS idx FROM p JOIN tk t ON t.layout = p.layout GROUP BY p.point_id, p.layout)
 SELECT point_id, layout, idx, x, y, round(CASE WHEN point_id % 3 = 0 THEN -1 ELSE 1 END * tx, 6) + 0e0 AS hx, round(CASE WHEN point_id % 3 = 0 THEN -1 ELSE 1 END * ty, 6) + 0e0 AS hy FROM ne JOIN tg USING (layout, idx)""", "centers", "track")(
     lambda c, t: gates.snapped(c.select("point_id", (F.col("point_id") % 4).alias("layout"), (F.col("x") % 2000).alias("x"), (F.col("y") % 1500).alias("y")), t, 64, F.col("point_id") % 3 != 0).select("point_id", "layout", "idx", "x", "y", (F.round("hx", 6) + 0.0).alias("hx"), (F.round("hy", 6) + 0.0).alias("hy")))
+
+
+# -- walls and obstacles ---------------------------------------------------
+
+_WALL = f"""{_LABEL}, {_CANVAS}, vi AS (SELECT x, y FROM cv WHERE x < 70 AND y < 110), pa AS (SELECT x, y FROM vi WHERE ((x, y) IN (SELECT (x, y) FROM lb WHERE tag IN (3, 4, 5)) OR (x, y) NOT IN (SELECT (x, y) FROM lb)) AND (x, y) NOT IN (SELECT (x, y) FROM lb WHERE tag = 3 AND x % 2 = 0)),
+ {_regions("pr", "pa")}, fl AS (SELECT x, y FROM pr WHERE comp IN (SELECT comp FROM pr JOIN lb USING (x, y) WHERE tag = 5)), fd AS ({_dilated("fl", "disc", 2)}), {_eroded("fc", "fd", "disc", 2)}, {_eroded("fe", "fc", "disc", 2)}, {_regions("wr", "fe")},
+ wl AS (SELECT x, y FROM wr WHERE comp = (SELECT comp FROM wr GROUP BY comp ORDER BY count(*) DESC, comp LIMIT 1))"""
+
+
+def _wall(lb):
+    canvas = lb.sparkSession.range(0, 70).selectExpr("id AS x", "explode(sequence(0L, 109L)) AS y")
+    return surface.wall_region(canvas, lb.where("tag IN (3, 4, 5)"), lb, lb.where("tag = 3 AND x % 2 = 0"), lb.where("tag = 5"), 2, N, N)
+
+
+R.query("g12_wall_region", f"WITH {_WALL} SELECT x, y FROM wl", "rects")(lambda r: _wall(label_of(r)))
+R.query("g13_obstacle_regions", f"""WITH {_LABEL}, {_CANVAS}, wl AS (SELECT x, y FROM lb WHERE x BETWEEN 20 AND 200 AND tag = 4), wd AS ({_dilated("wl", "rect", 6)}),
+ o1 AS (SELECT x, y FROM lb WHERE tag = 1 AND (x, y) IN (SELECT (x, y) FROM wd)), {_eroded("e1", "o1", "rect", 3)}, p1 AS ({_dilated("e1", "rect", 3)}), {_regions("c1", "p1")},
+ o3 AS (SELECT x, y FROM lb WHERE tag = 3 AND (x, y) IN (SELECT (x, y) FROM wd)), {_eroded("e3", "o3", "rect", 3)}, p3 AS ({_dilated("e3", "rect", 3)}), {_regions("c3", "p3")}
+SELECT 1 AS tag, comp, x, y FROM c1 WHERE comp IN (SELECT comp FROM c1 GROUP BY comp HAVING count(*) >= 60) UNION ALL SELECT 3, comp, x, y FROM c3 WHERE comp IN (SELECT comp FROM c3 GROUP BY comp HAVING count(*) >= 60)""", "rects")(
+    lambda r: (lambda lb: surface.obstacle_regions(lb, [1, 3], lb.where("x BETWEEN 20 AND 200 AND tag = 4"), lb.where("tag = 5"), 6, 60, N, N))(label_of(r)))
+
+# -- places along a track --------------------------------------------------
+
+_PLACED = """p AS (SELECT point_id, point_id % 4 AS layout, x % 2000 AS x, y % 1500 AS y FROM centers),
+ ne AS (SELECT p.point_id, p.layout, arg_min(t.idx, (pow(p.x - t.x, 2) + pow(p.y - t.y, 2)) * 100000 + t.idx) AS idx FROM p JOIN track t ON t.layout = p.layout GROUP BY p.point_id, p.layout),
+ cu AS (SELECT layout, idx, coalesce(sum(d) OVER (PARTITION BY layout ORDER BY idx), 0) AS cum FROM (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM track WINDOW w AS (PARTITION BY layout ORDER BY idx))),
+ pl AS (SELECT point_id, layout, idx, cum FROM ne JOIN cu USING (layout, idx))"""
+
+
+def _points(c):
+    return c.select("point_id", (F.col("point_id") % 4).alias("layout"), (F.col("x") % 2000).alias("x"), (F.col("y") % 1500).alias("y"))
+
+
+R.query("j5_place_on_line", f"WITH {_PLACED} SELECT point_id, layout, idx, round(cum, 3) AS cum FROM pl", "centers", "track")(
+    lambda c, t: track.place_on_line(_points(c), t, 64).select("point_id", "layout", "idx", F.round("cum", 3).alias("cum")))
+R.query("m5_split_along", f"""WITH {_PLACED}, r AS (SELECT *, row_number() OVER (PARTITION BY layout ORDER BY cum, point_id) - 1 AS r, count(*) OVER (PARTITION BY layout) AS n FROM pl),
+ t AS (SELECT layout, cum AS cut FROM r WHERE r IN (trunc(n * 1 / 4), trunc(n * 2 / 4), trunc(n * 3 / 4)))
+SELECT a.point_id, a.layout, (SELECT count(*) FROM t WHERE t.layout = a.layout AND t.cut < a.cum)::INT AS part FROM pl a""", "centers", "track")(
+    lambda c, t: track.split_along(_points(c), t, 4, 64))

@@ -92,3 +92,16 @@ def split_bad_records(spark: SparkSession, path: str, schema: str) -> tuple[Data
     """JSON lines as (good rows, bad lines)."""
     raw = spark.read.text(path).withColumn("r", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return raw.where("r._bad IS NULL").select("r.*").drop("_bad"), raw.where("r._bad IS NOT NULL").select("value")
+
+
+def write_label_grid(label: DataFrame, path: str, width: int, height: int, bounds: dict[str, float], tags: dict[str, int]) -> None:
+    """A label raster as pixels in rows of tiles, and one row of meta data beside it; both replace what an earlier run left."""
+    spark = label.sparkSession
+    label.withColumn("band", F.expr("y div 512")).repartition("band").sortWithinPartitions("y", "x").write.mode("overwrite").partitionBy("band").parquet(f"{path}/pixels")
+    meta = spark.range(1).select(F.lit(width).alias("width"), F.lit(height).alias("height"), *[F.lit(float(v)).alias(k) for k, v in bounds.items()], F.to_json(F.create_map(*[F.lit(x) for kv in tags.items() for x in kv])).alias("tags"))
+    meta.write.mode("overwrite").json(f"{path}/meta")
+
+
+def read_label_grid(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(label raster, meta data); the raster's rows can be pruned by band."""
+    return spark.read.parquet(f"{path}/pixels"), spark.read.json(f"{path}/meta")
