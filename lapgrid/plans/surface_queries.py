@@ -143,10 +143,10 @@ def _wall(lb):
 
 R.query("g12_wall_region", f"WITH {_WALL} SELECT x, y FROM wl", "rects")(lambda r: _wall(label_of(r)))
 R.query("g13_obstacle_regions", f"""WITH {_LABEL}, {_CANVAS}, wl AS (SELECT x, y FROM lb WHERE x BETWEEN 20 AND 200 AND tag = 4), wd AS ({_dilated("wl", "rect", 6)}),
- o1 AS (SELECT x, y FROM lb WHERE tag = 1 AND (x, y) IN (SELECT (x, y) FROM wd)), {_eroded("e1", "o1", "rect", 3)}, p1 AS ({_dilated("e1", "rect", 3)}), {_regions("c1", "p1")},
+ o1 AS (SELECT x, y FROM lb WHERE tag = 5 AND (x, y) IN (SELECT (x, y) FROM wd)), {_eroded("e1", "o1", "rect", 3)}, p1 AS ({_dilated("e1", "rect", 3)}), {_regions("c1", "p1")},
  o3 AS (SELECT x, y FROM lb WHERE tag = 3 AND (x, y) IN (SELECT (x, y) FROM wd)), {_eroded("e3", "o3", "rect", 3)}, p3 AS ({_dilated("e3", "rect", 3)}), {_regions("c3", "p3")}
-SELECT 1 AS tag, comp, x, y FROM c1 WHERE comp IN (SELECT comp FROM c1 GROUP BY comp HAVING count(*) >= 60) UNION ALL SELECT 3, comp, x, y FROM c3 WHERE comp IN (SELECT comp FROM c3 GROUP BY comp HAVING count(*) >= 60)""", "rects")(
-    lambda r: (lambda lb: surface.obstacle_regions(lb, [1, 3], lb.where("x BETWEEN 20 AND 200 AND tag = 4"), lb.where("tag = 5"), 6, 60, N, N))(label_of(r)))
+SELECT 5 AS tag, comp, x, y FROM c1 WHERE comp IN (SELECT comp FROM c1 GROUP BY comp HAVING count(*) > 60) UNION ALL SELECT 3, comp, x, y FROM c3 WHERE comp IN (SELECT comp FROM c3 GROUP BY comp HAVING count(*) > 60)""", "rects")(
+    lambda r: (lambda lb: surface.obstacle_regions(lb, [5, 3], lb.where("x BETWEEN 20 AND 200 AND tag = 4"), lb.where("tag = 2"), 6, 61, N, N))(label_of(r)))
 
 # -- places along a track --------------------------------------------------
 
