@@ -32,7 +32,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 class Scratch:
-    """Parquet tables of one operator call.  drop() removes one that no later step reads."""
+    """Parquet tables of one operator call.  drop() removes one that no later step reads; the others, on which results rest, go when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tag, self.paths = spark, tag, {}
@@ -40,17 +40,22 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, f"{self.tag}-{name}")
         df.write.parquet(path)
+        files, where = self._at(path)
+        files.deleteOnExit(where)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
 
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in tables:
             _, path = self.paths.pop(id(df), (None, None))
             if path:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                files, where = self._at(path)
+                files.delete(where, True)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
