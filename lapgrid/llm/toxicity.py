@@ -98,9 +98,10 @@ def select_features(sample: DataFrame, z: float, most: int) -> list[str]:
         return []
 
     def distinct(batches):
-        for b in batches:
-            found = [sorted({f for w in set(words_of(t)) for f in features_of(w)}) for t in b["text"]]
-            yield pd.DataFrame({"toxic": b["toxic"].repeat([len(x) for x in found]).to_numpy(), "f": [f for x in found for f in x]})
+        for toxic, text in ((y, t) for b in batches for y, t in zip(b["toxic"], b["text"], strict=True)):
+            # One document at a time: a batch of them has too many features to hold.
+            found = sorted({f for w in set(words_of(text)) for f in features_of(w)})
+            yield pd.DataFrame({"toxic": np.full(len(found), toxic, dtype=np.int32), "f": found})
 
     seen = sample.select("toxic", "text").mapInPandas(distinct, "toxic int, f string").groupBy("f").agg(F.sum("toxic").alias("a"), F.count("*").alias("both"))
     a, c = F.col("a") + 0.5, F.col("both") - F.col("a") + 0.5
@@ -155,10 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE, z: floa
     other = [{f: i for i, f in enumerate(select_features(sample.where(F.col("fold") == 1 - k), z, most)) if f[0] == "w"} for k in (0, 1)]
 
     def hits(batches):
-        for b in batches:
+        for b in (b.iloc[i : i + 256] for b in batches for i in range(0, len(b), 256)):
             found, held = list(_hits(b["text"], known)), [list(_hits(b["text"], o)) for o in other]
             toxic_words = [sum(held[f][k].values()) - held[f][k][len(other[f])] for k, f in enumerate(b["fold"])]
-            yield pd.DataFrame({"toxic": b["toxic"], "weight": b["weight"], "words": toxic_words, "ix": [list(x) for x in found], "n": [list(x.values()) for x in found]})
+            yield pd.DataFrame({"toxic": b["toxic"].to_numpy(), "weight": b["weight"].to_numpy(), "words": toxic_words, "ix": [list(x) for x in found], "n": [list(x.values()) for x in found]})
 
     got = sample.mapInPandas(hits, "toxic int, weight double, words long, ix array<int>, n array<int>").collect()
     got.sort(key=lambda r: (r["toxic"], r["words"], r["ix"], r["n"]))
