@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, line_dedup, mixing, near_dup, pii, quality_rules, resample, toxicity, warc
+from . import bpe, chat_format, conversation_repair, decontaminate, line_dedup, mixing, near_dup, period_runs, pii, quality_rules, resample, toxicity, warc
 
 _MODULES = {
     "op1_chat_format": chat_format,
@@ -13,6 +13,9 @@ _MODULES = {
     "op8_decontaminate": decontaminate,
     "op9_importance_resampling": resample,
     "op10_quality_rules": quality_rules,
+    "op11_period_runs": period_runs,
+    "op12_conversation_repair": conversation_repair,
+    "op13_bpe": bpe,
 }
 QUERIES = {name: m.query for name, m in _MODULES.items()}
 SQL = {name: m.SQL for name, m in _MODULES.items() if getattr(m, "SQL", None)}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -50,3 +54,23 @@ def kth_largest(df: DataFrame, column: str, k: int, parts: int = 1024):
                 break
             k -= r["n"]
     return lo
+
+
+def mapped(df: DataFrame, source: str, new: dict[str, T.DataType], work: Callable[[], Callable[[pa.Array], list[pa.Array]]], rows: int = 512) -> DataFrame:
+    """The columns of df and new ones, which a task's ``work()`` makes from a column, at most ``rows`` rows at a time.
+
+    Columns named like a new one are replaced, others keep their values.
+    """
+    keep = [c for c in df.columns if c.lower() not in {n.lower() for n in new}]
+    # Plain names on the way, as a name may hold a dot or be there twice.
+    given = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{source}`").alias("source"))
+    schema = T.StructType([*given.schema.fields[:-1], *[T.StructField(f"new{i}", t) for i, t in enumerate(new.values())]])
+
+    def batches(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = work()
+        for b in some:
+            # Small pieces, so that a batch of long texts is not held in several forms at once.
+            for part in (b.slice(i, rows) for i in range(0, b.num_rows, rows)):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *step(part.column(part.num_columns - 1))], names=schema.names)
+
+    return given.mapInArrow(batches, schema).toDF(*keep, *new)

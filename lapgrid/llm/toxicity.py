@@ -100,8 +100,8 @@ def select_features(sample: DataFrame, z: float, most: int) -> list[str]:
     def distinct(batches):
         for toxic, text in ((y, t) for b in batches for y, t in zip(b["toxic"], b["text"], strict=True)):
             # One document at a time: a batch of them has too many features to hold.
-            found = sorted({f for w in set(words_of(text)) for f in features_of(w)})
-            yield pd.DataFrame({"toxic": np.full(len(found), toxic, dtype=np.int32), "f": found})
+            if found := sorted({f for w in set(words_of(text)) for f in features_of(w)}):
+                yield pd.DataFrame({"toxic": np.full(len(found), toxic, dtype=np.int32), "f": found})
 
     seen = sample.select("toxic", "text").mapInPandas(distinct, "toxic int, f string").groupBy("f").agg(F.sum("toxic").alias("a"), F.count("*").alias("both"))
     a, c = F.col("a") + 0.5, F.col("both") - F.col("a") + 0.5

@@ -148,6 +148,14 @@ def test_toxicity_edges(spark, odd, empty):
     assert toxicity.toxicity(odd, labels).where("is_toxic").count() == 0
     assert toxicity.toxicity(odd, labels.limit(0)).count() == odd.count()
     assert toxicity.toxicity(empty, labels).count() == 0
+    # Labelled texts without a feature: null, empty, blank, punctuation alone.
+    bare = docs_of(spark, [(1, None), (2, ""), (3, " \n"), (4, "?! ..."), (5, "vile nasty " * 9), (6, "a fine day"), (6, "")] + [(i, f"vile nasty {i}") for i in range(10, 30)] + [(i, f"fine day {i}") for i in range(40, 90)])
+    for toxic in ({1, 2, 3, 4}, {1, 3, 5, *range(10, 30)}, {2, 5}, set()):
+        marked = spark.createDataFrame([(i, int(i in toxic)) for i in range(1, 90)], "doc_id long, toxic int")
+        got = toxicity.toxicity(bare, marked).collect()
+        assert len(got) == bare.count() and all(r["is_toxic"] is not None for r in got)
+        if toxic >= set(range(10, 30)):
+            assert {r["doc_id"] for r in got if r["is_toxic"]} >= set(range(10, 30)) and not any(r["is_toxic"] for r in got if r["doc_id"] >= 40)
 
 
 def test_ordinal_fit_is_at_the_maximum():
