@@ -79,6 +79,23 @@ def join_runs(runs: DataFrame, *keys: str) -> DataFrame:
     return r.groupBy(*keys, "y", "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
 
 
+def strided_sample(runs: DataFrame, cap: int, *keys: str) -> DataFrame:
+    """(keys, x, y): every k-th pixel of each mask in row-major order, k = pixels div cap, at least 1.
+
+    Pixels before a row come from the counts of rows, pixels before a run from its row alone; only sampled pixels are listed.
+    """
+    size = F.col("x1") - F.col("x0") + 1
+    row = runs.groupBy(*keys, "y").agg(F.sum(size).alias("_n"))
+    above = Window.partitionBy(*keys).orderBy("y")
+    row = row.select(*keys, "y", (F.sum("_n").over(above) - F.col("_n")).alias("_above"))
+    total = runs.groupBy(*keys).agg(F.greatest(F.floor(F.sum(size) / cap), F.lit(1)).alias("_k"))
+    before = F.sum(size).over(Window.partitionBy(*keys, "y").orderBy("x0")) - size
+    r = runs.withColumn("_before", before).join(row, [*keys, "y"])
+    r = (r.join(total, list(keys)) if keys else r.crossJoin(F.broadcast(total))).withColumn("_at", F.col("_above") + F.col("_before"))
+    first = F.col("x0") + F.pmod(-F.col("_at"), F.col("_k"))
+    return r.where(first <= F.col("x1")).select(*keys, F.explode(F.sequence(first, F.col("x1").cast("long"), F.col("_k"))).alias("x"), "y")
+
+
 # -- morphology ------------------------------------------------------------
 
 def half_widths(kind: str, r: int) -> list[tuple[int, int]]:
