@@ -39,6 +39,9 @@ SHINGLE = 5
 CHUNKS = 8
 LANES = 4
 BLOCK = 1024
+#: Hashes of full sets in a block, about; one larger set is a block's whole content at most once.
+HASHES = 1 << 19
+SLICE = 128
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _ADD = _RNG.integers(0, 2**64, (64 * LANES, 1), dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**64, (64 * LANES, 1), dtype=np.uint64) | np.uint64(1)
@@ -135,16 +138,18 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return label.select("doc_id", F.col("c").alias("component_id"))
 
 
-def open_groups(index: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(hub, doc_id, c, n): for each hub with members of its buckets in different components c, all n members.
+def open_groups(index: DataFrame, comps: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(hub, doc_id, c, blocks): for each hub with members of its buckets in different components c, all members, and how many blocks to deal
+    them into, by their number and the sum of their sets (doc_id, n_shingles in ``sizes``).
 
     Buckets with one hub are mostly those of one family of texts, so a member is sent once for all of them.  Both sides of the
     last join are tables, not aggregates dealt by its key, so Spark may split a hub that holds a large share of the rows.
     """
-    c = index.select("hub", "doc_id").distinct().join(comps, "doc_id", "left").select("hub", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    c = index.select("hub", "doc_id").distinct().join(comps, "doc_id", "left").join(sizes, "doc_id").select("hub", "doc_id", F.coalesce("component_id", "doc_id").alias("c"), "n_shingles")
     c = scratch.table(c, "members")
-    spread = c.groupBy("hub").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 2 AND lo < hi")
-    return c.join(scratch.table(spread.select("hub", "n"), "hubs"), "hub")
+    spread = c.groupBy("hub").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 2 AND lo < hi")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("hashes") / HASHES)).cast("int")
+    return c.drop("n_shingles").join(scratch.table(spread.select("hub", blocks.alias("blocks")), "hubs"), "hub")
 
 
 def _lanes(x: np.ndarray) -> np.ndarray:
@@ -174,10 +179,9 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Members of open groups, dealt by hash into blocks of about BLOCK rows; a member once for each pair of blocks (p, q) that it is in."""
-    big = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    big = big.withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return big.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).drop("n", "blocks", "other")
+    """Members of open groups, dealt by hash into blocks of about BLOCK rows and HASHES hashes; a member once for each pair of blocks (p, q) that it is in."""
+    big = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return big.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).drop("blocks", "other")
 
 
 def _near(g: pd.DataFrame, limit: int):
@@ -257,7 +261,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, scratch: Scratch) ->
     """
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (b.iloc[i : i + SLICE] for b in batches for i in range(0, len(b), SLICE)):
             yield pd.DataFrame({"doc_id": b["doc_id"], "s": [shingle_set(t, width).view(np.int64) for t in b["text"]]})
 
     wanted = scratch.table(ids.distinct(), "wanted")
@@ -294,7 +298,7 @@ def near_duplicates(docs: DataFrame, share: int = 80, chunks: int = CHUNKS + 2,
     stars = scratch.table(pairs.where(distance(F.col("sa"), F.col("sb"), chunks) <= limit).select("a", "b"), "stars")
     links = confirmed(stars, docs, share, scratch, width)
 
-    rows = scratch.table(open_groups(index, components(links, scratch), scratch), "open")
+    rows = scratch.table(open_groups(index, components(links, scratch), reps.select("doc_id", "n_shingles"), scratch), "open")
     scratch.drop(index, stars)
     more = block_links(rows, reps, docs, limit, share, width, scratch)
     scratch.drop(rows)
