@@ -32,6 +32,14 @@ VIEWS = {
           (c_custkey * 37) % 240 + 3 + c_custkey % 13 AS x1, (c_custkey * 53) % 240 + 3 + c_nationkey % 9 AS y1,
           CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END AS tag
         FROM customer""",
+    "plots": """
+        SELECT c_custkey AS rect_id, tag, x0, y0, x0 + 3 + c_custkey % 13 AS x1, y0 + 3 + c_nationkey % 9 AS y1
+        FROM (SELECT c_custkey, c_nationkey, (c_custkey * 7919) % side AS x0, (c_custkey * 104729) % side AS y0,
+            CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END AS tag
+          FROM customer CROSS JOIN (SELECT 17 * cast(ceil(sqrt(count(*))) AS bigint) + 1 AS side FROM customer) s)""",
+    "sheets": """
+        SELECT cast(floor(c_custkey / 100) AS bigint) AS mask_id, (c_custkey * 37) % 112 AS x0, (c_custkey * 53) % 112 AS y0,
+          (c_custkey * 37) % 112 + 3 + c_custkey % 13 AS x1, (c_custkey * 53) % 112 + 1 + c_nationkey % 4 AS y1 FROM customer""",
     "centers": """
         SELECT c_custkey AS point_id, c_nationkey AS group_id, (c_custkey * 7919) % 10007 AS x, (c_custkey * 104729) % 10009 AS y FROM customer""",
     "tiles": """

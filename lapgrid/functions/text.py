@@ -78,9 +78,17 @@ def eta_text(elapsed: Column, share: Column) -> Column:
     return F.when((share <= 0.005) | (share >= 0.99), "").otherwise(text)
 
 
+#: The extension of each image format; others are written as png.
+EXTENSIONS = {"PNG": "png", "JPEG": "jpg", "BMP": "bmp", "TIFF": "tiff", "TARGA": "tga", "OPEN_EXR": "exr", "HDR": "hdr"}
+
+
 def texture_extension(fmt: Column) -> Column:
-    f = F.upper(fmt)
-    return F.when(f.isin("JPEG", "JPG"), "jpg").when(f == "TARGA", "tga").when(f == "BMP", "bmp").when(f == "TIFF", "tif").otherwise("png")
+    of = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(of, F.upper(fmt)), F.lit("png"))
+
+
+def is_jpeg(path: Column) -> Column:
+    return F.rlike(path, F.lit(r"(?i)[^/\\]\.jpe?g$"))
 
 
 def png_path(path: Column) -> Column:

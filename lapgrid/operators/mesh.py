@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import components, cut
+
 
 def lattice(boxes: DataFrame, step: int) -> DataFrame:
     """Quads (box_id, i, j, x, y) of ceil(width / step) x ceil(height / step) cells over boxes (box_id, x0, y0, x1, y1)."""
@@ -45,11 +49,96 @@ def project_down(points: DataFrame, tris: DataFrame, cell: int, how: str = "max"
     return j.groupBy("point_id").agg((F.max if how == "max" else F.min)(h).alias("h"))
 
 
-def weld(vertices: DataFrame, cell: float) -> DataFrame:
-    """(mesh_id, v, to): each vertex's representative, the smallest in its grid cell."""
-    key = [F.floor(F.col(c) / cell).alias(f"_{c}") for c in "xyz"]
-    k = vertices.select("mesh_id", "v", *key)
-    return k.select("mesh_id", "v", F.min("v").over(Window.partitionBy("mesh_id", "_x", "_y", "_z")).alias("to"))
+def weld(vertices: DataFrame, distance: float) -> DataFrame:
+    """(mesh_id, v, to): the smallest vertex that a vertex is joined to by steps of at most ``distance`` within its mesh.
+
+    Vertices of one place are one point.  Cells have a side of distance / sqrt(3), so all points of a cell are within the distance and
+    hang on its smallest; points of different cells, two cells away at most, meet in one equi-join and are measured, so no
+    border of cells keeps two points apart.
+    """
+    side = distance / math.sqrt(3) * (1 - 1e-12)
+    spot = vertices.groupBy("mesh_id", "x", "y", "z").agg(F.min("v").alias("v"))
+    p = cut(spot.withColumns({f"c{c}": F.floor(F.col(c) / side) for c in "xyz"}))
+    cell = ["mesh_id", "cx", "cy", "cz"]
+    ids = p.select(F.struct("mesh_id", "v").alias("id"))
+    first = p.groupBy(*cell).agg(F.min("v").alias("w"))
+    star = p.join(first, cell).where("v <> w").select(F.struct("mesh_id", F.col("w").alias("v")).alias("a"), F.struct("mesh_id", "v").alias("b"))
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    way = F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(s, "ijk", strict=True)]) for s in steps]))
+    # Only cells that exist are looked at: first pairs of cells, then their points.
+    cells = first.select(*cell)
+    pairs = cells.withColumn("s", way).select("mesh_id", *[F.col(f"c{c}").alias(f"a{c}") for c in "xyz"], *[(F.col(f"c{c}") + F.col(f"s.{n}")).alias(f"c{c}") for c, n in zip("xyz", "ijk", strict=True)]).join(cells, cell)
+    left = p.select("mesh_id", *[F.col(f"c{c}").alias(f"a{c}") for c in "xyz"], *[F.col(c).alias(f"a_{c}") for c in "xyz"], F.col("v").alias("av"))
+    met = pairs.join(left, ["mesh_id", "ax", "ay", "az"]).join(p, cell)
+    d2 = sum(((F.col(c) - F.col(f"a_{c}")) * (F.col(c) - F.col(f"a_{c}")) for c in "xyz"), F.lit(0.0))
+    near = met.where(d2 <= distance * distance).select(F.struct("mesh_id", F.col("av").alias("v")).alias("a"), F.struct("mesh_id", "v").alias("b"))
+    comp = components(ids, star.unionByName(near)).select("id.mesh_id", F.col("id.v").alias("w"), F.col("comp.v").alias("to"))
+    at = spot.select("mesh_id", "x", "y", "z", F.col("v").alias("w"))
+    return vertices.join(at, ["mesh_id", "x", "y", "z"]).join(comp, ["mesh_id", "w"]).select("mesh_id", "v", "to")
+
+
+def merge_fragments(vertices: DataFrame, faces: DataFrame, distance: float) -> tuple[DataFrame, DataFrame]:
+    """The fragments of each tag as one mesh: vertices (tag, v, x, y, z) and faces (tag, f, i0, i1, i2).
+
+    Fragments (tag, mesh_id) are put one after another, their numbers moved on by what came before (v and f of a fragment count from 0);
+    vertices within the distance become one, the smallest; faces that fall flat go, and of faces on the same three vertices the first stays.
+    """
+    one = ["tag", "mesh_id"]
+    before = lambda df, name: df.groupBy(*one).agg(F.count("*").alias("n")).select(*one, (F.sum("n").over(Window.partitionBy("tag").orderBy("mesh_id")) - F.col("n")).alias(name))
+    at = cut(before(vertices, "vo").join(before(faces, "fo"), one, "left"))
+    v = cut(vertices.join(at, one).select(F.col("tag").alias("mesh_id"), (F.col("v") + F.col("vo")).alias("v"), "x", "y", "z"))
+    f = faces.join(at, one).select(F.col("tag").alias("mesh_id"), (F.col("f") + F.col("fo")).alias("f"), *[(F.col(f"i{k}") + F.col("vo")).alias(f"i{k}") for k in range(3)])
+    to = cut(weld(v, distance))
+    for k in range(3):
+        f = f.join(to.select("mesh_id", F.col("v").alias(f"i{k}"), F.col("to").alias("_to")), ["mesh_id", f"i{k}"]).drop(f"i{k}").withColumnRenamed("_to", f"i{k}")
+    kept = v.join(to.where("v = to").select("mesh_id", "v"), ["mesh_id", "v"])
+    return kept.withColumnRenamed("mesh_id", "tag").select("tag", "v", "x", "y", "z"), distinct_faces(f).withColumnRenamed("mesh_id", "tag")
+
+
+#: Where a ray is tried again beside a point that has missed, in this order.
+OFFSETS = [(0.05, 0.0), (-0.05, 0.0), (0.0, 0.05), (0.0, -0.05), (0.15, 0.0), (-0.15, 0.0), (0.0, 0.15), (0.0, -0.15)]
+
+
+def project_beside(points: DataFrame, tris: DataFrame, cell: int, offsets: list[tuple[float, float]] = OFFSETS) -> DataFrame:
+    """(point_id, h): the height at the first offset that hits a triangle; points (point_id, x, z) without a hit are left out."""
+    moves = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(a)).alias("dx"), F.lit(float(b)).alias("dz")) for k, (a, b) in enumerate(offsets)]))
+    probe = points.withColumn("m", moves).select(F.struct(F.col("point_id").alias("p"), F.col("m.k").alias("k")).alias("point_id"), (F.col("x") + F.col("m.dx")).alias("x"), (F.col("z") + F.col("m.dz")).alias("z"))
+    return project_down(probe, tris, cell).groupBy(F.col("point_id.p").alias("point_id")).agg(F.min_by("h", "point_id.k").alias("h"))
+
+
+def project_mesh(vertices: DataFrame, edges: DataFrame, tris: DataFrame, cell: int, offsets: list[tuple[float, float]] = OFFSETS, passes: int = 3) -> DataFrame:
+    """(mesh_id, v, x, y, z, phase): vertices (mesh_id, v, x, z) put on the terrain, those never reached left out.
+
+    phase 1: the highest triangle at the vertex's own place; 2: at the first offset that hits, the vertex keeping its x and z; 3 and on: the mean height of
+    the neighbours over edges (mesh_id, v, w) that have one by the end of the pass before, for so many passes.
+    """
+    key = F.struct("mesh_id", "v").alias("point_id")
+    points = cut(vertices.select(key, "x", "z"))
+    hit = project_down(points, tris, cell).withColumn("phase", F.lit(1))
+    state = cut(points.join(hit, "point_id", "left"))
+    more = project_beside(state.where("h IS NULL").select("point_id", "x", "z"), tris, cell, offsets).withColumnRenamed("h", "h2")
+    state = cut(state.join(more, "point_id", "left").select("point_id", "x", "z", F.coalesce("h", "h2").alias("h"), F.when(F.col("h").isNotNull(), 1).when(F.col("h2").isNotNull(), 2).alias("phase")))
+    a, b = F.struct("mesh_id", "v").alias("point_id"), F.struct("mesh_id", F.col("w").alias("v")).alias("of")
+    both = cut(edges.where("v <> w").select(a, b).unionByName(edges.where("v <> w").select(b.alias("point_id"), a.alias("of"))).distinct())
+    for k in range(passes):
+        if not state.where("h IS NULL").limit(1).count():
+            break
+        near = both.join(state.where("h IS NOT NULL").select(F.col("point_id").alias("of"), "h"), "of").groupBy("point_id").agg(F.avg("h").alias("m"))
+        state = cut(state.join(near, "point_id", "left").select("point_id", "x", "z", F.coalesce("h", "m").alias("h"), F.when(F.col("h").isNull() & F.col("m").isNotNull(), 3 + k).otherwise(F.col("phase")).alias("phase")))
+    return state.where("h IS NOT NULL").select("point_id.mesh_id", "point_id.v", "x", F.col("h").alias("y"), "z", "phase")
+
+
+def projection_counts(vertices: DataFrame, projected: DataFrame) -> DataFrame:
+    """(mesh_id, total, direct, beside, filled, orphans) of a projection."""
+    n = projected.groupBy("mesh_id").agg(F.count_if(F.col("phase") == 1).alias("direct"), F.count_if(F.col("phase") == 2).alias("beside"), F.count_if(F.col("phase") > 2).alias("filled"))
+    j = vertices.groupBy("mesh_id").agg(F.count("*").alias("total")).join(n, "mesh_id", "left").na.fill(0, ["direct", "beside", "filled"])
+    return j.withColumn("orphans", F.col("total") - F.col("direct") - F.col("beside") - F.col("filled"))
+
+
+def project_plain(vertices: DataFrame, tris: DataFrame, cell: int) -> DataFrame:
+    """(mesh_id, v, x, y, z): vertices that hit the terrain straight below or above; misses are removed."""
+    points = vertices.select(F.struct("mesh_id", "v").alias("point_id"), "x", "z")
+    return points.join(project_down(points, tris, cell), "point_id").select("point_id.mesh_id", "point_id.v", "x", F.col("h").alias("y"), "z")
 
 
 def distinct_faces(faces: DataFrame) -> DataFrame:
@@ -84,8 +173,6 @@ def median_split(items: DataFrame, limit: int, most: int = 10, near: int = 10_00
     The middle of each piece is found by counts in ever finer ranges, of the axis and then of item_id among equal values; only the
     rows of a deciding range, at most ``near`` unless they are all equal, are ranked.  The driver holds one row for each open piece, 2^(most - 1) at most.
     """
-    from .rounds import cut
-
     spark, types = items.sparkSession, dict(items.dtypes)
     schema = f"piece string, wide boolean, lo double, hi double, ilo {types['item_id']}, ihi {types['item_id']}, n long, k long"
     p = cut(items.select("item_id", "x", "y", F.lit("").alias("piece")))

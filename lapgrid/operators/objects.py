@@ -129,3 +129,9 @@ def validate(documents: DataFrame) -> DataFrame:
     g = documents.groupBy("layout").agg(n("hotlap").alias("h"), n("pit").alias("p"), n("timing_left").alias("l"), n("timing_right").alias("r"))
     errors = F.array(F.when(F.col("h") != 1, "one hotlap"), F.when(F.col("p") == 0, "a pit"), F.when(F.col("l") != F.col("r"), "paired gates"))
     return g.select("layout", F.array_join(F.filter(errors, lambda e: e.isNotNull()), "; ").alias("errors"))
+
+
+def manual_first(manual: DataFrame, auto: DataFrame, source: str) -> DataFrame:
+    """The rows of each source with ``manual``: its manual rows where it has any, else its automatic ones."""
+    rest = auto.join(manual.select(source).distinct(), source, "left_anti")
+    return manual.withColumn("manual", F.lit(True)).unionByName(rest.withColumn("manual", F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,14 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame
         return s.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("j", "comp")).alias("comp"), (F.least("comp", F.coalesce("j", "comp")) < F.col("old")).alias("changed"))
 
     return iterate(nodes.select("id", F.col("id").alias("comp")), step, "changed", most).select("id", "comp")
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with each row's place in the order, from 0: a sort by ranges, and one count for each of its partitions, no window over all rows."""
+    at = F.monotonically_increasing_id()
+    s = cut(df.orderBy(*order).withColumn("_at", at))
+    part, row = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = s.groupBy(part).agg(F.count("*").alias("_n"))
+    # One row for each partition of the sort.
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return s.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + row).drop("_at", "_part", "_before")

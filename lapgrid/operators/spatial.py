@@ -110,13 +110,26 @@ def snap_to_valid(points: DataFrame, valid: DataFrame, radius: int) -> DataFrame
     return ok.unionByName(moved)
 
 
-def axis_vote(tiles: DataFrame, boxes: DataFrame, candidates: dict[str, Column], cell: int) -> DataFrame:
-    """Of named coordinate maps of tiles the one with most overlaps, the first on ties: name, hits."""
-    out = None
-    for i, (name, cond) in enumerate(candidates.items()):
-        hits = box_join(tiles.where(cond), boxes, ["x0", "y0", "x1", "y1"], ["bx0", "by0", "bx1", "by1"], cell).agg(F.count("*").alias("hits")).select(F.lit(name).alias("name"), F.lit(-i).alias("o"), "hits")
-        out = hits if out is None else out.union(hits)
-    return out.agg(F.max(F.struct("hits", "o", "name")).alias("m")).select("m.name", "m.hits")
+#: Maps from a tile's three axes to the plane of the boxes: the second axis, and its sign.
+AXIS_MAPS = {"XY": ("y", 1), "XnY": ("y", -1), "XZ": ("z", 1), "XnZ": ("z", -1)}
+
+
+def axis_vote(tiles: DataFrame, boxes: DataFrame, cell: int, maps: dict[str, tuple[str, int]] = AXIS_MAPS) -> DataFrame:
+    """name, hits: of the axis maps the one under which most pairs of a tile (x0, y0, z0, x1, y1, z1) and a box (bx0, by0, bx1, by1) overlap, the first on ties.
+
+    Every tile goes through all maps in one join."""
+    def mapped(i: int, name: str, axis: str, sign: int) -> Column:
+        lo, hi = (F.col(f"{axis}0"), F.col(f"{axis}1")) if sign > 0 else (-F.col(f"{axis}1"), -F.col(f"{axis}0"))
+        return F.struct(F.lit(-i).alias("o"), F.lit(name).alias("name"), F.col("x0").alias("mx0"), lo.alias("my0"), F.col("x1").alias("mx1"), hi.alias("my1"))
+
+    every = tiles.select(F.explode(F.array(*[mapped(i, n, *m) for i, (n, m) in enumerate(maps.items())])).alias("m")).select("m.*")
+    hits = box_join(every, boxes, ["mx0", "my0", "mx1", "my1"], ["bx0", "by0", "bx1", "by1"], cell).groupBy("o", "name").agg(F.count("*").alias("hits"))
+    return hits.agg(F.max(F.struct("hits", "o", "name")).alias("m")).select("m.name", "m.hits")
+
+
+def dedupe_boxes(boxes: DataFrame, key: str, columns: list[str], digits: int = 6) -> DataFrame:
+    """The key of the first of the boxes that are equal when rounded to so many decimals."""
+    return boxes.groupBy(*[F.round(c, digits) for c in columns]).agg(F.min(key).alias(key)).select(key)
 
 
 def rects_on_triangles(rects: DataFrame, triangles: DataFrame, cell: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spatial
@@ -121,3 +121,18 @@ def frame_mode(forced: Column, has_transform: Column) -> Column:
         F.when(forced == "enu", "enu").when((forced == "tileset_local") & ~has_transform, "error").when(forced == "tileset_local", "tileset_local")
         .when(has_transform, "tileset_local").otherwise("enu")
     )
+
+
+def depth_first(tiles: DataFrame, first: int, most: int = 64) -> DataFrame:
+    """(tile_id, place): the first mesh tiles in depth-first order from the roots, children by id; paths grow level by level."""
+    level = cut(tiles.where("parent_id IS NULL").select("tile_id", "has_mesh", F.array("tile_id").alias("path")))
+    every = level
+    for _ in range(most):
+        level = cut(tiles.join(level.select(F.col("tile_id").alias("parent_id"), "path"), "parent_id").select("tile_id", "has_mesh", F.concat("path", F.array("tile_id")).alias("path")))
+        if not level.limit(1).count():
+            break
+        every = every.unionByName(level)
+    else:
+        raise RuntimeError(f"a tree is deeper than {most}")
+    top = every.where("has_mesh").orderBy("path").limit(first)
+    return top.select("tile_id", (F.row_number().over(Window.orderBy("path")) - 1).alias("place"))

@@ -127,8 +127,8 @@ R.columns("t11_eta_text", "telemetry", lambda: [C("session_id"), C("seq"), text.
           """session_id, seq, CASE WHEN seq % 100 / 100 <= 0.005 OR seq % 100 / 100 >= 0.99 THEN '' WHEN floor(t * (1 - (seq % 100) / 100) / ((seq % 100) / 100) + 0.5) < 60
              THEN printf('~%ds', floor(t * (1 - (seq % 100) / 100) / ((seq % 100) / 100) + 0.5)::BIGINT)
              ELSE printf('~%dm%02ds', floor(t * (1 - (seq % 100) / 100) / ((seq % 100) / 100) + 0.5)::BIGINT // 60, floor(t * (1 - (seq % 100) / 100) / ((seq % 100) / 100) + 0.5)::BIGINT % 60) END AS eta""")
-R.columns("t12_texture_path", "objects", lambda: [C("object_id"), text.texture_extension(F.element_at(F.array(*map(F.lit, ("png", "JPEG", "targa", "exr"))), (C("x") % 4 + 1).cast("int"))).alias("ext"), text.png_path(F.concat(F.lit("a/b"), C("x"), F.lit(".JPG"))).alias("path")],
-          "object_id, ['png', 'jpg', 'tga', 'png'][x % 4 + 1] AS ext, 'a/b' || x || '.png' AS path")
+R.columns("t12_texture_path", "objects", lambda: [C("object_id"), text.texture_extension(F.element_at(F.array(*map(F.lit, ("png", "JPEG", "targa", "open_exr", "TIFF", "hdr", "bmp", "webp"))), (C("x") % 8 + 1).cast("int"))).alias("ext"), text.png_path(F.concat(F.lit("a/b"), C("x"), F.lit(".JPG"))).alias("path")],
+          "object_id, ['png', 'jpg', 'tga', 'exr', 'tiff', 'hdr', 'bmp', 'png'][x % 8 + 1] AS ext, 'a/b' || x || '.png' AS path")
 R.columns("t13_clip_of_path", "objects", lambda: (lambda s: [C("object_id"), s["tag"].alias("tag"), s["clip"].alias("clip")])(text.clip_of_path(F.concat(F.lit("out/"), C("type"), F.lit("/"), F.when(C("x") % 2 == 0, "clip_").otherwise(""), C("x"), F.lit("_blender.json")))),
           "object_id, type AS tag, 'clip_' || x AS clip")
 R.columns("t14_describe_track", "objects", lambda: [C("object_id"), text.describe_track(C("type"), C("x") - 100).alias("text")], "object_id, CASE WHEN x > 100 THEN type || ', ' || (x - 100) || ' m long' ELSE type END AS text")

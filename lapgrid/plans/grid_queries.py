@@ -36,9 +36,9 @@ R.query("u1_mask_difference", "SELECT DISTINCT x, y FROM pixels WHERE tag = 1 AN
     lambda px: px.where("tag = 1").select("x", "y").subtract(px.where("tag = 3").select("x", "y")))
 R.query("u1_mask_intersection", "SELECT DISTINCT x, y FROM pixels WHERE tag = 1 AND (x, y) IN (SELECT (x, y) FROM pixels WHERE tag = 3)", "pixels")(
     lambda px: px.where("tag = 1").select("x", "y").intersect(px.where("tag = 3").select("x", "y")))
-R.query("k4_strided_sample", """WITH p AS (SELECT DISTINCT x, y FROM pixels), n AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY y) AS n FROM p)
-SELECT x, y FROM n WHERE r % greatest(n // 8, 1) = 0""", "pixels")(
-    lambda px: px.select("x", "y").distinct().selectExpr("x", "y", "row_number() OVER (PARTITION BY y ORDER BY x) - 1 AS r", "count(*) OVER (PARTITION BY y) AS n").where("r % greatest(n div 8, 1) = 0").select("x", "y"))
+R.query("k4_strided_sample", """WITH p AS (SELECT DISTINCT x, y FROM pixels), n AS (SELECT *, row_number() OVER (ORDER BY y, x) - 1 AS r, count(*) OVER () AS n FROM p)
+SELECT x, y FROM n WHERE r % greatest(n // 500, 1) = 0""", "pixels")(
+    lambda px: grid.strided_sample(grid.to_runs(px), 500))
 R.query("runs_of_mask", f"WITH {_RECT_PX} SELECT tag, y, min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY tag, y ORDER BY x) AS g FROM rpx) GROUP BY tag, y, g", "rects")(
     lambda r: grid.to_runs(filled(r), "tag"))
 R.query("g1_dilate_rect", f"WITH {_RECT_PX} SELECT DISTINCT x + dx AS x, y + dy AS y FROM rpx, range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE tag = 5 AND x + dx BETWEEN 0 AND {N - 1} AND y + dy BETWEEN 0 AND {N - 1}", "rects")(

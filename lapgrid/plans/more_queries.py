@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sql_functions
 from ..operators import tiles, track
+from ..operators.rounds import numbered
 from .grid_queries import N, filled
 from .register import Register
 
@@ -36,10 +37,11 @@ R.query("a27_hole_ratio", f"SELECT round(1 - count(*) / {N * N}e0, 6) AS ratio,
 R.query("a28_height_range", "SELECT g.n_regionkey AS region, coalesce(min(y0), 0) AS lo, coalesce(max(y1), 20) AS hi FROM nation g LEFT JOIN rects r ON r.group_id = g.n_nationkey AND r.tag = 2 AND r.x0 < 3 GROUP BY 1", "nation", "rects")(
     lambda g, r: g.join(r.where("tag = 2 AND x0 < 3"), C("group_id") == C("n_nationkey"), "left").groupBy(C("n_regionkey").alias("region")).agg(F.coalesce(F.min("y0"), F.lit(0)).alias("lo"), F.coalesce(F.max("y1"), F.lit(20)).alias("hi")))
 R.query("a29_materials", "SELECT p_type AS material, arg_min(p_name, p_partkey) AS texture FROM part GROUP BY p_type", "part")(lambda p: p.groupBy(C("p_type").alias("material")).agg(F.min_by("p_name", "p_partkey").alias("texture")))
-R.query("k1_sorted_masks", "SELECT rect_id, row_number() OVER (PARTITION BY tag ORDER BY (x1 - x0) * (y1 - y0) DESC, rect_id) AS place FROM rects", "rects")(
-    lambda r: r.withColumn("place", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc((C("x1") - C("x0")) * (C("y1") - C("y0"))), "rect_id")).cast("long")).select("rect_id", "place"))
-R.query("k3_tile_sample", "SELECT tile_id FROM tiles WHERE has_mesh ORDER BY coalesce(parent_id, '') || '/' || tile_id LIMIT 30", "tiles")(
-    lambda t: t.where("has_mesh").orderBy(F.concat(F.coalesce("parent_id", F.lit("")), F.lit("/"), "tile_id")).limit(30).select("tile_id"))
+R.query("k1_sorted_masks", "SELECT rect_id, (x0 * y1) % 101 AS score, row_number() OVER (ORDER BY (x0 * y1) % 101 DESC, rect_id) - 1 AS place FROM rects", "rects")(
+    lambda r: numbered(r.selectExpr("rect_id", "(x0 * y1) % 101 AS score"), "place", F.desc("score"), "rect_id"))
+R.query("k3_tile_sample", """WITH p(tile_id, has_mesh, path) AS (SELECT tile_id, has_mesh, [tile_id] FROM tiles WHERE parent_id IS NULL UNION ALL SELECT t.tile_id, t.has_mesh, list_append(p.path, t.tile_id) FROM p JOIN tiles t ON t.parent_id = p.tile_id)
+SELECT tile_id, row_number() OVER (ORDER BY path) - 1 AS place FROM p WHERE has_mesh ORDER BY path LIMIT 30""", "tiles")(
+    lambda t: tiles.depth_first(t, 30).withColumn("place", C("place").cast("long")))
 R.query("u7_tile_dedupe", "SELECT min(tile_id) AS tile_id FROM tiles WHERE x0 IS NOT NULL GROUP BY x0, y0", "tiles")(lambda t: t.where("x0 IS NOT NULL").groupBy("x0", "y0").agg(F.min("tile_id").alias("tile_id")).select("tile_id"))
 R.query("u8_outside_batches", "SELECT layout, count(*) AS n FROM objects WHERE object_id NOT IN (SELECT object_id FROM objects WHERE x % 3 = 0) GROUP BY layout", "objects")(
     lambda o: o.join(o.where("x % 3 = 0").select("object_id"), "object_id", "left_anti").groupBy("layout").agg(F.count("*").alias("n")))

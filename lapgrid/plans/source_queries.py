@@ -74,8 +74,10 @@ def _faces(rects):
 R.query("f13_face_area", "SELECT rect_id AS mesh_id, f, round(CASE WHEN f = 3 THEN 0 ELSE sqrt(pow((x1 - x0) * (y1 - y0), 2) + pow(y1 - y0, 2) + pow(x1 - x0, 2) * CASE f WHEN 1 THEN 9 ELSE 1 END) / 2 END, 4) AS area FROM rects, range(0, 4) r(f)", "rects")(
     lambda r: mesh.face_area(mesh.faces_with_corners(_faces(r), _vertices(r))).select("mesh_id", "f", F.round("area", 4).alias("area")))
 R.query("a22_distinct_faces", "SELECT rect_id AS mesh_id, f::INT AS f FROM rects, range(0, 2) r(f)", "rects")(lambda r: mesh.distinct_faces(_faces(r)).select("mesh_id", "f"))
-R.query("a22_weld", "SELECT rect_id AS v, min(rect_id) OVER (PARTITION BY tag, x0 // 10, y0 // 10, x1 // 10) AS \"to\" FROM rects", "rects")(
-    lambda r: mesh.weld(r.select(F.col("tag").alias("mesh_id"), F.col("rect_id").alias("v"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("x1").alias("z")), 10).select("v", "to"))
+R.query("a22_weld", """WITH near AS (SELECT a.rect_id AS a, b.rect_id AS b FROM rects a JOIN rects b ON a.group_id = b.group_id AND abs(a.x0 - b.x0) <= 9 AND pow(a.x0 - b.x0, 2) + pow(a.y0 - b.y0, 2) + pow(a.x1 - b.x1, 2) <= 81),
+ reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, e.b FROM reach r JOIN near e ON r.b = e.a)
+SELECT a AS v, min(b) AS "to" FROM reach GROUP BY a""", "rects")(
+    lambda r: mesh.weld(r.select(F.col("group_id").alias("mesh_id"), F.col("rect_id").alias("v"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("x1").alias("z")), 9).select("v", "to"))
 R.query("m8_orphan_vertices", "SELECT rect_id AS mesh_id, 3 AS v FROM rects WHERE rect_id % 2 = 0", "rects")(lambda r: mesh.orphan_vertices(_vertices(r), _faces(r).where("mesh_id % 2 = 1 OR f = 0")).select("mesh_id", "v"))
 R.query("j13_vertical_projection", """WITH p AS (SELECT point_id, x % 256 AS x, y % 256 AS z FROM centers),
  t AS (SELECT rect_id, tag * 10 AS h0, tag * 10 + 1 AS h1, tag * 10 + 2 AS h2, x0, y0, x1, y0 AS z1, x1 AS x2, y1 AS z2 FROM rects),

@@ -90,10 +90,13 @@ R.query("w24_stable_names", "SELECT rect_id, tag, row_number() OVER (PARTITION B
 R.query("a18_validate", "SELECT layout, array_to_string(list_filter([CASE WHEN count(*) FILTER (type = 'hotlap') <> 1 THEN 'one hotlap' END, CASE WHEN count(*) FILTER (type = 'pit') = 0 THEN 'a pit' END, CASE WHEN count(*) FILTER (type = 'timing_left') <> count(*) FILTER (type = 'timing_right') THEN 'paired gates' END], lambda e: e IS NOT NULL), '; ') AS errors FROM objects GROUP BY layout", "objects")(ob.validate)
 R.query("a8_group_boxes", "SELECT group_id, min(x0) - 5 AS x0, min(y0) - 5 AS y0, max(x1) + 5 AS x1, max(y1) + 5 AS y1 FROM rects GROUP BY group_id", "rects")(
     lambda r: r.groupBy("group_id").agg(*[(f(c) + d).alias(c) for f, c, d in ((F.min, "x0", -5), (F.min, "y0", -5), (F.max, "x1", 5), (F.max, "y1", 5))]))
-R.query("a11_axis_vote", "WITH h AS (SELECT k, count(*) AS hits FROM tiles t JOIN rects r ON r.tag = 3 AND t.x0 <= r.x1 AND t.x1 >= r.x0 AND t.y0 <= r.y1 AND t.y1 >= r.y0 JOIN (VALUES (17), (19)) v(k) ON t.level = k GROUP BY k) SELECT 'L' || k AS name, hits FROM h ORDER BY hits DESC, k LIMIT 1", "tiles", "rects")(
-    lambda t, r: spatial.axis_vote(t, _other(r, "tag = 3"), {"L17": F.col("level") == 17, "L19": F.col("level") == 19}, 64))
-R.query("u3_box_dedupe", "SELECT min(rect_id) AS rect_id FROM rects GROUP BY x0 // 8, y0 // 8, x1 // 8, y1 // 8", "rects")(
-    lambda r: r.selectExpr("rect_id", "row_number() OVER (PARTITION BY x0 div 8, y0 div 8, x1 div 8, y1 div 8 ORDER BY rect_id) AS k").where("k = 1").select("rect_id"))
+R.query("a11_axis_vote", """WITH h AS (SELECT k, name, count(*) AS hits FROM tiles t JOIN (VALUES (0, 'XY'), (1, 'XnY'), (2, 'XZ'), (3, 'XnZ')) m(k, name) ON t.x0 IS NOT NULL JOIN rects r ON r.tag = 3 AND t.x0 <= r.x1 AND t.x1 >= r.x0
+ AND CASE k WHEN 0 THEN t.y0 WHEN 1 THEN -t.y1 WHEN 2 THEN floor(t.x0 / 2) - 60 ELSE -(floor(t.x0 / 2) + 40) END <= r.y1 AND CASE k WHEN 0 THEN t.y1 WHEN 1 THEN -t.y0 WHEN 2 THEN floor(t.x0 / 2) + 40 ELSE -(floor(t.x0 / 2) - 60) END >= r.y0 GROUP BY k, name)
+SELECT name, hits FROM h ORDER BY hits DESC, k LIMIT 1""", "tiles", "rects")(
+    lambda t, r: spatial.axis_vote(t.where("x0 IS NOT NULL").withColumns({"z0": F.expr("CAST(floor(x0 / 2) AS bigint) - 60"), "z1": F.expr("CAST(floor(x0 / 2) AS bigint) + 40")}), _other(r, "tag = 3"), 64))
+R.query("u3_box_dedupe", """SELECT min(rect_id) AS rect_id FROM (SELECT rect_id, (x0 % 12) / 240e0 + rect_id * 1e-11 AS a, (y0 % 12) / 240e0 AS b, (x1 - x0) / 240e0 AS c, (y1 - y0) / 240e0 AS d FROM rects)
+ GROUP BY round(a, 6), round(b, 6), round(c, 6), round(d, 6)""", "rects")(
+    lambda r: spatial.dedupe_boxes(r.selectExpr("rect_id", "(x0 % 12) / 240e0 + rect_id * 1e-11D AS a", "(y0 % 12) / 240e0 AS b", "(x1 - x0) / 240e0 AS c", "(y1 - y0) / 240e0 AS d"), "rect_id", ["a", "b", "c", "d"]))
 R.query("u4_independent_tags", "SELECT DISTINCT tag FROM rects EXCEPT SELECT DISTINCT tag FROM pixels WHERE tag < 3", "rects", "pixels")(lambda r, p: r.select("tag").subtract(p.where("tag < 3").select("tag")))
 
 _TREE = "clo(ancestor, tile_id) AS (SELECT parent_id, tile_id FROM tiles WHERE parent_id IS NOT NULL UNION ALL SELECT t.parent_id, c.tile_id FROM clo c JOIN tiles t ON t.tile_id = c.ancestor WHERE t.parent_id IS NOT NULL)"
@@ -117,8 +120,9 @@ R.query("k5_refinement_order", "SELECT level, tile_id, row_number() OVER (PARTIT
     lambda t: t.where("has_mesh").selectExpr("level", "tile_id", "cast(row_number() OVER (PARTITION BY level ORDER BY tile_id) AS bigint) AS place"))
 R.query("j17_object_to_tile", "SELECT rect_id, tile_id FROM rects JOIN tiles ON tile_id = 'c' || rect_id", "rects", "tiles")(
     lambda r, t: r.select("rect_id", F.regexp_extract(F.concat(F.lit("c"), "rect_id", F.lit(".glb.001")), r"^(.*?)\.glb", 1).alias("tile_id")).join(t.select("tile_id"), "tile_id").select("rect_id", "tile_id"))
-R.query("j10_manual_over_auto", "SELECT coalesce(m.x, a.x) AS x, coalesce(m.y, a.y) AS y, coalesce(m.tag, a.tag) AS tag, m.tag IS NOT NULL AS manual FROM (SELECT x, y, max(tag) AS tag FROM pixels WHERE clip % 2 = 0 GROUP BY x, y) m FULL JOIN (SELECT x, y, max(tag) AS tag FROM pixels WHERE clip % 2 = 1 GROUP BY x, y) a ON a.x = m.x AND a.y = m.y", "pixels")(
-    lambda p: (lambda m, a: m.withColumnRenamed("tag", "m").join(a.withColumnRenamed("tag", "a"), ["x", "y"], "full").select("x", "y", F.coalesce("m", "a").alias("tag"), F.col("m").isNotNull().alias("manual")))(*[p.where(f"clip % 2 = {k}").groupBy("x", "y").agg(F.max("tag").alias("tag")) for k in (0, 1)]))
+R.query("j10_manual_over_auto", """WITH m AS (SELECT DISTINCT clip, x, y FROM pixels WHERE exclude AND clip % 3 = 0), a AS (SELECT DISTINCT clip, x, y FROM pixels WHERE NOT exclude)
+SELECT clip, x, y, true AS manual FROM m UNION ALL SELECT clip, x, y, false FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.clip = a.clip)""", "pixels")(
+    lambda p: ob.manual_first(p.where("exclude AND clip % 3 = 0").select("clip", "x", "y").distinct(), p.where("NOT exclude").select("clip", "x", "y").distinct(), "clip"))
 R.query("j9_prompt_fallback", "WITH h AS (SELECT DISTINCT clip, tag FROM pixels WHERE prob > 0.85 AND x < 24) SELECT clip, coalesce(min(CASE WHEN tag = 0 THEN 0 END), min(tag)) AS prompt FROM h GROUP BY clip", "pixels")(
     lambda p: (lambda h: h.where("tag = 0").select("clip", F.lit(0).alias("prompt")).union(h.join(h.where("tag = 0"), "clip", "left_anti").groupBy("clip").agg(F.min("tag").alias("prompt"))))(p.where("prob > 0.85 AND x < 24").select("clip", "tag").distinct()))
 R.query("f9_score_threshold", "SELECT ord FROM pixels JOIN (VALUES (0, 0.2), (1, 0.4), (2, 0.6), (3, 0.8), (4, 0.9)) v(tag, least) USING (tag) WHERE prob >= least::DOUBLE", "pixels")(

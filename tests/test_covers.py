@@ -87,8 +87,8 @@ def brute_cover(mask, depth, n, w, h, overlap, points):
 @pytest.mark.parametrize("deep", [False, True])
 def test_cover_is_the_greedy_one(spark, deep):
     rng = random.Random(7 + deep)
-    n, w, h = 90, 30, 24
-    masks = {k: raster(rng, n, most) for k, most in ((1, 3), (2, 12), (5, 1))}
+    n, w, h = 60, 30, 24
+    masks = {k: raster(rng, n, most) for k, most in ((1, 3), (2, 4), (5, 1))}
     depth = {k: np.where(m, 1.0 + (np.indices(m.shape).sum(axis=0) % 5), 0.0) for k, m in masks.items()} if deep else None
     px = spark.createDataFrame(pixels(masks), "mask_id long, x long, y long")
     d = spark.createDataFrame([(k, x, y, float(depth[k][y, x])) for k, x, y in pixels(masks)], "mask_id long, x long, y long, depth double") if deep else None
