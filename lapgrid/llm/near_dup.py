@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,19 +85,27 @@ def signature(s: np.ndarray, chunks: int) -> np.ndarray:
 def signatures(docs: DataFrame, chunks: int, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, two fingerprints of the set, and the signature."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b["text"]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A slice of texts at a time, so that a batch is not held as Python strings as well.
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            n, f1, f2, sigs = [], [], [], []
+            for t in b.column(1).to_pylist():
                 s = shingle_set(t, width)
-                a, c = _mix(s + _C1).sum(dtype=np.uint64), _mix(s ^ _C3).sum(dtype=np.uint64)
-                sig = signature(s, chunks).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64)
-                rows.append((len(s), int(a.view(np.int64)), int(c.view(np.int64)), sig))
-            out = pd.DataFrame(rows, columns=["n_shingles", "f1", "f2", "sig"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+                n.append(len(s))
+                f1.append(_mix(s + _C1).sum(dtype=np.uint64).view(np.int64))
+                f2.append(_mix(s ^ _C3).sum(dtype=np.uint64).view(np.int64))
+                sigs.append(signature(s, chunks).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64))
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _lists(sigs)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2", "sig"])
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return ids.mapInArrow(work, "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit integers as one list column, without Python integers."""
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *arrays])))
 
 
 def distance(a: Column, b: Column, chunks: int) -> Column:
@@ -260,12 +269,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, scratch: Scratch) ->
     The ids are written first, so that Spark knows their true size when it chooses how to join; few are sent to the texts.
     """
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in (b.iloc[i : i + SLICE] for b in batches for i in range(0, len(b), SLICE)):
-            yield pd.DataFrame({"doc_id": b["doc_id"], "s": [shingle_set(t, width).view(np.int64) for t in b["text"]]})
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()])], names=["doc_id", "s"])
 
     wanted = scratch.table(ids.distinct(), "wanted")
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s array<long>")
+    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, share: int, scratch: Scratch, width: int = SHINGLE) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words are runs of anything but space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of a row group, which a writing task holds in memory.
+ROWS_BYTES = 16 << 20
 _OWN: dict[str, str] = {}
 
 
@@ -39,7 +41,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, f"{self.tag}-{name}")
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROWS_BYTES).parquet(path)
         files, where = self._at(path)
         files.deleteOnExit(where)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -47,7 +47,7 @@ Z = 4.0
 PREFIXES = (3, 4, 5, 6, 7)
 GRADES = 3
 _EDGES = "".join(chr(c) for c in range(33, 127) if unicodedata.category(chr(c))[0] in "PS")
-_MEMO = 200_000
+_MEMO = 50_000
 
 
 def words_of(text: str | None) -> list[bytes]:
