@@ -23,6 +23,31 @@ def box_join(left: DataFrame, right: DataFrame, lbox: list[str], rbox: list[str]
     return a.join(b, on & hit & first).drop("_cx", "_cy", "_rx", "_ry") if how == "inner" else a.join(b, on & hit, how).drop("_cx", "_cy")
 
 
+def rects_overlapping(rects: DataFrame, boxes: DataFrame, key: str = "tile_id") -> DataFrame:
+    """The key of the rectangles (x0, y0, x1, y1) that overlap any box (bx0, by0, bx1, by1).
+
+    Both go to cells of their own size class (a power of two), so a large rectangle fills few cells; a rectangle meets the boxes of each class in
+    cells of the larger class of the two.
+    """
+    def sized(df: DataFrame, box: list[str], name: str) -> DataFrame:
+        side = F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1]), F.lit(1))
+        return df.withColumn(name, F.ceil(F.log2(side)).cast("int"))
+
+    a, b = sized(rects, ["x0", "y0", "x1", "y1"], "ka"), sized(boxes, ["bx0", "by0", "bx1", "by1"], "kb")
+    classes = lambda df, k: F.broadcast(df.select(k).distinct())
+    # A size class is the exponent of a number, so there are at most about 64 of them.
+    a = a.join(classes(b, "kb")).withColumn("k", F.greatest("ka", "kb"))
+    b = b.join(classes(rects.transform(lambda d: sized(d, ["x0", "y0", "x1", "y1"], "ka")), "ka")).withColumn("k", F.greatest("ka", "kb"))
+
+    def cells_of(df: DataFrame, box: list[str]) -> DataFrame:
+        at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("k")))
+        return df.withColumn("cx", F.explode(F.sequence(at(box[0]), at(box[2])))).withColumn("cy", F.explode(F.sequence(at(box[1]), at(box[3]))))
+
+    j = cells_of(a, ["x0", "y0", "x1", "y1"]).join(cells_of(b, ["bx0", "by0", "bx1", "by1"]), ["ka", "kb", "k", "cx", "cy"])
+    hit = (F.col("x0") <= F.col("bx1")) & (F.col("x1") >= F.col("bx0")) & (F.col("y0") <= F.col("by1")) & (F.col("y1") >= F.col("by0"))
+    return j.where(hit).select(key).distinct()
+
+
 def ring_edges(ring: DataFrame, key: str, order: str) -> DataFrame:
     """(key, ax, ay, bx, by) of closed rings."""
     w = Window.partitionBy(key).orderBy(order)

@@ -75,8 +75,12 @@ def wall_region(visible: DataFrame, drivable: DataFrame, other: DataFrame, obsta
     class (not in ``other``) and no obstacle, closed, then shrunk, its largest part."""
     free = visible.select(*XY).distinct().join(other.select(*XY), XY, "left_anti").unionByName(visible.select(*XY).join(drivable.select(*XY), XY, "left_semi")).distinct()
     passable = free.join(obstacles.select(*XY), XY, "left_anti")
-    reached = grid.flood(road.join(passable, XY, "left_semi"), passable)
-    return largest_region(grid.erode(grid.closed(reached, "disc", radius, width, height), "disc", radius, width, height))
+    passable = cut(passable)
+    runs = cut(grid.to_runs(grid.flood(road.join(passable, XY, "left_semi"), passable)))
+    # Each step reads its input more than once, so each is written; all on runs.
+    grown = cut(grid.dilate_runs(runs, "disc", radius, width, height))
+    closed = cut(grid.erode_runs(grown, "disc", radius, width, height))
+    return largest_region(grid.from_runs(grid.erode_runs(closed, "disc", radius, width, height)))
 
 
 def obstacle_regions(label: DataFrame, types: list[int], wall: DataFrame, road: DataFrame, reach: int, least: int, width: int, height: int) -> DataFrame:

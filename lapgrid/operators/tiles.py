@@ -136,3 +136,38 @@ def depth_first(tiles: DataFrame, first: int, most: int = 64) -> DataFrame:
         raise RuntimeError(f"a tree is deeper than {most}")
     top = every.where("has_mesh").orderBy("path").limit(first)
     return top.select("tile_id", (F.row_number().over(Window.orderBy("path")) - 1).alias("place"))
+
+
+def refine_by_mask(tiles: DataFrame, loaded: DataFrame, mask: DataFrame, target: int, pad: float = 0.1, budget: int = 5000, most: int = 64) -> DataFrame:
+    """(tile_id, status): the tiles loaded after refining those over a mask down to a level.
+
+    In rounds, each loaded tile that may refine, lies below the target level and overlaps the mask gives way to all its next mesh tiles
+    (``refine_step``): those over the mask's box, padded by a share of its size, may be refined on, the others are only loaded, so nothing is
+    left uncovered.  A tile without a box overlaps.  mask: boxes (x0, y0, x1, y1); the first round tests the boxes themselves, later ones the padded
+    box around them.  A tile that leads nowhere stays.  Each refined tile is a step; when the budget of steps ends, by level, then tile_id, tiles
+    that still wait are kept with status ``open``, the others are ``loaded``.
+    """
+    hull = mask.agg(F.min("x0").alias("mx0"), F.max("x1").alias("mx1"), F.min("y0").alias("my0"), F.max("y1").alias("my1"))
+    px, py = (F.col("mx1") - F.col("mx0")) * pad, (F.col("my1") - F.col("my0")) * pad
+    hull = cut(hull.select((F.col("mx0") - px).alias("hx0"), (F.col("mx1") + px).alias("hx1"), (F.col("my0") - py).alias("hy0"), (F.col("my1") + py).alias("hy1")))
+    over = F.col("x0").isNull() | ((F.col("x0") <= F.col("hx1")) & (F.col("x1") >= F.col("hx0")) & (F.col("y0") <= F.col("hy1")) & (F.col("y1") >= F.col("hy0")))
+    # One row, so the join is a filter.
+    t = cut(tiles.join(F.broadcast(hull)).select("tile_id", "parent_id", "level", "has_mesh", "can_refine", "x0", "y0", "x1", "y1", F.coalesce(over, F.lit(False)).alias("over")))
+    b = mask.select(*[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
+    start = t.join(loaded.select("tile_id").distinct(), "tile_id", "left_semi")
+    hit = spatial.rects_overlapping(start.where("x0 IS NOT NULL"), b).unionByName(start.where("x0 IS NULL").select("tile_id")).withColumn("hit", F.lit(True))
+    state = cut(start.join(hit, "tile_id", "left").select("tile_id", "level", (F.coalesce("hit", F.lit(False)) & F.col("can_refine") & (F.col("level") < target)).alias("waits")))
+    for _ in range(most):
+        waiting = state.where("waits").orderBy("level", "tile_id").limit(budget)
+        now = cut(waiting.select("tile_id"))
+        steps = now.count()
+        if not steps:
+            return state.select("tile_id", F.when(F.col("waits"), "open").otherwise("loaded").alias("status"))
+        budget -= steps
+        plan = cut(refine_step(t, now))
+        gone = plan.select(F.col("start_id").alias("tile_id")).distinct()
+        new = plan.select("tile_id").distinct().join(t, "tile_id").select("tile_id", "level", (F.col("over") & F.col("can_refine") & (F.col("level") < target)).alias("waits"))
+        tried = now.withColumn("tried", F.lit(True))
+        kept = state.join(gone, "tile_id", "left_anti").join(tried, "tile_id", "left").select("tile_id", "level", (F.col("waits") & F.col("tried").isNull()).alias("waits"))
+        state = cut(kept.unionByName(new.join(kept.select("tile_id"), "tile_id", "left_anti")))
+    raise RuntimeError(f"the tree is deeper than {most}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clip_cover, grid, mesh, skeleton
+from ..operators import clip_cover, grid, mesh, skeleton, tiles, tilesets
 from .register import Register
 
 R = Register()
@@ -124,3 +124,33 @@ R.query("j14_beside", f"WITH {_PROJECTED} SELECT v AS point_id, round(arg_min(h,
     lambda c, p: mesh.project_beside(_strips(c, p)[0].withColumnRenamed("v", "point_id"), _terrain(p), 16, _MOVES).withColumn("h", F.round("h", 6)))
 R.query("m2_plain_projection", f"WITH {_PROJECTED} SELECT mesh_id, v.v, x::DOUBLE AS x, round(h, 6) AS y, z::DOUBLE AS z FROM v JOIN hit ON hit.v = v.v AND k = 0", "centers", "plots")(
     lambda c, p: mesh.project_plain(_strips(c, p)[0], _terrain(p), 16).withColumn("y", F.round("y", 6)))
+
+
+# The whole tree, every node with a mesh, refined from its root over the boxes of one class of plots.
+_HULL = "hull AS (SELECT min(x0) - (max(x1) - min(x0)) * 0.1e0 AS hx0, max(x1) + (max(x1) - min(x0)) * 0.1e0 AS hx1, min(y0) - (max(y1) - min(y0)) * 0.1e0 AS hy0, max(y1) + (max(y1) - min(y0)) * 0.1e0 AS hy1 FROM plots WHERE tag = 3)"
+R.query("l4_refine_by_mask", f"""WITH {_HULL}, a(tile_id, waits) AS (SELECT tile_id, true FROM tiles WHERE parent_id IS NULL
+ UNION ALL SELECT c.tile_id, c.can_refine AND c.level < 19 AND (c.x0 IS NULL OR (c.x0 <= hx1 AND c.x1 >= hx0 AND c.y0 <= hy1 AND c.y1 >= hy0)) FROM a JOIN tiles c ON c.parent_id = a.tile_id, hull WHERE a.waits)
+SELECT tile_id, 'loaded' AS status FROM a WHERE NOT waits OR tile_id NOT IN (SELECT parent_id FROM tiles WHERE parent_id IS NOT NULL)""", "tiles", "plots")(
+    lambda t, p: tiles.refine_by_mask(t.withColumn("has_mesh", F.lit(True)), t.where("parent_id IS NULL"), p.where("tag = 3").select("x0", "y0", "x1", "y1"), 19))
+
+
+# Files are nations, nodes their suppliers, the root the first; the two last nodes point to files 2k + 1 and 2k + 2, of nation 24 to file 2, which is above it.
+_FILES = """SELECT concat('/sets/n', s_nationkey, '/tileset.json') AS file, s_suppkey AS node, CASE WHEN k = 1 THEN cast(NULL AS bigint) ELSE root END AS parent,
+   CASE WHEN k = 1 THEN cast(NULL AS string) WHEN k = n AND s_nationkey = 24 THEN '../n2/./tileset.json' WHEN k > n - 2 THEN concat('../n', 2 * s_nationkey + 1 + n - k, '/tileset.json') ELSE concat('t', s_suppkey, '.b3dm') END AS uri, k % 3 <> 0 AS has_mesh, k < 4 AS can_refine
+ FROM (SELECT s_nationkey, s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS root, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)"""
+
+
+def _files(supplier):
+    return supplier.sparkSession.sql(_FILES.replace("FROM supplier", "FROM {supplier}"), supplier=supplier)
+
+
+_TOP = "(SELECT min(file) AS file FROM nodes)"
+R.query("s4_redirects", f"""WITH nodes AS MATERIALIZED ({_FILES}), n AS MATERIALIZED (SELECT *, CASE WHEN uri LIKE '%.json' THEN '/sets/' || regexp_extract(uri, 'n[0-9]+') || '/tileset.json' END AS target FROM nodes),
+ w(file, way, above, seen) AS (SELECT file, '', NULL::VARCHAR, [file] FROM {_TOP}
+   UNION ALL SELECT target, way || n.file || '#' || node || '>', way || n.file || '#' || node, list_append(seen, target) FROM w JOIN n ON n.file = w.file WHERE target IN (SELECT file FROM n) AND NOT list_contains(seen, target))
+SELECT way || n.file || '#' || node AS tile_id, CASE WHEN parent IS NULL THEN above ELSE way || n.file || '#' || parent END AS parent_id, n.file, node,
+  CASE WHEN target IS NULL THEN 'ok' WHEN target NOT IN (SELECT file FROM n) THEN 'missing' WHEN list_contains(seen, target) THEN 'cycle' ELSE 'ok' END AS status FROM w JOIN n ON n.file = w.file""", "supplier")(
+    lambda s: (lambda n: tilesets.assemble(n, n.agg(F.min("file").alias("file"))))(_files(s)))
+R.query("s5_virtual_root", f"""WITH nodes AS ({_FILES}), e AS (SELECT file FROM nodes GROUP BY file HAVING count(*) = 1 AND NOT bool_or(has_mesh))
+SELECT file || '#' || node AS tile_id, CASE WHEN parent IS NULL THEN 'root' ELSE file || '#' || parent END AS parent_id, has_mesh, can_refine FROM nodes WHERE file NOT IN (SELECT file FROM e) UNION ALL SELECT 'root', NULL, false, true""", "supplier")(
+    lambda s: tilesets.under_virtual_root(_files(s)))
