@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clip_cover, grid, mesh, skeleton, tiles, tilesets
+from ..operators import clip_cover, grid, mesh, sampling, skeleton, tiles, tilesets
 from .register import Register
 
 R = Register()
@@ -154,3 +154,31 @@ SELECT way || n.file || '#' || node AS tile_id, CASE WHEN parent IS NULL THEN ab
 R.query("s5_virtual_root", f"""WITH nodes AS ({_FILES}), e AS (SELECT file FROM nodes GROUP BY file HAVING count(*) = 1 AND NOT bool_or(has_mesh))
 SELECT file || '#' || node AS tile_id, CASE WHEN parent IS NULL THEN 'root' ELSE file || '#' || parent END AS parent_id, has_mesh, can_refine FROM nodes WHERE file NOT IN (SELECT file FROM e) UNION ALL SELECT 'root', NULL, false, true""", "supplier")(
     lambda s: tilesets.under_virtual_root(_files(s)))
+
+
+def _surfaces(rings):
+    """Rings with a hole of half their size around the same centre."""
+    part = F.explode(F.array(F.lit(0), F.lit(1)))
+    half = lambda c, k: F.when(F.col("part") == 0, F.col(c)).otherwise((F.col(c) + (F.col("ring_id") * k % 1000) * 16) / 2).cast("double")
+    return rings.withColumn("part", part).select(F.col("ring_id").alias("poly"), "part", "v", half("x", 97).alias("x"), half("y", 61).alias("z"))
+
+
+def _fans(surfaces):
+    """Triangles over vertices v, v + 1 and v + 6 of each outer ring."""
+    at = lambda k: surfaces.where("part = 0").select("poly", ((F.col("v") + 16 - k) % 16).alias("f"), F.col("x").alias(f"x{min(k, 2)}"), F.col("z").alias(f"z{min(k, 2)}"))
+    return at(0).join(at(1), ["poly", "f"]).join(at(6), ["poly", "f"])
+
+
+_SURFACES = """sf AS MATERIALIZED (SELECT ring_id AS poly, p AS part, v, CASE p WHEN 0 THEN x ELSE (x + (ring_id * 97 % 1000) * 16) / 2 END::DOUBLE AS x, CASE p WHEN 0 THEN y ELSE (y + (ring_id * 61 % 1000) * 16) / 2 END::DOUBLE AS z FROM rings, range(0, 2) r(p)),
+ ed AS MATERIALIZED (SELECT a.poly, a.part, a.x AS ax, a.z AS az, b.x AS bx, b.z AS bz FROM sf a JOIN sf b ON a.poly = b.poly AND a.part = b.part AND b.v = (a.v + 1) % 16)"""
+_INSIDE = "count(*) FILTER (part = 0) % 2 = 1 AND count(*) FILTER (part = 1) % 2 = 0"
+R.query("r6_sampling_grid", f"""WITH {_SURFACES}, bb AS (SELECT poly, min(x) AS lx, max(x) AS hx, min(z) AS lz, max(z) AS hz FROM sf WHERE part = 0 GROUP BY poly),
+ la AS (SELECT poly, i, j, lx + i * 170e0 AS x, lz + j * 170e0 AS z FROM (SELECT *, unnest(range(0, ceil((hz - lz) / 170)::BIGINT + 1)) AS j FROM (SELECT *, unnest(range(0, ceil((hx - lx) / 170)::BIGINT + 1)) AS i FROM bb))),
+ ins AS (SELECT la.poly, i, j, la.x, la.z FROM la JOIN ed ON ed.poly = la.poly AND (az > la.z) <> (bz > la.z) AND ax + (la.z - az) * (bx - ax) / (bz - az) > la.x GROUP BY la.poly, i, j, la.x, la.z HAVING {_INSIDE})
+SELECT poly, part, v, NULL::BIGINT AS i, NULL::BIGINT AS j, x, z FROM sf
+UNION ALL SELECT poly, NULL, NULL, i, j, x, z FROM ins WHERE NOT EXISTS (SELECT 1 FROM sf WHERE sf.poly = ins.poly AND round_even(sf.x / 17, 0) = round_even(ins.x / 17, 0) AND round_even(sf.z / 17, 0) = round_even(ins.z / 17, 0))""", "rings")(
+    lambda r: sampling.sampling_grid(_surfaces(r), 170.0))
+R.query("f14_faces_by_centroid", f"""WITH {_SURFACES}, fa AS (SELECT a.poly, a.v AS f, a.x AS x0, a.z AS z0, b.x AS x1, b.z AS z1, c.x AS x2, c.z AS z2 FROM sf a JOIN sf b ON b.poly = a.poly AND b.part = 0 AND b.v = (a.v + 1) % 16 JOIN sf c ON c.poly = a.poly AND c.part = 0 AND c.v = (a.v + 6) % 16 WHERE a.part = 0),
+ m AS (SELECT *, (x0 + x1 + x2) / 3 AS mx, (z0 + z1 + z2) / 3 AS mz FROM fa)
+SELECT m.poly, f, x0, z0, x1, z1, x2, z2 FROM m JOIN ed ON ed.poly = m.poly AND (az > mz) <> (bz > mz) AND ax + (mz - az) * (bx - ax) / (bz - az) > mx GROUP BY ALL HAVING {_INSIDE}""", "rings")(
+    lambda r: (lambda s: sampling.faces_inside(_fans(s), s, 256.0))(_surfaces(r)))
