@@ -131,6 +131,33 @@ def validate(documents: DataFrame) -> DataFrame:
     return g.select("layout", F.array_join(F.filter(errors, lambda e: e.isNotNull()), "; ").alias("errors"))
 
 
+#: The two ways around a track.
+DIRECTIONS = ("clockwise", "counterclockwise")
+
+
+def document_errors(documents: DataFrame, objects: DataFrame, required: list[str]) -> DataFrame:
+    """(layout, place, error): what is wrong with each object document, a row for each finding; a document without a row is valid.
+
+    documents: (layout, direction); objects: (layout, place, name, position, orientation, type), the vectors as arrays of doubles in which what was no number
+    is null.  A document needs a known direction, some object, and an object of each required type; an object a name and two
+    vectors of two numbers.  Findings about a whole document have a null place; one without objects is not asked for types.
+    """
+    def found(df: DataFrame, place, *errors) -> DataFrame:
+        e = F.filter(F.array(*errors), lambda x: x.isNotNull())
+        return df.select("layout", place.cast("long").alias("place"), F.explode(e).alias("error"))
+
+    def vector(c: str):
+        two = F.coalesce(F.size(c) == 2, F.lit(False)) & F.col(c).isNotNull()
+        return F.when(~two, f"{c} must have two values").when(F.exists(c, lambda x: x.isNull()), f"{c} has a value that is no number")
+
+    seen = objects.groupBy("layout").agg(*[F.bool_or(F.coalesce(F.col("type") == t, F.lit(False))).alias(f"has{k}") for k, t in enumerate(required)])
+    d = documents.join(seen.withColumn("any", F.lit(True)), "layout", "left")
+    missing = [F.when(F.col("any") & ~F.col(f"has{k}"), f"no object of type {t}") for k, t in enumerate(required)]
+    whole = found(d, F.lit(None), F.when(~F.coalesce(F.col("direction").isin(*DIRECTIONS), F.lit(False)), "unknown direction"), F.when(F.col("any").isNull(), "no objects"), *missing)
+    own = objects.join(documents.select("layout"), "layout", "left_semi")
+    return whole.unionByName(found(own, F.col("place"), F.when(F.coalesce("name", F.lit("")) == "", "no name"), vector("position"), vector("orientation")))
+
+
 def manual_first(manual: DataFrame, auto: DataFrame, source: str) -> DataFrame:
     """The rows of each source with ``manual``: its manual rows where it has any, else its automatic ones."""
     rest = auto.join(manual.select(source).distinct(), source, "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clip_cover, grid, mesh, sampling, skeleton, tiles, tilesets
+from ..operators import clip_cover, grid, mesh, objects, sampling, skeleton, tiles, tilesets
 from .register import Register
 
 R = Register()
@@ -182,3 +182,23 @@ R.query("f14_faces_by_centroid", f"""WITH {_SURFACES}, fa AS (SELECT a.poly, a.v
  m AS (SELECT *, (x0 + x1 + x2) / 3 AS mx, (z0 + z1 + z2) / 3 AS mz FROM fa)
 SELECT m.poly, f, x0, z0, x1, z1, x2, z2 FROM m JOIN ed ON ed.poly = m.poly AND (az > mz) <> (bz > mz) AND ax + (mz - az) * (bx - ax) / (bz - az) > mx GROUP BY ALL HAVING {_INSIDE}""", "rings")(
     lambda r: (lambda s: sampling.faces_inside(_fans(s), s, 256.0))(_surfaces(r)))
+
+
+def _documents(orders):
+    """Documents by customer, with damage by order key: names, vectors and directions that are missing or wrong."""
+    docs = orders.groupBy(F.col("o_custkey").alias("layout")).agg(F.min("o_orderkey").alias("k")).select(
+        (F.col("layout")).alias("layout"), F.when(F.col("k") % 3 == 0, "clockwise").when(F.col("k") % 3 == 1, "counterclockwise").when(F.col("k") % 2 == 0, "left").alias("direction"))
+    none = docs.select((-F.col("layout") - 1).alias("layout"), "direction").where("layout % 10 = 0")
+    k = F.col("o_orderkey")
+    vector = lambda m: F.when(k % m == 0, F.lit(None)).when(k % m == 1, F.array(k.cast("double"))).when(k % m == 2, F.array(k.cast("double"), F.lit(None))).otherwise(F.array(k.cast("double"), F.lit(1.0)))
+    objs = orders.select(F.col("o_custkey").alias("layout"), k.alias("place"), F.when(k % 11 == 0, "").when(k % 11 != 1, "o").alias("name"), vector(17).alias("position"), vector(19).alias("orientation"), F.col("o_orderstatus").alias("type"))
+    return docs.unionByName(none), objs
+
+
+_VECTOR = "CASE WHEN k % {m} < 2 THEN '{c} must have two values' WHEN k % {m} = 2 THEN '{c} has a value that is no number' END"
+R.query("a18_document_errors", f"""WITH d AS (SELECT o_custkey AS layout, min(o_orderkey) AS k FROM orders GROUP BY o_custkey), b AS (SELECT layout, k, true AS real FROM d UNION ALL SELECT -layout - 1, k, false FROM d WHERE (-layout - 1) % 10 = 0),
+ o AS (SELECT o_custkey AS layout, o_orderkey AS k, o_orderstatus AS type FROM orders),
+ e AS (SELECT layout, NULL::BIGINT AS place, CASE WHEN k % 3 = 2 THEN 'unknown direction' END AS error FROM b UNION ALL SELECT layout, NULL, 'no objects' FROM b WHERE NOT real
+  UNION ALL SELECT d.layout, NULL, 'no object of type ' || t FROM d, (VALUES ('F'), ('O'), ('P')) v(t) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.layout = d.layout AND o.type = t)
+  UNION ALL SELECT layout, k, CASE WHEN k % 11 < 2 THEN 'no name' END FROM o UNION ALL SELECT layout, k, {_VECTOR.format(m=17, c='position')} FROM o UNION ALL SELECT layout, k, {_VECTOR.format(m=19, c='orientation')} FROM o)
+SELECT layout, place, error FROM e WHERE error IS NOT NULL""", "orders")(lambda o: objects.document_errors(*_documents(o), ["F", "O", "P"]))

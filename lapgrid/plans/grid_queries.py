@@ -28,8 +28,7 @@ R.query("a5_coverage", f"""WITH p AS (SELECT DISTINCT tag, x, y FROM (SELECT *,
  a AS (SELECT tag, round(100e0 * count(*) / {N * N}, 6) AS raw FROM p GROUP BY tag), b AS (SELECT tag, round(100e0 * count(*) / {N * N}, 6) AS final FROM (SELECT max(tag) AS tag FROM p GROUP BY x, y) GROUP BY tag)
 SELECT a.tag, raw, coalesce(final, 0) AS final FROM a LEFT JOIN b ON a.tag = b.tag""", "pixels")(
     lambda px: (lambda p: grid.coverage(p, grid.composite(p), N, N))(grid.paint(px, "ord", "exclude")))
-R.query("a24_edit_tiles", "SELECT DISTINCT x // 64 AS col, y // 64 AS row FROM pixels WHERE tag = 2 AND x % 100 < 30", "pixels")(
-    lambda px: grid.edit_tiles(px.where("tag = 2 AND x % 100 < 30"), 64))
+R.query("a24_edit_tiles", "SELECT DISTINCT x // 8 AS col, y // 8 AS row FROM pixels", "pixels")(lambda px: grid.edit_tiles(px, 8))
 R.query("a31_tag_counts", "SELECT tag, count(DISTINCT x * 1000 + y) AS n FROM pixels GROUP BY tag", "pixels")(
     lambda px: px.select("tag", "x", "y").distinct().groupBy("tag").agg(F.count("*").alias("n")))
 R.query("u1_mask_difference", "SELECT DISTINCT x, y FROM pixels WHERE tag = 1 AND (x, y) NOT IN (SELECT (x, y) FROM pixels WHERE tag = 3)", "pixels")(
@@ -70,14 +69,22 @@ R.query("g8_gap_close", f"""WITH {_RECT_PX}, d AS (SELECT tag = 5 AS road, x + d
  m AS (SELECT a.x, a.y FROM d a JOIN d b ON a.x = b.x AND a.y = b.y AND a.road AND NOT b.road WHERE sqrt(a.d2) + sqrt(b.d2) <= 6 AND (a.x, a.y) NOT IN (SELECT (x, y) FROM rpx WHERE tag IN (3, 5)))
 SELECT x, y FROM rpx WHERE tag = 5 UNION SELECT x, y FROM m""", "rects")(
     lambda r: (lambda a, b: grid.close_gap(a, b, a.union(b), 6, N, N))(filled(r, 5), filled(r, 3)))
-R.query("g6_interior_holes", f"""WITH {_RECT_PX}, {_CANVAS}, z AS (SELECT * FROM cv EXCEPT SELECT x, y FROM rpx),
+_OUTLINE_PX = "rpx AS (SELECT DISTINCT x, y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM (SELECT x0, x1, y0, y1, unnest(range(y0, y1 + 1)) AS y FROM rects)) WHERE x = x0 OR x = x1 OR y = y0 OR y = y1)"
+
+
+def outlines(rects):
+    r = rects.select("x0", "x1", "y0", "y1", F.explode(F.sequence("y0", "y1")).alias("y")).select("*", F.explode(F.sequence("x0", "x1")).alias("x"))
+    return r.where("x = x0 OR x = x1 OR y = y0 OR y = y1").select("x", "y").distinct()
+
+
+R.query("g6_interior_holes", f"""WITH {_OUTLINE_PX}, {_CANVAS}, z AS (SELECT * FROM cv EXCEPT SELECT x, y FROM rpx),
  zr AS (SELECT y, min(x) AS x0, max(x) AS x1, y * 4294967296 + min(x) AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM z) GROUP BY y, g),
  ze AS (SELECT a.id AS a, b.id AS b FROM zr a JOIN zr b ON abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
  out(id) AS (SELECT id FROM zr WHERE y IN (0, {N - 1}) OR x0 = 0 OR x1 = {N - 1} UNION SELECT b FROM out JOIN ze ON a = id),
  hr AS (SELECT * FROM zr WHERE id NOT IN (SELECT id FROM out)),
  hc(a, b) AS (SELECT id, id FROM hr UNION SELECT hc.a, ze.b FROM hc JOIN ze ON hc.b = ze.a),
  hp AS (SELECT y, unnest(range(x0, x1 + 1)) AS x, comp FROM hr JOIN (SELECT a, min(b) AS comp FROM hc GROUP BY a) ON a = id)
-SELECT x, y, comp FROM hp WHERE comp IN (SELECT comp FROM hp GROUP BY comp HAVING count(*) >= 3)""", "rects")(lambda r: grid.interior_holes(filled(r), N, N, 3))
+SELECT x, y, comp FROM hp WHERE comp IN (SELECT comp FROM hp GROUP BY comp HAVING count(*) >= 3)""", "rects")(lambda r: grid.interior_holes(outlines(r), N, N, 3))
 R.query("a19_majority_neighbour", f"""WITH {_RECT_PX}, {_CC}, lb AS (SELECT x, y, max(tag) AS tag FROM rpx WHERE tag < 5 GROUP BY x, y),
  g AS (SELECT DISTINCT id % 4294967296 + dx AS x, id // 4294967296 + dy AS y, comp FROM cc, range(-1, 2) a(dx), range(-1, 2) b(dy)), h AS (SELECT * FROM g WHERE (x, y, comp) NOT IN (SELECT (id % 4294967296, id // 4294967296, comp) FROM cc)),
  n AS (SELECT comp, tag, count(*) AS n FROM h JOIN lb USING (x, y) GROUP BY comp, tag)

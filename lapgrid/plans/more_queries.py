@@ -22,8 +22,8 @@ R.query("a7_first_by_tag", "SELECT tag, count(*) AS n, arg_min(group_id, rect_id
 R.query("a10_vertex_mean", "SELECT ring_id, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM rings GROUP BY ring_id", "rings")(lambda r: r.groupBy("ring_id").agg(F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy")))
 R.query("a12_constant_axis", "SELECT group_id, CASE WHEN max(x0) - min(x0) <= max(y0) - min(y0) THEN 'x' ELSE 'y' END AS axis, round(CASE WHEN max(x0) - min(x0) <= max(y0) - min(y0) THEN avg(x0) ELSE avg(y0) END, 6) AS mean FROM rects GROUP BY group_id", "rects")(
     lambda r: r.groupBy("group_id").agg((F.max("x0") - F.min("x0") <= F.max("y0") - F.min("y0")).alias("isx"), F.avg("x0").alias("ax"), F.avg("y0").alias("ay")).select("group_id", F.when(C("isx"), "x").otherwise("y").alias("axis"), F.round(F.when(C("isx"), C("ax")).otherwise(C("ay")), 6).alias("mean")))
-R.query("a15_pit_count", "SELECT layout, CASE WHEN count(*) FILTER (type = 'pit' AND x > 250) = 0 THEN 12 ELSE count(*) FILTER (type = 'pit' AND x > 250) END AS pits FROM objects GROUP BY layout", "objects")(
-    lambda o: o.groupBy("layout").agg(F.count_if((C("type") == "pit") & (C("x") > 250)).alias("p")).select("layout", F.when(C("p") == 0, 12).otherwise(C("p")).alias("pits")))
+R.query("a15_pit_count", "SELECT layout, x, CASE WHEN count(*) FILTER (type = 'pit') = 0 THEN 12 ELSE count(*) FILTER (type = 'pit') END AS pits FROM objects GROUP BY layout, x", "objects")(
+    lambda o: o.groupBy("layout", "x").agg(F.count_if(C("type") == "pit").alias("p")).select("layout", "x", F.when(C("p") == 0, 12).otherwise(C("p")).alias("pits")))
 R.query("a25_cover_check", "WITH p AS (SELECT DISTINCT x, y FROM pixels WHERE tag = 1) SELECT count(*) AS target, count(*) FILTER (EXISTS (SELECT 1 FROM rects r WHERE p.x BETWEEN r.x0 AND r.x1 AND p.y BETWEEN r.y0 AND r.y1)) AS covered FROM p", "pixels", "rects")(
     lambda p, r: (lambda t, f: t.join(f, ["x", "y"], "left").agg(F.count("*").alias("target"), F.count("f").alias("covered")))(p.where("tag = 1").select("x", "y").distinct(), filled(r).select("x", "y", F.lit(1).alias("f")).distinct()))
 R.query("u2_uncovered", "SELECT DISTINCT x, y FROM pixels p WHERE tag = 1 AND NOT EXISTS (SELECT 1 FROM rects r WHERE p.x BETWEEN r.x0 AND r.x1 AND p.y BETWEEN r.y0 AND r.y1)", "pixels", "rects")(

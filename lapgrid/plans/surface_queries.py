@@ -51,14 +51,14 @@ SELECT lb.x, lb.y, coalesce(bt.tag, lb.tag) AS tag FROM lb LEFT JOIN orp ON lb.t
 
 _GAP_ROUNDS, _last = [], "lb"
 for _k, (_how, _tag) in enumerate([(h, t) for h in ("close", "grow") for t in (5, 4, 2)]):
-    _src = f"g{_k}_s AS (SELECT x, y FROM {_last} WHERE tag = {_tag}), g{_k}_d AS ({_dilated(f'g{_k}_s', 'disc', 2)})"
+    _src = f"g{_k}_s AS (SELECT x, y FROM {_last} WHERE tag = {_tag}), g{_k}_d AS MATERIALIZED ({_dilated(f'g{_k}_s', 'disc', 2)})"
     if _how == "close":
         _src += ", " + _eroded(f"g{_k}_f", f"g{_k}_d", "disc", 2)
     _new = f"g{_k}_f" if _how == "close" else f"g{_k}_d"
-    _GAP_ROUNDS.append(f"{_src}, g{_k} AS (SELECT x, y, tag FROM {_last} UNION ALL SELECT x, y, {_tag} FROM {_new} WHERE (x, y) IN (SELECT (x, y) FROM zn) AND (x, y) NOT IN (SELECT (x, y) FROM {_last}))")
+    _GAP_ROUNDS.append(f"{_src}, g{_k} AS MATERIALIZED (SELECT x, y, tag FROM {_last} UNION ALL SELECT x, y, {_tag} FROM {_new} SEMI JOIN zn USING (x, y) ANTI JOIN {_last} USING (x, y))")
     _last = f"g{_k}"
 _GAPS = f"""WITH {_LABEL.replace('FROM rects))', 'FROM rects WHERE tag IN (2, 4, 5)))')}, {_CANVAS}, zn AS (SELECT x, y FROM cv WHERE x BETWEEN 30 AND 200 AND y BETWEEN 20 AND 220), {", ".join(_GAP_ROUNDS)}
-SELECT x, y, tag FROM {_last} UNION ALL SELECT x, y, 1 FROM zn WHERE (x, y) NOT IN (SELECT (x, y) FROM {_last})"""
+SELECT x, y, tag FROM {_last} UNION ALL SELECT x, y, 1 FROM zn ANTI JOIN {_last} USING (x, y)"""
 R.query("g11_fill_gaps", _GAPS, "rects")(
     lambda r: surface.fill_gaps(label_of(r.where("tag IN (2, 4, 5)")), r.sparkSession.range(30, 201).selectExpr("id AS x", "explode(sequence(20L, 220L)) AS y"), [5, 4, 2], 2, 1, N, N))
 R.query("u6_fill_zone", f"WITH {_LABEL}, zn AS (SELECT x, y FROM lb WHERE tag IN (3, 4, 5) EXCEPT SELECT x, y FROM lb WHERE tag = 4 AND x % 2 = 0) SELECT x, y, tag FROM lb WHERE (x, y) IN (SELECT (x, y) FROM zn)", "rects")(
