@@ -12,7 +12,8 @@ first), so ties have one result.  A null role or text counts as empty; a role
 that the template lacks is written with its name and breaks the state machine.
 Null conversation ids form one conversation.  Conversations are formatted
 whole, valid or not; ``first_error`` is the index of the first turn out of
-order.  A conversation is one row here, as its digests need all of it.
+order.  A conversation is one row here, as its digests need all of it; very long texts are
+written whole.  An empty table gives an empty result.  Columns beyond the four, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ one pass over all documents, whose result is written before the next begins.
 An item of fewer than five tokens is met as a whole: by a document with a line of
 just these tokens.  An item without tokens matches nothing.  Null texts hold no
 tokens.  Repeated documents give repeated rows; repeated items give a row for
-each item_id.  Empty tables on either side give an empty result.
+each item_id.  Empty tables on either side give an empty result.  Very long texts are tiled
+whole, one at a time.  Finding reads only doc_id and text; ``clean`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

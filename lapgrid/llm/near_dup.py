@@ -21,6 +21,7 @@ propagation of the smallest id with pointer jumping, in written rounds.
 A null or empty text has no set and is linked with nothing.  Rows with the same
 doc_id are one document: it is linked if any of its rows is.  A row without
 doc_id keeps component_id null and is kept.  An empty table gives an empty result.
+Very long texts are hashed whole, one at a time.  Columns beyond doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ Work is linear in the matches of a text: places and overlaps come from running
 sums and maxima, built in pieces of PIECE (an array that grows one by one is copied each time).
 
 Offsets are code points, ends exclusive.  A null text is empty.  Repeated rows
-get the same result.  An empty table gives an empty result.
+get the same result.  An empty table gives an empty result.  Columns beyond doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ keys in ever finer ranges, so nothing is sorted or gathered whole.
 
 Null and empty texts have log weight 0.  Ties at the k-th key, such as repeated
 rows, are all kept.  Without good labels both models are the same.  An empty
-table gives an empty result.
+table gives an empty result.  Columns beyond doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ with one payload, such as empty ones, are dealt in parts (spread.py).
 Null html is an empty payload; a null url is written as urn:page:<id>.  The
 response among equal payloads is the one with the smallest page_id, null ids
 last; among rows with the same id any one is, the others revisit it.  An empty
-table writes nothing.  A truncated archive raises ValueError.
+table writes nothing.  A truncated archive raises ValueError.  A very large payload is written and read
+whole, one record at a time.  Columns beyond page_id, url and html, whatever their names, are not read.
 """
 
 from __future__ import annotations
