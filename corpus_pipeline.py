@@ -3,7 +3,8 @@
 Null and empty texts pass all stages (a text that line dedup empties is a copy
 of kept lines, and goes).  Repeated rows are repeated documents, of which the near-duplicate stage
 keeps one.  Columns that documents has beyond its own keep their values,
-whatever their names.  Empty tables give an empty result.
+whatever their names, up to the last stage, which returns the mix (doc_id, source, sizes, target
+and words taken) of the documents that are left.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
