@@ -1,24 +1,42 @@
-"""Bounded rounds of DataFrame steps, each cut off by a reliable checkpoint."""
+"""Bounded rounds of DataFrame steps, each cut off by a written table."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where unset, a fresh local one, or the warehouse on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if sc.applicationId not in _OWN:
+        local = sc.master.startswith("local[") or sc.master == "local"
+        _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-rounds-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rounds"
+    return _OWN[sc.applicationId]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to the cluster's checkpoint folder; where none is named, as in tests, to a fresh local one."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            local = sc.master.startswith("local[") or sc.master == "local"
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-") if local else df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
+    """df, computed once and written as a table to the folder that the cluster shares; it goes when the session's JVM ends.
+
+    A table has its true size.  A checkpoint keeps the estimate of its plan, and that of a join is a product, so over rounds of joins
+    estimates would grow to numbers of millions of digits.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def iterate(df: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: str, most: int = 1000) -> DataFrame:
