@@ -152,6 +152,34 @@ def orphan_vertices(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return vertices.join(used, ["mesh_id", "v"], "left_anti")
 
 
+def drop_to_terrain(points: DataFrame, tris: DataFrame, cell: int, above: float) -> DataFrame:
+    """Points (point_id, x, y, z, ..) set ``above`` over the terrain; adds hit.
+
+    Up is -y, so the ground is the smallest y of the triangles that a point's vertical line meets.  A point that meets none stays.
+    """
+    ground = project_down(points, tris, cell, "min").select("point_id", F.col("h").alias("_h"))
+    j = points.join(ground, "point_id", "left")
+    return j.withColumns({"hit": F.col("_h").isNotNull(), "y": F.coalesce(F.col("_h") - above, F.col("y").cast("double"))}).drop("_h")
+
+
+def quality_report(meshes: DataFrame, vertices: DataFrame, faces: DataFrame, least_range: float = 0.5, least_area: float = 1e-10) -> DataFrame:
+    """(mesh_id, check, value, ok), five rows for each of meshes (mesh_id, n_vertices).
+
+    exists: it has vertices; faces: it has faces; y_range: its heights differ by ``least_range`` or more; vertex_count: it has as many
+    vertices as stated; degenerate: how many of its faces have an area under ``least_area`` or lack a corner.
+    """
+    v = vertices.groupBy("mesh_id").agg(F.count("*").alias("n_v"), (F.max("y") - F.min("y")).alias("range"))
+    sound = face_area(faces_with_corners(faces, vertices)).groupBy("mesh_id").agg(F.count_if(F.col("area") >= least_area).alias("sound"))
+    f = faces.groupBy("mesh_id").agg(F.count("*").alias("n_f"))
+    j = meshes.join(v, "mesh_id", "left").join(f, "mesh_id", "left").join(sound, "mesh_id", "left").fillna(0, ["n_v", "n_f", "sound"])
+    bad = F.col("n_f") - F.col("sound")
+    checks = {
+        "exists": (F.col("n_v"), F.col("n_v") > 0), "faces": (F.col("n_f"), F.col("n_f") > 0), "y_range": (F.col("range"), F.coalesce(F.col("range") >= least_range, F.lit(False))),
+        "vertex_count": (F.col("n_v"), F.coalesce(F.col("n_v") == F.col("n_vertices"), F.lit(False))), "degenerate": (bad, bad == 0)}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), value.cast("double").alias("value"), ok.alias("ok")) for k, (value, ok) in checks.items()]))
+    return j.select("mesh_id", rows.alias("r")).select("mesh_id", "r.*")
+
+
 def budget(meshes: DataFrame) -> DataFrame:
     """Bytes of meshes (mesh_id, n_vertices, n_faces): 40 a vertex, 20 a face."""
     return meshes.select("mesh_id", (F.col("n_vertices") * 40 + F.col("n_faces") * 20).alias("bytes"))

@@ -84,6 +84,27 @@ R.query("j13_vertical_projection", """WITH p AS (SELECT point_id, x % 256 AS x,
  b AS (SELECT point_id, h0, h1, h2, ((z1 - z2) * (x - x2) + (x2 - x1) * (z - z2))::DOUBLE / ((z1 - z2) * (x0 - x2) + (x2 - x1) * (y0 - z2)) AS a, ((z2 - y0) * (x - x2) + (x0 - x2) * (z - z2))::DOUBLE / ((z1 - z2) * (x0 - x2) + (x2 - x1) * (y0 - z2)) AS b FROM p JOIN t ON x BETWEEN x0 AND x1 AND z BETWEEN y0 AND z2)
 SELECT point_id, round(max(a * h0 + b * h1 + (1 - a - b) * h2), 6) AS h FROM b WHERE a >= 0 AND b >= 0 AND a + b <= 1 GROUP BY point_id""", "centers", "rects")(
     lambda c, r: mesh.project_down(c.select("point_id", (F.col("x") % 256).alias("x"), (F.col("y") % 256).alias("z")), mesh.faces_with_corners(_faces(r).where("f = 0"), _vertices(r)), 16).select("point_id", F.round("h", 6).alias("h")))
+R.query("j22_objects_on_terrain", """WITH p AS (SELECT object_id AS point_id, x, y AS z FROM objects),
+ t AS (SELECT tag * 10 AS h0, tag * 10 + 1 AS h1, tag * 10 + 2 AS h2, x0, y0, x1, y0 AS z1, x1 AS x2, y1 AS z2 FROM rects),
+ b AS (SELECT point_id, h0, h1, h2, ((z1 - z2) * (x - x2) + (x2 - x1) * (z - z2))::DOUBLE / ((z1 - z2) * (x0 - x2) + (x2 - x1) * (y0 - z2)) AS a, ((z2 - y0) * (x - x2) + (x0 - x2) * (z - z2))::DOUBLE / ((z1 - z2) * (x0 - x2) + (x2 - x1) * (y0 - z2)) AS b FROM p JOIN t ON x BETWEEN x0 AND x1 AND z BETWEEN y0 AND z2),
+ h AS (SELECT point_id, min(a * h0 + b * h1 + (1 - a - b) * h2) AS h FROM b WHERE a >= 0 AND b >= 0 AND a + b <= 1 GROUP BY point_id)
+SELECT p.point_id, round(coalesce(h - 2, 100), 6)::DOUBLE AS y, h IS NOT NULL AS hit FROM p LEFT JOIN h ON h.point_id = p.point_id""", "objects", "rects")(
+    lambda o, r: mesh.drop_to_terrain(o.select(F.col("object_id").alias("point_id"), "x", F.lit(100.0).alias("y"), F.col("y").alias("z")), mesh.faces_with_corners(_faces(r).where("f = 0"), _vertices(r)), 16, 2.0)
+    .select("point_id", F.round("y", 6).alias("y"), "hit"))
+
+
+@R.query("a23_mesh_quality", """SELECT rect_id AS mesh_id, c.k AS "check", CASE c.k WHEN 'y_range' THEN CASE tag WHEN 1 THEN 0.25 ELSE 3 END WHEN 'degenerate' THEN rect_id % 2 ELSE 4 END::DOUBLE AS value,
+ CASE c.k WHEN 'y_range' THEN tag <> 1 WHEN 'degenerate' THEN rect_id % 2 = 0 WHEN 'vertex_count' THEN x1 % 3 <> 0 ELSE true END AS ok
+FROM rects, (VALUES ('exists'), ('faces'), ('y_range'), ('vertex_count'), ('degenerate')) c(k)""", "rects")
+def mesh_quality(rects):
+    """Every mesh, of which some are flat, some lack a vertex and half have a degenerate face."""
+    v = _vertices(rects).join(rects.select(F.col("rect_id").alias("mesh_id"), "tag"), "mesh_id")
+    v = v.withColumn("y", F.when(F.col("tag") == 1, F.when(F.col("v") == 3, 0.25).otherwise(0.0)).otherwise(F.col("y").cast("double"))).drop("tag")
+    f = _faces(rects).withColumn("i1", F.when((F.col("f") == 3) & (F.col("mesh_id") % 2 == 0), 2).otherwise(F.col("i1")))
+    stated = rects.select(F.col("rect_id").alias("mesh_id"), F.expr("CASE WHEN x1 % 3 = 0 THEN 5 ELSE 4 END").alias("n_vertices"))
+    return mesh.quality_report(stated, v, f)
+
+
 R.query("a21_mesh_budget", "SELECT rect_id AS mesh_id, (x1 * 40 + y1 * 20)::BIGINT AS bytes FROM rects", "rects")(lambda r: mesh.budget(r.select(F.col("rect_id").alias("mesh_id"), F.col("x1").alias("n_vertices"), F.col("y1").alias("n_faces"))))
 R.query("m4_median_split", """WITH a AS (SELECT tag, count(*) AS n, max(x0) - min(x0) >= max(y0) - min(y0) AS wide FROM rects GROUP BY tag) SELECT rect_id AS item_id,
  CASE WHEN row_number() OVER (ORDER BY CASE WHEN (SELECT max(x0) - min(x0) >= max(y0) - min(y0) FROM rects) THEN x0 ELSE y0 END, rect_id) <= floor(count(*) OVER () / 2) THEN '0' ELSE '1' END AS piece FROM rects""", "rects")(

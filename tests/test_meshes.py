@@ -99,3 +99,16 @@ def test_numbered(spark):
     got = sorted(tuple(r) for r in numbered(df, "place", df["s"].desc(), "id").collect())
     place = {i: p for p, (_, i) in enumerate(sorted((-(i * 7919 % 101), i) for i in range(1000)))}
     assert got == [(i, i * 7919 % 101, place[i]) for i in range(1000)]
+
+
+def test_quality_report_and_terrain(spark):
+    v = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 1, 4.0, 1.0, 0.0), (1, 2, 0.0, 0.0, 4.0), (2, 0, 0.0, 0.0, 0.0)], "mesh_id long, v long, x double, y double, z double")
+    f = spark.createDataFrame([(1, 0, 0, 1, 2), (1, 1, 0, 1, 1), (1, 2, 0, 1, 9), (1, 3, 7, 8, 9)], "mesh_id long, f long, i0 long, i1 long, i2 long")
+    stated = spark.createDataFrame([(1, 3), (2, 2), (3, 0), (4, None)], "mesh_id long, n_vertices long")
+    got = {(r["mesh_id"], r["check"]): (r["value"], r["ok"]) for r in mesh.quality_report(stated, v, f).collect()}
+    assert len(got) == 20 and {k: o for (m, k), (_, o) in got.items() if m == 1} == {"exists": True, "faces": True, "y_range": True, "vertex_count": True, "degenerate": False}
+    assert got[1, "degenerate"] == (3.0, False) and got[2, "y_range"] == (0.0, False) and got[2, "vertex_count"] == (1.0, False) and got[2, "faces"] == (0.0, False)
+    assert got[3, "exists"] == (0.0, False) and got[3, "y_range"] == (None, False) and got[3, "vertex_count"] == (0.0, True) and got[4, "vertex_count"] == (0.0, False)
+    tris = spark.createDataFrame([(0, 0.0, 5.0, 0.0, 4.0, 5.0, 0.0, 0.0, 5.0, 4.0), (1, 0.0, 3.0, 0.0, 4.0, 3.0, 0.0, 0.0, 3.0, 4.0)], "f long, " + ", ".join(f"{c}{k} double" for k in range(3) for c in "xyz"))
+    p = spark.createDataFrame([(1, 1.0, 0.0, 1.0), (2, 9.0, -7.0, 9.0)], "point_id long, x double, y double, z double")
+    assert {r["point_id"]: (r["y"], r["hit"]) for r in mesh.drop_to_terrain(p, tris, 2, 2.0).collect()} == {1: (1.0, True), 2: (-7.0, False)}
