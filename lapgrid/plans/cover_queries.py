@@ -94,7 +94,7 @@ def _strips(centers, plots):
     side = plots.agg((F.max("x0") + 1).alias("side"))
     v = centers.join(F.broadcast(side)).select(F.expr("CAST(floor(point_id / 100) AS bigint)").alias("mesh_id"), F.col("point_id").alias("v"), (F.col("x") % F.col("side")).cast("double").alias("x"), (F.col("y") % F.col("side")).cast("double").alias("z"))
     e = v.select("mesh_id", "v", F.explode(F.array(F.lit(1), F.lit(7))).alias("d")).select("mesh_id", "v", (F.col("v") + F.col("d")).alias("w"))
-    return v, e.where("floor(w / 100) = mesh_id").join(v.select("mesh_id", F.col("v").alias("w")), ["mesh_id", "w"], "left_semi")
+    return v, e.where("floor(w / 100) = mesh_id").join(v.select("mesh_id", F.col("v").alias("w")).hint("merge"), ["mesh_id", "w"], "left_semi")
 
 
 def _terrain(plots):
