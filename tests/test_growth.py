@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lapgrid import catalog
-from lapgrid.operators import mesh
+from lapgrid.operators import mesh, spatial
 
 
 def joins(df):
@@ -42,3 +42,29 @@ def test_copies_of_points_and_triangles_meet_once(spark):
         kinds = joins(df)
         assert max(rows for _, rows in kinds) == 600 and not [k for k, _ in kinds if "Broadcast" in k]
         assert sorted(tuple(r) for r in df.collect()) == [(i, 5.0) for i in range(600)]
+
+
+def _boxes(spark, n):
+    """n boxes on five places, of which two overlap by half."""
+    at = F.col("id") % 5
+    x0 = F.when(at == 1, 2).otherwise(at * 20)
+    return spark.range(n).select(F.col("id").alias("rect_id"), x0.alias("x0"), F.lit(0).alias("y0"), (x0 + 6).alias("x1"), F.lit(6).alias("y1"))
+
+
+def test_copies_of_boxes_meet_once(spark):
+    r = _boxes(spark, 300)
+    other = r.toDF("b_id", "bx0", "by0", "bx1", "by1")
+    tri = r.where("rect_id % 5 > 1").selectExpr("x0 AS ax", "y0 AS ay", "x1 AS bx", "y0 AS by", "x0 AS cx", "y1 AS cy")
+    hit = spatial.boxes_hit(r, other.where("b_id % 5 = 1").drop("b_id"), ["x0", "y0", "x1", "y1"], ["bx0", "by0", "bx1", "by1"], 4)
+    assert max(n for _, n in joins(hit)) <= 300
+    assert sorted(x[0] for x in hit.select("rect_id").collect()) == [i for i in range(300) if i % 5 < 2]
+    touched = spatial.rects_on_triangles(r, tri, 4)
+    assert max(n for _, n in joins(touched)) <= 300
+    assert sorted(x[0] for x in touched.select("rect_id").collect()) == [i for i in range(300) if i % 5 > 1]
+    tiles = r.select("x0", "y0", F.lit(900).alias("z0"), "x1", "y1", F.lit(901).alias("z1"))
+    vote = spatial.axis_vote(tiles, other.drop("b_id"), 4)
+    assert max(n for _, n in joins(vote)) < 300 and [tuple(x) for x in vote.collect()] == [("XY", 60 * 60 * 7)]
+    pairs = spatial.box_pairs(r, "rect_id", 4, F.expr("least(x1, bx1) - greatest(x0, bx0) >= 3"))
+    assert max(n for _, n in joins(pairs)) <= 300
+    same = lambda a, b: a % 5 == b % 5 or {a % 5, b % 5} == {0, 1}
+    assert sorted((x["rect_id"], x["b_rect_id"]) for x in pairs.collect()) == [(a, b) for a in range(300) for b in range(a + 1, 300) if same(a, b)]
