@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lapgrid import catalog
-from lapgrid.operators import mesh, spatial
+from lapgrid.operators import mesh, spatial, track
 
 
 def joins(df):
@@ -68,3 +68,26 @@ def test_copies_of_boxes_meet_once(spark):
     assert max(n for _, n in joins(pairs)) <= 300
     same = lambda a, b: a % 5 == b % 5 or {a % 5, b % 5} == {0, 1}
     assert sorted((x["rect_id"], x["b_rect_id"]) for x in pairs.collect()) == [(a, b) for a in range(300) for b in range(a + 1, 300) if same(a, b)]
+
+
+def test_nearest_line_point_by_cells(spark):
+    """A dense clump, a curve and far points: brute force, and no join as large as points times line."""
+    line = [(0, i, 3 + i % 13, 2 + i * 7 % 11) for i in range(400)] + [(1, i, i * 5, (i * i) % 97) for i in range(200)] + [(0, 400 + i, -900 + 7 * i, 400) for i in range(50)]
+    points = [(i, i % 3, i * 37 % 1500 - 700, i * 53 % 900 - 300) for i in range(240)] + [(240, 0, None, 5), (241, 1, 10, 1), (242, 1, 10, 1)]
+    df = track.nearest_on_line(spark.createDataFrame(points, "point_id long, layout int, x long, y long"), spark.createDataFrame(line, "layout int, idx int, x long, y long"), 16)
+    kinds = joins(df)
+    want = []
+    for p, l, x, y in points:
+        if l < 2:
+            d = min(((x - a) ** 2 + (y - b) ** 2, i) for m, i, a, b in line if m == l) if x is not None else (None, None)
+            want.append((p, l, d[1], d[0]))
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(want, key=repr)
+    assert max(n for _, n in kinds) < 10_000, kinds
+
+
+def test_nearest_line_point_copies(spark):
+    points = spark.range(500).select(F.col("id").alias("point_id"), F.lit(0).alias("layout"), F.lit(4).alias("x"), (F.col("id") % 2).alias("y"))
+    line = spark.range(300).select(F.lit(0).alias("layout"), F.col("id").cast("int").alias("idx"), F.lit(5).alias("x"), F.lit(0).alias("y"))
+    df = track.nearest_on_line(points, line, 16)
+    assert max(n for _, n in joins(df)) <= 500
+    assert sorted(tuple(r) for r in df.collect()) == [(i, 0, 0, 1 + i % 2) for i in range(500)]
