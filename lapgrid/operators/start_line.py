@@ -104,7 +104,7 @@ def repaired(gate: DataFrame, line: DataFrame, road: DataFrame, margin: float, m
 
     A gate on the road marches outward from its nearest line point, on its own side, to the first step off the road, and the
     margin beyond; a step off the canvas is taken as it is.  Where ``most`` steps are all road, or the line has no direction,
-    the gate stays.  Only gates on the road are measured.
+    the gate stays.  Only gates on the road are measured, and gates at one line point and on one side share a ray.
     """
     pixel = lambda x, y: (F.bround(x.cast("double")).cast("long").alias("px"), F.bround(y.cast("double")).cast("long").alias("py"))
     mask = road.select(F.col("x").alias("px"), F.col("y").alias("py"), F.lit(True).alias("on")).distinct()
@@ -112,15 +112,17 @@ def repaired(gate: DataFrame, line: DataFrame, road: DataFrame, margin: float, m
     on = at.where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)).join(mask, ["px", "py"], "left_semi").select(KEY, "point_id", "x", "y")
     feet = track.nearest_on_line(on, line, cell).select(KEY, "point_id", "idx")
     l = gates.with_tangent(line).where("tx IS NOT NULL").select(KEY, "idx", F.col("x").cast("double").alias("lx"), F.col("y").cast("double").alias("ly"), "tx", "ty")
-    j = on.join(feet, [KEY, "point_id"]).join(l, [KEY, "idx"])
     side = F.when((F.col("x") - F.col("lx")) * -F.col("ty") + (F.col("y") - F.col("ly")) * F.col("tx") >= 0, 1).otherwise(-1)
-    ray = j.withColumn("ox", -F.col("ty") * side).withColumn("oy", F.col("tx") * side).withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    ray = ray.select(KEY, "point_id", "lx", "ly", "ox", "oy", "d", *pixel(F.col("lx") + F.col("ox") * F.col("d"), F.col("ly") + F.col("oy") * F.col("d")))
+    j = cut(on.join(feet, [KEY, "point_id"]).join(l.hint("merge"), [KEY, "idx"]).withColumn("side", side))
+    j = j.select(KEY, "point_id", "idx", "side", "lx", "ly", (-F.col("ty") * F.col("side")).alias("ox"), (F.col("tx") * F.col("side")).alias("oy"))
+    ray = j.drop("point_id").distinct().withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    ray = ray.select(KEY, "idx", "side", "d", *pixel(F.col("lx") + F.col("ox") * F.col("d"), F.col("ly") + F.col("oy") * F.col("d")))
     ray = ray.withColumn("inside", F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)).join(mask, ["px", "py"], "left")
-    stop = F.struct("d", F.when(F.col("inside"), margin).otherwise(0.0).alias("more"), "lx", "ly", "ox", "oy")
-    end = ray.where("NOT inside OR on IS NULL").groupBy(KEY, "point_id").agg(F.min(stop).alias("e"))
-    far = F.col("e.d") + F.col("e.more")
-    new = end.select(KEY, F.col("point_id").alias("name"), F.round(F.col("e.lx") + F.col("e.ox") * far, 1).alias("nx"), F.round(F.col("e.ly") + F.col("e.oy") * far, 1).alias("ny"))
+    # The first step off the road and whether it is on the canvas, as one number.
+    stop = F.min(F.col("d") * 2 + F.when(F.col("inside"), 1).otherwise(0))
+    end = ray.where("NOT inside OR on IS NULL").groupBy(KEY, "idx", "side").agg(stop.alias("e"))
+    far = F.floor(F.col("e") / 2) + F.when(F.col("e") % 2 == 1, margin).otherwise(0.0)
+    new = j.join(end, [KEY, "idx", "side"]).select(KEY, F.col("point_id").alias("name"), F.round(F.col("lx") + F.col("ox") * far, 1).alias("nx"), F.round(F.col("ly") + F.col("oy") * far, 1).alias("ny"))
     out = gate.join(new, [KEY, "name"], "left")
     moved = {"moved": F.col("nx").isNotNull(), "x": F.coalesce("nx", F.col("x").cast("double")), "y": F.coalesce("ny", F.col("y").cast("double"))}
     return out.withColumns(moved).drop("nx", "ny")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lapgrid import catalog
-from lapgrid.operators import mesh, spatial, track
+from lapgrid.operators import mesh, spatial, start_line, track
 
 
 def joins(df):
@@ -91,3 +91,12 @@ def test_nearest_line_point_copies(spark):
     df = track.nearest_on_line(points, line, 16)
     assert max(n for _, n in joins(df)) <= 500
     assert sorted(tuple(r) for r in df.collect()) == [(i, 0, 0, 1 + i % 2) for i in range(500)]
+
+
+def test_gates_at_one_point_share_a_ray(spark):
+    road = spark.range(20).select(F.col("id").alias("x"), F.lit(10).alias("y")).union(spark.range(20).select(F.col("id").alias("x"), F.lit(11).alias("y")))
+    line = spark.range(20).select(F.lit(0).alias("layout"), F.col("id").cast("int").alias("idx"), F.col("id").alias("x"), F.lit(10).alias("y"))
+    gate = spark.range(400).select(F.lit(0).alias("layout"), F.col("id").alias("name"), F.lit(8).alias("x"), (10 + F.col("id") % 3).alias("y"))
+    df = start_line.repaired(gate, line, road, 1.0, 30, 16, 32, 32)
+    assert max(n for _, n in joins(df)) <= 400
+    assert {(r["name"] % 3, r["x"], r["y"], r["moved"]) for r in df.collect()} == {(0, 8.0, 13.0, True), (1, 8.0, 13.0, True), (2, 8.0, 12.0, False)}
