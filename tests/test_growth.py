@@ -100,3 +100,32 @@ def test_gates_at_one_point_share_a_ray(spark):
     df = start_line.repaired(gate, line, road, 1.0, 30, 16, 32, 32)
     assert max(n for _, n in joins(df)) <= 400
     assert {(r["name"] % 3, r["x"], r["y"], r["moved"]) for r in df.collect()} == {(0, 8.0, 13.0, True), (1, 8.0, 13.0, True), (2, 8.0, 12.0, False)}
+
+
+def _fan(spark):
+    """Sixty copies of a large ring and of a small one within it, each with its own key, the small ones odd; points on a lattice."""
+    corner = [(0, 0), (400, 0), (400, 400), (0, 400)], [(100, 100), (190, 100), (190, 190), (100, 190)]
+    rings = spark.createDataFrame([(2 * i + k, v, x, y) for i in range(60) for k, c in enumerate(corner) for v, (x, y) in enumerate(c)], "ring_id long, v int, x long, y long")
+    points = spark.range(2500).select(F.col("id").alias("point_id"), (F.col("id") % 50 * 10).alias("x"), (F.expr("id div 50") * 10).alias("y"))
+    return points, rings
+
+
+def test_pairs_of_points_and_rings_are_made_once(spark):
+    points, rings = _fan(spark)
+    inside = lambda i, lo, hi: lo <= i % 50 * 10 < hi and lo <= i // 50 * 10 < hi
+    want = {(i, 2 * r) for i in range(2500) for r in range(60) if inside(i, 0, 400)} | {(i, 2 * r + 1) for i in range(2500) for r in range(60) if inside(i, 100, 190)}
+    for most in (512, 1):
+        df = spatial.points_in_rings(points, spatial.ring_edges(rings, "ring_id", "v"), "ring_id", 32, most)
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(want) and set(got) == want
+        if most > 1:
+            # No crossing is counted over a shuffle of pairs.
+            assert sum(n for _, n in joins(df)) < 1.5 * len(want)
+
+
+def test_points_outside_holes_list_no_pairs(spark):
+    points, rings = _fan(spark)
+    df = spatial.inside_outer_not_hole(points, spatial.ring_edges(rings, "ring_id", "v"), "ring_id", F.col("ring_id") % 2 == 1, 32)
+    inside = lambda i, lo, hi: lo <= i % 50 * 10 < hi and lo <= i // 50 * 10 < hi
+    assert max(n for _, n in joins(df)) <= 2500
+    assert sorted(r[0] for r in df.collect()) == [i for i in range(2500) if inside(i, 0, 400) and not inside(i, 100, 190)]
