@@ -129,3 +129,10 @@ def test_points_outside_holes_list_no_pairs(spark):
     inside = lambda i, lo, hi: lo <= i % 50 * 10 < hi and lo <= i // 50 * 10 < hi
     assert max(n for _, n in joins(df)) <= 2500
     assert sorted(r[0] for r in df.collect()) == [i for i in range(2500) if inside(i, 0, 400) and not inside(i, 100, 190)]
+
+
+def test_tags_go_into_joins_once(spark, sf):
+    for name, distincts in (("u4_independent_tags", 2), ("s16_pending_tags", 3)):
+        df = catalog.QUERIES[name](spark, sf)
+        assert max(n for _, n in joins(df)) <= 5
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [tag") >= distincts
