@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lapgrid import catalog
-from lapgrid.operators import mesh, spatial, start_line, track
+from lapgrid.operators import mesh, spatial, start_line, tiles, track
 
 
 def joins(df):
@@ -136,3 +136,12 @@ def test_tags_go_into_joins_once(spark, sf):
         df = catalog.QUERIES[name](spark, sf)
         assert max(n for _, n in joins(df)) <= 5
         assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [tag") >= distincts
+
+
+def test_copies_of_a_plans_boxes_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "load_plan", lambda t, base, target: t.select("tile_id", "overlaps"))
+    t = spark.createDataFrame([("a", 0, 0, 9, 9), ("b", 0, 0, 9, 9), ("c", 50, 50, 60, 60), ("d", None, None, None, None)], "tile_id string, x0 long, y0 long, x1 long, y1 long")
+    b = spark.range(400).select(F.lit(3).alias("x0"), F.lit(3).alias("y0"), F.lit(40).alias("x1"), F.lit(40).alias("y1"))
+    df = tiles.plan_for_boxes(t, b, 1, 2, 8)
+    assert max(n for _, n in joins(df)) < 60
+    assert {tuple(r) for r in df.collect()} == {("a", True), ("b", True), ("c", False), ("d", True)}
