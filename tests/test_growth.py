@@ -145,3 +145,11 @@ def test_copies_of_a_plans_boxes_meet_once(spark, monkeypatch):
     df = tiles.plan_for_boxes(t, b, 1, 2, 8)
     assert max(n for _, n in joins(df)) < 60
     assert {tuple(r) for r in df.collect()} == {("a", True), ("b", True), ("c", False), ("d", True)}
+
+
+def test_bends_meet_their_points_by_index(spark):
+    curved = spark.range(600).select(F.lit(0).alias("layout"), F.col("id").cast("int").alias("idx"), F.lit(600).alias("n"), F.when(F.col("id") % 6 < 2, 1.0 + F.col("id") % 2).otherwise(0.0).alias("curv"))
+    df = track.bend_islands(curved, 0.5)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and (">=" in x or "<=" in x)], plan
+    assert sorted((r["start"], r["end"], r["peak"], r["total"], r["exit"]) for r in df.collect()) == [(i, i + 1, i + 1, 3.0, i + 2) for i in range(0, 600, 6)]
