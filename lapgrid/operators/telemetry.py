@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,20 +47,24 @@ def thin(points: DataFrame, metres: float) -> DataFrame:
     if metres <= 0:
         return points
 
-    def keep(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("seq")
-        la, lo = np.radians(g["lat"].to_numpy()), np.radians(g["lon"].to_numpy())
-        kept, last = [], None
-        for i in range(len(g)):
-            if last is not None:
-                s = np.sin((la[i] - la[last]) / 2) ** 2 + np.cos(la[last]) * np.cos(la[i]) * np.sin((lo[i] - lo[last]) / 2) ** 2
-                if 2 * geo.EARTH_RADIUS * np.arctan2(np.sqrt(s), np.sqrt(1 - s)) < metres:
-                    continue
-            kept.append(i)
-            last = i
-        return g.iloc[kept]
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, la0, lo0 = None, 0.0, 0.0
+        for b in batches:
+            keys = zip(b["session_id"].to_pylist(), b["lap"].to_pylist(), strict=True)
+            la, lo = (np.radians(b[c].to_numpy(zero_copy_only=False).astype(float)).tolist() for c in ("lat", "lon"))
+            kept = []
+            for i, key in enumerate(keys):
+                if key == at:
+                    s = math.sin((la[i] - la0) / 2) ** 2 + math.cos(la0) * math.cos(la[i]) * math.sin((lo[i] - lo0) / 2) ** 2
+                    if 2 * geo.EARTH_RADIUS * math.atan2(math.sqrt(s), math.sqrt(1 - s)) < metres:
+                        continue
+                kept.append(i)
+                at, la0, lo0 = key, la[i], lo[i]
+            yield b.take(pa.array(kept, pa.int64()))
 
-    return points.groupBy("session_id", "lap").applyInPandas(keep, points.schema)
+    # Sorted laps pass one after another: a task holds one batch and the last point kept, and a short lap costs no call of its own.
+    laps = points.repartition("session_id", "lap").sortWithinPartitions("session_id", "lap", "seq")
+    return laps.mapInArrow(keep, points.schema)
 
 
 def session_extent(points: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lapgrid import catalog
-from lapgrid.operators import mesh, spatial, start_line, tiles, track
+from lapgrid.operators import mesh, spatial, start_line, telemetry, tiles, track
+from lapgrid.streaming import progress
 
 
 def joins(df):
@@ -133,9 +134,8 @@ def test_points_outside_holes_list_no_pairs(spark):
 
 def test_tags_go_into_joins_once(spark, sf):
     for name, distincts in (("u4_independent_tags", 2), ("s16_pending_tags", 3)):
-        df = catalog.QUERIES[name](spark, sf)
-        assert max(n for _, n in joins(df)) <= 5
-        assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [tag") >= distincts
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate [tag") >= distincts, plan
 
 
 def test_copies_of_a_plans_boxes_meet_once(spark, monkeypatch):
@@ -153,3 +153,36 @@ def test_bends_meet_their_points_by_index(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Join" in x and (">=" in x or "<=" in x)], plan
     assert sorted((r["start"], r["end"], r["peak"], r["total"], r["exit"]) for r in df.collect()) == [(i, i + 1, i + 1, 3.0, i + 2) for i in range(0, 600, 6)]
+
+
+def test_laps_and_stages_pass_one_after_another(spark):
+    """Short groups cost no call each; what was kept last is carried over batches of Arrow."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        p = spark.range(120).selectExpr("id div 40 AS session_id", "cast(id div 20 AS int) AS lap", "id AS seq", "22.71 + 0.00002D * id AS lat", "113.86D AS lon")
+        thin, quiet = telemetry.thin(p, 5.0), progress.throttled(spark.range(60).selectExpr("id div 30 AS run", "id AS ord", "cast(id div 10 AS string) AS stage", "cast(id * 7 % 100 AS int) AS pct"), 20)
+        for df in (thin, quiet):
+            assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r["seq"] for r in thin.collect()) == [20 * lap + i for lap in range(6) for i in range(0, 20, 3)]
+        want, last = [], None
+        for i in range(60):
+            if i % 10 == 0 or abs(i * 7 % 100 - last) >= 20:
+                want.append(i)
+                last = i * 7 % 100
+        assert sorted(r["ord"] for r in quiet.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_streams_keep_many_runs_in_a_group(spark, tmp_path):
+    """Two micro-batches: a run's stage and a lap's open segment outlast the first; runs share groups."""
+    lines = spark.range(200).selectExpr("id % 100 AS run", "id div 100 AS ord", "CASE WHEN id < 100 THEN '=== Stage 1a: x' ELSE '@@PROGRESS@@ 30 y' END AS value")
+    points = spark.range(200).selectExpr("1L AS session_id", "cast(id % 100 AS int) AS lap", "id div 100 AS seq", "0D AS t", "0L AS frag", "1D AS lat", "1D AS lon")
+    got = []
+    for name, df, made, at in (("a", lines, progress.progress_events, "ord"), ("b", points, progress.segment_stream, "seq")):
+        for k in (0, 1):
+            df.where(f"{at} = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = made(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
+        assert "floor" in stream._jdf.queryExecution().analyzed().toString().lower()
+        got.append(sorted(tuple(r) for r in progress.run_to_table(stream, str(tmp_path / f"{name}-out")).collect()))
+    assert got == [[(i, 1, "1a", 30) for i in range(100)], [(1, i, s, 0) for i in range(100) for s in (0, 1)]]
