@@ -135,8 +135,10 @@ def rebuild(
     """(layout, name, type, x, y, tx, ty): all objects of the layouts that have a start position (layout, x, y, clockwise).
 
     A hot lap on the last bend exit before the start line, gates from the start line, repaired, and the other objects
-    (same columns) of those layouts; hot laps and gates among the others are replaced.
+    (same columns) of those layouts; hot laps and gates among the others are replaced.  The line and the road, each made
+    by more than one pass over its table, are written once for all steps.
     """
+    line, road = cut(line), cut(road)
     curved, bends, ways = surveyed(line, starts, k, threshold, gap, least_bend, cell)
     made = cut(gates_from_start(line, cut(gate_places(curved, bends, ways)), ways, road, most, tolerance, margin, least, width, height))
     made = repaired(made, line, road, float(margin), 199, cell, width, height).drop("moved")

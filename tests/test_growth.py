@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lapgrid import catalog
 from lapgrid.operators import mesh, spatial, start_line, telemetry, tiles, track
+from lapgrid.plans import grid_queries
 from lapgrid.streaming import progress
 
 
@@ -186,3 +187,25 @@ def test_streams_keep_many_runs_in_a_group(spark, tmp_path):
         assert "floor" in stream._jdf.queryExecution().analyzed().toString().lower()
         got.append(sorted(tuple(r) for r in progress.run_to_table(stream, str(tmp_path / f"{name}-out")).collect()))
     assert got == [[(i, 1, "1a", 30) for i in range(100)], [(1, i, s, 0) for i in range(100) for s in (0, 1)]]
+
+
+def test_rebuilt_objects_read_their_line_and_road_once(spark, monkeypatch):
+    plans = []
+
+    def seen(real, *places):
+        return lambda *args: plans.extend(args[i]._jdf.queryExecution().optimizedPlan().toString() for i in places) or real(*args)
+
+    monkeypatch.setattr(start_line, "gates_from_start", seen(start_line.gates_from_start, 0, 3))
+    monkeypatch.setattr(start_line, "repaired", seen(start_line.repaired, 1, 2))
+    catalog.QUERIES["o3_rebuilt_objects"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 4 and not [p for p in plans if "Generate" in p or "Window" in p], plans
+
+
+def test_equal_boxes_are_filled_once(spark):
+    boxes = spark.range(300).select(F.lit(1).alias("tag"), *[F.lit(v).alias(c) for c, v in (("x0", 0), ("y0", 0), ("x1", 20), ("y1", 20))])
+    df = grid_queries.filled(boxes)
+    assert df.count() == 441
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # Below the first explode the boxes are already distinct.
+    last = max(i for i, x in enumerate(plan) if "Generate" in x)
+    assert any("Aggregate" in x for x in plan[last:]), plan
