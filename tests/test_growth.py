@@ -1,9 +1,12 @@
 """Copies meet once, and what an explode makes is not broadcast: the rows that joins put out, and the joins' kinds."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from lapgrid import catalog
-from lapgrid.operators import mesh, spatial, start_line, telemetry, tiles, track
+from lapgrid.operators import mesh, rounds, spatial, start_line, telemetry, tiles, track
 from lapgrid.plans import grid_queries
 from lapgrid.streaming import progress
 
@@ -189,6 +192,36 @@ def test_streams_keep_many_runs_in_a_group(spark, tmp_path):
     assert got == [[(i, 1, "1a", 30) for i in range(100)], [(1, i, s, 0) for i in range(100) for s in (0, 1)]]
 
 
+def test_weld_shuffles_no_pairs_of_points(spark, monkeypatch):
+    """Dense points give the graph no more links than there are points that go to several blocks; the result is that of all pairs."""
+    links = []
+    monkeypatch.setattr(mesh, "components", lambda ids, near: links.append(near.count()) or rounds.components(ids, near))
+    r = random.Random(7)
+    rows = [(m, 4000 * m + i, r.randrange(-60, 60), r.randrange(3), r.randrange(-60, 60)) for m in range(3) for i in range(700)]
+    got = {(a, v): to for a, v, to in mesh.weld(spark.createDataFrame(rows, "mesh_id long, v long, x long, y long, z long"), 3.5).collect()}
+    to = {(a, v): v for a, v, *_ in rows}
+    near = [(p, q) for i, p in enumerate(rows) for q in rows[:i] if p[0] == q[0] and sum((s - t) ** 2 for s, t in zip(p[2:], q[2:], strict=True)) <= 12.25]
+    while True:
+        moved = False
+        for p, q in near:
+            low = min(to[p[:2]], to[q[:2]])
+            moved |= to[p[:2]] != low or to[q[:2]] != low
+            to[p[:2]] = to[q[:2]] = low
+        if not moved:
+            break
+    assert got == to and len(set(to.values())) > 30
+    assert links[0] < len(rows) / 2 < len(near)
+
+
+def test_clusters_measure_pairs_in_pieces(monkeypatch):
+    cells = [np.array([0, 1, 1, 9, -2, 0]), np.zeros(6, dtype=np.int64), np.array([0, 0, 0, 0, 0, 0])]
+    xyz = [np.array([0.9, 1.1, 1.9, 9.0, -1.5, 0.5]), np.zeros(6), np.zeros(6)]
+    for most in (1, 2, 100):
+        monkeypatch.setattr(mesh, "_PAIRS", most)
+        one = mesh._clusters(np.array([0, 0, 0, 0, 0, 1]), cells, xyz, 1.0)
+        assert one[0] == one[1] == one[2] and len(set(one.tolist())) == 4
+
+
 def test_rebuilt_objects_read_their_line_and_road_once(spark, monkeypatch):
     plans = []
 
