@@ -207,7 +207,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out.append(("\n".join(left) if len(drop) < n else "", n, len(drop)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
-    made = joined.withColumn(done, cut("text", spans))
+    # So marked, it is not called once more for each condition put on its result.
+    made = joined.withColumn(done, cut.asNondeterministic()("text", spans))
     kept = [F.col(f"{done}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     return made.select(*kept, f"{done}.n_lines", f"{done}.n_removed")
 

@@ -122,3 +122,9 @@ def test_empty_documents(spark, sf):
     docs = documents(spark, sf).where(F.lit(False))
     for _, stage in p.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_lines_are_cut_once(spark, sf):
+    """The condition on cut texts doesn't call the cutting function anew, which would keep two more Python workers in each executor."""
+    plan = p.drop_repeated_lines(spark, documents(spark, sf), sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
