@@ -98,6 +98,19 @@ def test_nearest_line_point_copies(spark):
     assert sorted(tuple(r) for r in df.collect()) == [(i, 0, 0, 1 + i % 2) for i in range(500)]
 
 
+def test_nearest_edges_are_joined_by_sorting(spark, monkeypatch):
+    """Cells of points or edges are not broadcast, however small their tables are; equal ones meet once."""
+    kinds = []
+    monkeypatch.setattr(spatial, "cut", lambda df: kinds.extend(joins(df)) or rounds.cut(df))
+    monkeypatch.setattr(spatial, "FEW", 0, raising=False)
+    points = spark.range(2000).selectExpr("id AS point_id", "0 AS layout", "id % 20 * 3 AS x", "id div 20 % 5 AS y")
+    edges = spark.range(600).selectExpr("0 AS layout", "id % 30 * 2 AS ax", "7L AS ay", "id % 30 * 2 + 40 AS bx", "9L AS by")
+    got = spatial.nearest_edge(points, edges, "layout").collect()
+    assert not [k for k, rows in kinds if rows > 100 and "Broadcast" in k] and max(rows for _, rows in kinds) <= 100 * 30 * 2, kinds
+    near = lambda px, py: min((px - ax - t * 40) ** 2 + (py - 7 - t * 2) ** 2 for ax in range(0, 60, 2) for t in [min(max(((px - ax) * 40 + (py - 7) * 2) / 1604, 0), 1)])
+    assert len(got) == 2000 and all(abs(r["d2"] - near(r["point_id"] % 20 * 3, r["point_id"] // 20 % 5)) < 1e-9 for r in got)
+
+
 def test_gates_at_one_point_share_a_ray(spark):
     road = spark.range(20).select(F.col("id").alias("x"), F.lit(10).alias("y")).union(spark.range(20).select(F.col("id").alias("x"), F.lit(11).alias("y")))
     line = spark.range(20).select(F.lit(0).alias("layout"), F.col("id").cast("int").alias("idx"), F.col("id").alias("x"), F.lit(10).alias("y"))
