@@ -75,6 +75,22 @@ def test_copies_of_boxes_meet_once(spark):
     assert sorted((x["rect_id"], x["b_rect_id"]) for x in pairs.collect()) == [(a, b) for a in range(300) for b in range(a + 1, 300) if same(a, b)]
 
 
+def test_pairs_of_boxes_are_opened_by_many_tasks(spark):
+    """Few bytes make many pairs: they are spread, and no condition is interpreted for each key of a list."""
+    r = spark.range(3000).selectExpr("id AS rect_id", "id % 60 * 20 AS x0", "0L AS y0", "id % 60 * 20 + 6 AS x1", "6L AS y1")
+    df = spatial.box_pairs(r, "rect_id", 16, F.lit(True))
+    tasks = {t[0]: t[1] for t in df.groupBy(F.spark_partition_id()).count().collect()}
+    assert sum(tasks.values()) == 60 * 50 * 49 // 2 and max(tasks.values()) < 60 * 50 * 49 // 4, tasks
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_lists_of_equal_boxes(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "KEYS", 3, raising=False)
+    got = sorted((t[0], t[1]) for t in spatial.box_pairs(_boxes(spark, 40), "rect_id", 4, F.expr("x0 <= bx0")).select("rect_id", "b_rect_id").collect())
+    same = lambda a, b: a % 5 == b % 5 or (a % 5, b % 5) == (0, 1)
+    assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if same(a, b)]
+
+
 def test_nearest_line_point_by_cells(spark):
     """A dense clump, a curve and far points: brute force, and no join as large as points times line."""
     line = [(0, i, 3 + i % 13, 2 + i * 7 % 11) for i in range(400)] + [(1, i, i * 5, (i * i) % 97) for i in range(200)] + [(0, 400 + i, -900 + 7 * i, 400) for i in range(50)]
