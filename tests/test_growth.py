@@ -157,6 +157,14 @@ def test_pairs_of_points_and_rings_are_made_once(spark):
             assert sum(n for _, n in joins(df)) < 1.5 * len(want)
 
 
+def test_points_meet_rings_in_lists(spark):
+    """A join puts out a list of a cell's points for a ring, not each of their pairs."""
+    points, rings = _fan(spark)
+    df = spatial.points_in_rings(points, spatial.ring_edges(rings, "ring_id", "v"), "ring_id", 64)
+    n = 60 * (1600 + 81)
+    assert df.count() == n and sum(rows for _, rows in joins(df)) < n / 10
+
+
 def test_points_outside_holes_list_no_pairs(spark):
     points, rings = _fan(spark)
     df = spatial.inside_outer_not_hole(points, spatial.ring_edges(rings, "ring_id", "v"), "ring_id", F.col("ring_id") % 2 == 1, 32)
